@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamworks.llm import mixing, pii
+from loamworks.llm import langid, mixing, neardup, pii, token_counts
 from loamworks.session import read_table
 
 
@@ -14,6 +14,9 @@ def queries() -> dict:
     return {
         "op1_pii": _docs(pii.digest),
         "op2_mixing": _docs(mixing.digest),
+        "op5_token_counts": _docs(token_counts.token_counts),
+        "op8_langid": _docs(langid.digest),
+        "op9_neardup": _docs(neardup.digest),
     }
 
 
