@@ -172,7 +172,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each class of near-duplicates: the one with the smallest key. Empty texts and null keys all stay."""
     found = classes(docs.select(key, text), key, text, k, percent)
-    keep = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_key")).agg(F.max("n_shingles").alias("_n"))
+    keep = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__lw_key")).agg(F.max("n_shingles").alias("__lw_n"))
     best = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    rows = docs.join(keep, F.col(key) == F.col("_key")).withColumn("_turn", F.row_number().over(best))
-    return rows.where((F.col("_turn") == 1) | (F.col("_n") == 0)).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    rows = docs.join(keep, F.col(key) == F.col("__lw_key")).withColumn("__lw_turn", F.row_number().over(best))
+    return rows.where((F.col("__lw_turn") == 1) | (F.col("__lw_n") == 0)).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))

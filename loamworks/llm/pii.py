@@ -111,25 +111,25 @@ def _candidate(text: Column, kind: str, base: bool):
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' other columns and _pii: every candidate span by kind and start; base ones and loose ones that touch none."""
+    """docs' other columns and __lw_pii: every candidate span by kind and start; base ones and loose ones that touch none."""
     c = F.coalesce(F.col(text), F.lit(""))
     out = docs
     for kind in KINDS:
-        out = out.withColumn(f"_base_{kind}", base_spans(c, kind))
+        out = out.withColumn(f"__lw_{kind}", base_spans(c, kind))
     parts = []
     for kind in KINDS:
-        part = F.transform(F.col(f"_base_{kind}"), _candidate(c, kind, True))
+        part = F.transform(F.col(f"__lw_{kind}"), _candidate(c, kind, True))
         if kind in LOOSE:
-            taken = F.concat(*[F.transform(F.col(f"_base_{k}"), lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
+            taken = F.concat(*[F.transform(F.col(f"__lw_{k}"), lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
             free = F.filter(_loose_spans(c, kind), lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
             part = F.array_sort(F.concat(part, F.transform(free, _candidate(c, kind, False))))
         parts.append(part)
-    return out.withColumn("_pii", F.concat(*parts).cast(CANDIDATES)).drop(*[f"_base_{k}" for k in KINDS])
+    return out.withColumn("__lw_pii", F.concat(*parts).cast(CANDIDATES)).drop(*[f"__lw_{k}" for k in KINDS])
 
 
 def vote_patterns(found: DataFrame) -> list:
     """How often each kind and pattern of votes occurs; at most kinds x 3^labelers rows, whatever the corpus."""
-    each = found.where(F.size("_pii") > 0).select(F.explode("_pii").alias("c"))
+    each = found.where(F.size("__lw_pii") > 0).select(F.explode("__lw_pii").alias("c"))
     return each.groupBy(F.col("c.kind").alias("kind"), F.col("c.votes").alias("votes")).agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()
 
 
@@ -183,30 +183,30 @@ def _accepted(weights: dict, threshold: float):
 
 
 def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Rows of docs (the columns named in keep, or all) with pii: array of (kind, start, end, base) by kind, then start.
+    """Rows of docs (the columns named in keep, or all) with __lw_spans: array of (kind, start, end, base) by kind, then start.
 
     Candidates are found once and written; votes are counted over all of them, and no text is shuffled. Null and
     empty texts have no spans; repeated rows stay; without any candidate the classifier adds nothing.
     """
     work = Workspace(docs.sparkSession, "pii")
-    rows = candidates(docs, text).select(*(keep if keep is not None else docs.columns), "_pii")
+    rows = candidates(docs, text).select(*(keep if keep is not None else docs.columns), "__lw_pii")
     found = work.table(rows, "candidates")
     patterns = vote_patterns(found)
     _, posterior = reliabilities(patterns)
-    taken = F.filter("_pii", _accepted(classifier(patterns, posterior), threshold))
+    taken = F.filter("__lw_pii", _accepted(classifier(patterns, posterior), threshold))
     plain = F.transform(taken, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
-    return found.withColumn("pii", plain).drop("_pii")
+    return found.withColumn("__lw_spans", plain).drop("__lw_pii")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document the counts and digests of its base spans, and all its spans."""
-    base = F.filter("pii", lambda s: s["base"])
+    base = F.filter("__lw_spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return detect(docs, keep=("doc_id",)).select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return detect(docs, keep=("doc_id",)).select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__lw_spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of personal data replaced by its kind in brackets; all rows stay."""
     found = detect(docs, text)
-    labelled = F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
+    labelled = F.transform("__lw_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     return found.withColumn(text, masked(F.col(text), F.array_sort(labelled))).select(docs.columns)

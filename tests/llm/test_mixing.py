@@ -43,7 +43,7 @@ def brute(docs):
 def test_schedule_equals_brute_force(spark):
     docs = [Row(doc_id=i, text="w " * (i * 7 % 23) if i % 11 else None, source=None if i % 10 == 9 else f"s{0 if i % 3 == 0 else i % 5}", weight="x", target=0) for i in range(400)]
     size, copies, target = brute(docs)
-    got = mixing.digest(spark.createDataFrame(docs, SCHEMA).drop("weight", "target")).collect()
+    got = mixing.digest(spark.createDataFrame(docs, SCHEMA)).collect()
     assert len(got) == 400
     for r in got:
         assert (r.size, r.taken) == (size[r.doc_id], size[r.doc_id] * copies[r.doc_id])
@@ -56,5 +56,6 @@ def test_schedule_equals_brute_force(spark):
 def test_mix_repeats_rows_and_takes_empty_tables(spark):
     docs = spark.createDataFrame([Row(doc_id=1, text="a b", source="a"), Row(doc_id=1, text="a b", source="a"), Row(doc_id=None, text="", source="b"), Row(doc_id=2, text="c d e f", source="b")], "doc_id long, text string, source string")
     assert mixing.digest(docs).count() == 4
+    assert mixing.mix(docs.selectExpr("*", "1 AS target", "'x' AS weight", "2 AS source_size")).count() > 0
     assert mixing.mix(docs).columns == ["doc_id", "text", "source", "mix_pass"]
     assert mixing.mix(docs.limit(0)).count() == 0
