@@ -82,7 +82,7 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: str
     within = Window.partitionBy("source", "_slice").orderBy("__lw_order", "__lw_size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_own", F.sum("__lw_size").over(within)).join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_t")))
     copies = placed.select("source", "__lw_order", "__lw_size", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("_pass"), (F.col("_before") + F.col("_own")).alias("_cum"), "source_size", "target")
-    copies = work.table(copies.withColumn("_time", F.coalesce((F.col("_pass") * F.col("source_size") + F.col("_cum")) / F.col("target"), F.lit(0.0))), "copies")
+    copies = work.table(copies.withColumn("_time", F.coalesce(F.try_divide(F.col("_pass") * F.col("source_size") + F.col("_cum"), F.col("target")), F.lit(0.0))), "copies")
 
     whole = aims.agg(F.sum("_rows").alias("rows"), F.sum("source_size").alias("words")).first()
     budget = (whole["words"] or 0) * share

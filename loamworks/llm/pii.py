@@ -205,8 +205,11 @@ def digest(docs: DataFrame) -> DataFrame:
     return detect(docs, keep=("doc_id",)).select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__lw_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of personal data replaced by its kind in brackets; all rows stay."""
+def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
+    """docs with every span of personal data replaced by its kind in brackets; all rows stay. length: a column of its characters."""
     found = detect(docs, text)
     labelled = F.transform("__lw_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
-    return found.withColumn(text, masked(F.col(text), F.array_sort(labelled))).select(docs.columns)
+    out = found.withColumn(text, masked(F.col(text), F.array_sort(labelled)))
+    if length:
+        out = out.withColumn(length, F.when(F.size("__lw_spans") > 0, F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
+    return out.select(docs.columns)

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from loamworks.llm import langid, mixing, neardup, pii, token_counts
+from loamworks.llm import avi, decontam, html_text, langid, mixing, neardup, pii, quality, secrets, token_counts
 from loamworks.session import read_table
 
+import corpus_pipeline
 
-def _docs(operator):
-    return lambda spark, sf_dir: operator(read_table(spark, sf_dir, "documents"))
+
+def _over(operator, *tables: str):
+    """A query that applies an operator to whole tables."""
+    return lambda spark, sf_dir: operator(*[read_table(spark, sf_dir, t) for t in tables])
 
 
 def queries() -> dict:
     return {
-        "op1_pii": _docs(pii.digest),
-        "op2_mixing": _docs(mixing.digest),
-        "op5_token_counts": _docs(token_counts.token_counts),
-        "op8_langid": _docs(langid.digest),
-        "op9_neardup": _docs(neardup.digest),
+        "op1_pii": _over(pii.digest, "documents"),
+        "op2_mixing": _over(mixing.digest, "documents"),
+        "op3_secrets": _over(secrets.digest, "documents"),
+        "op4_html_text": _over(html_text.digest, "pages"),
+        "op5_token_counts": _over(token_counts.token_counts, "documents"),
+        "op6_avi": _over(avi.digest, "documents"),
+        "op7_decontam": _over(decontam.digest, "documents", "benchmark"),
+        "op8_langid": _over(langid.digest, "documents"),
+        "op9_neardup": _over(neardup.digest, "documents"),
+        "op10_quality": _over(quality.digest, "documents", "labels"),
+        "pipeline": corpus_pipeline.run,
     }
 
 
