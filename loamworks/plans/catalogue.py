@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from loamworks.plans import relational
+
+PARTS = [relational]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for part in PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
