@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamworks.llm.components import components
 from loamworks.llm.words import mixed, raw, shingles, word_hashes
 from loamworks.session import Workspace
 
-#: Smallest hash values that a sketch retains.
-SKETCH = 128
+#: Smallest hash values that a sketch retains, at first and where a text shares most of those with many others.
+SKETCH, WIDE = 128, 2048
 #: Standard deviations by which a sketch may fall short of a similarity before a pair is passed over.
 SIGMAS = 6
+#: Texts that a short list holds at most.
+SHORT = 32
 #: Rounds in which each list is compared with one member, before what is left is compared in full.
-PIVOTS = 3
+PIVOTS = 2
 #: Ids of candidates that are sent to all tasks at most; more are joined by shuffle.
 SENT = 500_000
 
@@ -46,12 +48,11 @@ def _sets(k: int, sketch: int | None):
     return run
 
 
-def least_shared(k: int, percent: int, sketch: int = SKETCH) -> int:
+def least_shared(k: Column, percent: int, sketch: int) -> Column:
     """Of k retained values, how many a similar text's sketch shares at least; exact while sketches hold whole sets."""
     t = percent / 100
-    if k <= t * sketch:
-        return -(-k * percent // 100)
-    return max(1, floor(t * k - SIGMAS * sqrt(t * (1 - t) * k)))
+    fewest = F.floor(k * t - F.sqrt(k * (t * (1 - t))) * SIGMAS)
+    return F.when(k <= F.lit(t * sketch), F.floor((k * percent + 99) / 100)).otherwise(F.greatest(fewest, F.lit(1))).cast("int")
 
 
 def _similar(percent: int, sketch: int):
@@ -87,23 +88,51 @@ def _only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs[key] == ids["id"], "left_semi")
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int, sketch: int | None, unique: bool) -> DataFrame:
+    """Sets, or sketches, of the texts with one of the ids."""
+    kind, name = ("binary", "set") if sketch is None else ("array<long>", "sketch")
+    texts = _only(docs.select(F.col(key).cast("long").alias("key"), text), ids, "key")
+    full = texts.mapInArrow(_sets(k, sketch), f"id long, n int, sum_a long, sum_b long, {name} {kind}").where("n > 0")
+    if not unique:
+        full = full.groupBy("id").agg(F.min(F.struct("sum_a", "sum_b", "n", name)).alias("least")).select("id", "least.*")
+    return full
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int, unique: bool, work: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
     pairs = work.table(pairs, f"{name}-pairs")
     ids = work.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    texts = _only(docs.select(F.col(key).alias("key"), text), ids, "key")
-    full = texts.mapInArrow(_sets(k, None), "id long, n int, sum_a long, sum_b long, set binary").where("n > 0")
-    if not unique:
-        full = full.groupBy("id").agg(F.min(F.struct("sum_a", "sum_b", "n", "set")).alias("least")).select("id", "least.*")
-    full = work.table(full, f"{name}-sets")
+    full = work.table(_sets_of(docs, ids, key, text, k, None, unique), f"{name}-sets")
     right = full.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     left = full.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     sets = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
     return work.table(sets.mapInArrow(_similar(percent, SKETCH), "a long, b long"), f"{name}-edges")
 
 
-def _fits(n: str, m: str, percent: int):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _listed(texts: DataFrame, percent: int, sketch: int, work: Workspace, name: str) -> DataFrame:
+    """Lists that each text (id, n, sketch) must share with any similar one: id, n, v, long, top.
+
+    Of its retained values in order of rarity a text takes as many as leave fewer than it must share. Texts that
+    share no value of a short list share at most what is left, so in long lists top bounds their overlap.
+    """
+    entries = texts.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    lists = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = entries.join(lists, "v").groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
+    room = F.size("values") - least_shared(F.col("k"), percent, sketch) + 1
+    common = F.size(F.filter("values", lambda x: x["df"] > SHORT))
+    guess = F.least(F.col("n"), common * F.col("n") / F.col("k") + F.col("n") / F.sqrt("k") * (SIGMAS / 2))
+    top = F.when(F.col("n") == F.col("k"), common).otherwise(guess).cast("double")
+    taken = shared.withColumn("top", top).withColumn("room", room).where("room > 0")
+    each = taken.select("id", "n", "top", F.explode(F.slice("values", 1, F.col("room"))).alias("x"))
+    long = F.col("x.df") > SHORT
+    return work.table(each.select("id", "n", F.col("x.v").alias("v"), long.alias("long"), F.when(long, F.col("top")).otherwise(F.col("n").cast("double")).alias("top")), name)
+
+
+def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of a list's members with its others (p, m, cap, q), of components yet apart, that sizes and bounds allow."""
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    near = members.join(others, "v").where((F.col("label") != F.col("q")) & fits & (F.least("top", "cap") * (100 + percent) >= (F.col("n") + F.col("m")) * percent))
+    return near.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -129,34 +158,29 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
         turn = F.row_number().over(Window.partitionBy("id").orderBy("sum_a", "sum_b", "n"))
         texts = work.table(texts.withColumn("turn", turn).where("turn = 1").drop("turn"), "first-texts")
 
-    entries = texts.select("id", "n", F.explode("sketch").alias("v"))
-    lists = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(lists, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
-    need = F.element_at(F.array(*[F.lit(least_shared(i, percent)) for i in range(1, SKETCH + 1)]), F.least("n", F.lit(SKETCH)))
-    room = F.size("values") - need + 1
-    listed = shared.where(room > 0).select("id", "n", F.explode(F.transform(F.slice("values", 1, room), lambda x: x["v"])).alias("v"))
-    listed = work.table(listed, "listed")
+    first = _listed(texts, percent, SKETCH, work, "lists")
+    crowded = work.table(first.where("long").select("id").distinct(), "crowded")
+    wide = _sets_of(docs, crowded, key, text, k, WIDE, unique)
+    second = _listed(wide, percent, WIDE, work, "wide-lists").withColumn("v", F.col("v").bitwiseXOR(F.lit(1)))
+    listed = first.where("NOT long").unionByName(second)
 
-    labels, edges = None, None
+    labels = None
     for turn in range(PIVOTS + 1):
         if labels is None:
             open_ = listed.withColumn("label", F.col("id"))
         else:
             open_ = listed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
             split = open_.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("v")
-            open_ = work.table(open_.join(split, "v"), f"open-{turn}")
+            open_ = open_.join(split, "v")
+        open_ = work.table(open_, f"open-{turn}")
         if turn < PIVOTS:
-            first = open_.groupBy("v").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("label").alias("q"))).alias("first")).select("v", "first.*")
-            near = open_.join(first, "v").where((F.col("label") != F.col("q")) & _fits("n", "m", percent))
-            pairs = near.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+            order = F.struct((-F.col("top") / F.col("n") if turn == 0 else F.lit(0.0)).alias("o"), F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("top").alias("cap"), F.col("label").alias("q"))
+            others = open_.groupBy("v").agg(F.min(order).alias("first")).select("v", "first.p", "first.m", "first.cap", "first.q")
         else:
             sizes = open_.groupBy("v", "label").agg(F.count("*").alias("c"))
             main = sizes.groupBy("v").agg(F.max(F.struct("c", "label")).getField("label").alias("main"))
-            other = open_.join(main, "v").where("label <> main").select("v", F.col("id").alias("p"), F.col("n").alias("m"), F.col("label").alias("q"))
-            near = open_.join(other, "v").where((F.col("label") != F.col("q")) & _fits("n", "m", percent))
-            pairs = near.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        found = _verified(pairs, docs, key, text, k, percent, unique, work, f"round-{turn}")
-        edges = found if edges is None else edges
+            others = open_.join(main, "v").where("label <> main").select("v", F.col("id").alias("p"), F.col("n").alias("m"), F.col("top").alias("cap"), F.col("label").alias("q"))
+        found = _verified(_pairs(open_, others, percent), docs, key, text, k, percent, unique, work, f"round-{turn}")
         labels = components(found, work, f"labels-{turn}", labels)
     classes_ = texts.join(labels, F.col("id") == F.col("node"), "left").select(F.col("n").alias("m"), F.col("sum_a").alias("x"), F.col("sum_b").alias("y"), F.coalesce("label", "id").alias("class"))
     out = rows.join(classes_, (F.col("n") == F.col("m")) & (F.col("sum_a") == F.col("x")) & (F.col("sum_b") == F.col("y")) & F.col("id").isNotNull(), "left")

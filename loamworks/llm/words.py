@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at once; longer texts go in pieces cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 19
 # Odd multipliers and the constants of the splitmix64 finaliser.
 STEP = 0x9E3779B97F4A7C15 | 1
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -97,8 +97,8 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.int64)
     if len(words) < k:
-        h = np.uint64(len(words)) * np.uint64(STEP)
-        h = np.array([h + (words * np.array(PLACES[: len(words)], np.uint64)).sum(dtype=np.uint64)])
+        parts = np.append(words * np.array(PLACES[: len(words)], np.uint64), np.uint64(len(words) * STEP % (1 << 64)))
+        h = np.array([parts.sum(dtype=np.uint64)])
     else:
         h = np.zeros(len(words) - k + 1, np.uint64)
         for i in range(k):
