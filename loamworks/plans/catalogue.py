@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamworks.plans import relational
+from loamworks.plans import relational, texts
 
-PARTS = [relational]
+PARTS = [relational, texts]
 
 
 def queries() -> dict:
