@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamworks.plans import relational, texts
+from loamworks.plans import relational, texts, values
 
-PARTS = [relational, texts]
+PARTS = [relational, texts, values]
 
 
 def queries() -> dict:
