@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamworks.plans import relational, texts, values
+from loamworks.plans import relational, streams, texts, values
 
-PARTS = [relational, texts, values]
+PARTS = [relational, texts, values, streams]
 
 
 def queries() -> dict:
