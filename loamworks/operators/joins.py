@@ -72,7 +72,9 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(m, axis=1, keepdims=True) if len(m) else np.ones((0, 1))
+    if not len(m):
+        return np.zeros((0, 1))
+    size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
