@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 #: Bytes of text in one encoding batch, at least one text; longer texts are split at white space.
 BATCH = 1 << 20
 #: Chunks whose lengths a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: ASCII white space: this kind of tokenizer drops it and never looks across it.
 SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
+#: Texts of these characters have no other form, and no special tokens without "<|".
+SIMPLE = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*")
+# The tokenizer's own pieces, for lower-cased texts of such characters.
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -34,20 +38,32 @@ class Lengths:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def _sum(self, chunks: list[str]) -> int:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        fresh = [c for c in set(chunks) if c not in self.known]
+        if fresh:
+            encoded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+            self.known.update((c, len(e.ids)) for c, e in zip(fresh, encoded, strict=True))
+        return sum(map(self.known.__getitem__, chunks))
+
     def of(self, text: str) -> int:
-        """Tokens of a text, piece by piece; a piece ends before white space."""
+        """Tokens of a text, piece by piece; a piece ends before white space.
+
+        Pieces of simple characters fall into the tokenizer's own parts, others into what stands between white space.
+        """
         total, at = 0, 0
         while at < len(text):
             space = SPACE.search(text, at + BATCH) if len(text) > at + BATCH else None
             end = space.start() if space else len(text)
-            chunks = SPACE.split(text[at:end])
-            if len(self.known) > REMEMBERED:
-                self.known = {}
-            fresh = list(set(chunks) - self.known.keys())
-            if fresh:
-                encoded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-                self.known.update((c, len(e.ids)) for c, e in zip(fresh, encoded, strict=True))
-            total += sum(map(self.known.__getitem__, chunks))
+            piece = text[at:end]
+            if SIMPLE.fullmatch(piece) and "<|" not in piece:
+                total += self._sum(PART.findall(piece.lower()))
+            else:
+                chunks = SPACE.split(piece)
+                plain = [c for c in chunks if SIMPLE.fullmatch(c) and "<|" not in c]
+                total += self._sum(PART.findall(" ".join(plain).lower()))
+                total += self._sum([c for c in chunks if not SIMPLE.fullmatch(c) or "<|" in c])
             at = end
         return total
 
