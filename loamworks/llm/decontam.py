@@ -30,23 +30,32 @@ NUMBER, NAME, UNIT = "#", "@", "%"
 
 def plain(text: Column) -> Column:
     """Letters, digits and underscores, one space between tokens; separators inside a number become underscores."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,](?=[0-9])", "_")
+    c = F.coalesce(text, F.lit(""))
+    joined = F.when(c.rlike("[0-9][.,][0-9]"), F.regexp_replace(c, r"(?<=[0-9])[.,](?=[0-9])", "_")).otherwise(c)
     return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}_]+", " "))
 
 
 def template(plain_text: Column) -> Column:
     """The plain text with typed slots, in lower case; as many tokens as before."""
     alone = r"(?<![^ ])%s(?![^ ])"
-    out = F.regexp_replace(plain_text, alone % r"(?=[0-9])[0-9_]+", NUMBER)
-    out = F.regexp_replace(out, alone % f"(?=[a-zA-Z])(?i:{'|'.join(NUMBER_WORDS)})", NUMBER)
-    out = F.regexp_replace(out, rf"(?<=# )(?i:{'|'.join(UNITS)})(?![^ ])", UNIT)
-    out = F.regexp_replace(out, alone % f"(?=[A-Z])(?:{'|'.join(NAMES)})", NAME)
-    out = F.regexp_replace(out, rf"(?<=(?<![^ ])(?:{'|'.join(TITLES)}) )(?=\p{{Lu}})[\p{{L}}_]+(?![^ ])", NAME)
-    return F.lower(out)
+    out = F.when(plain_text.rlike("[0-9]"), F.regexp_replace(plain_text, alone % r"(?=[0-9])[0-9_]+", NUMBER)).otherwise(plain_text)
+    out = F.regexp_replace(out, alone % f"(?=[A-Z])(?:{_branches(NAMES)})", NAME)
+    titled = F.lit(False)
+    for t in TITLES:
+        titled = titled | F.contains(plain_text, F.lit(f"{t} "))
+    out = F.when(titled, F.regexp_replace(out, rf"(?<![^ ])(?=\p{{Lu}})(?<=(?<![^ ])(?:{'|'.join(TITLES)}) )[\p{{L}}_]+(?![^ ])", NAME)).otherwise(out)
+    out = F.regexp_replace(F.lower(out), alone % f"(?:{_branches(NUMBER_WORDS)})", NUMBER)
+    return F.when(F.contains(out, F.lit(f"{NUMBER} ")), F.regexp_replace(out, rf"(?<=# )(?:{_branches(UNITS)})(?![^ ])", UNIT)).otherwise(out)
+
+
+def _branches(words: list[str]) -> str:
+    """An alternation of words, first letters first."""
+    first = dict.fromkeys(w[0] for w in words)
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in first)
 
 
 def _tokens(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    return F.split(text, " ")
 
 
 def _hash(tokens: Column, at: Column, n: int) -> Column:
@@ -84,7 +93,8 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     base = base.select("key", "text_hash", "plain", _tokens(template(F.col("plain"))).alias("tokens"))
     found = None
     for n in sizes or [WINDOW]:
-        each = base.where(F.size("tokens") >= n).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)))
+        places = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n))
+        each = base.withColumn("at", F.explode_outer(places)).where("at IS NOT NULL")  # outer: no filter that computes the tokens again
         each = each.withColumn("hash", _hash(F.col("tokens"), F.col("at"), n))
         right = items.where(F.col("size") == n)
         hits = each.join(F.broadcast(right) if few else right, "hash")
