@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 @query()
 def rate_limit(events):
-    return S.rate_limit(events, "user_id", "ts", "event_id", 3, 3600.0)
+    return S.rate_limit(events, "user_id", "ts", "event_id", 2, 86400.0)
 
 
 @query()

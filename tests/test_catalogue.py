@@ -57,7 +57,7 @@ def test_entry_runs(spark):
     assert math.isclose(sum(r.ratio for r in rows), 1, abs_tol=1e-4)
 
 
-@pytest.mark.parametrize("name, step", [("rate_limit", lambda t: window_step(t, [], 3, 3600.0)[0]), ("token_bucket", lambda t: bucket_step(t, 3.0, None, 3.0, 3 / 86400)[0])])
+@pytest.mark.parametrize("name, step", [("rate_limit", lambda t: window_step(t, [], 2, 86400.0)[0]), ("token_bucket", lambda t: bucket_step(t, 3.0, None, 3.0, 3 / 86400)[0])])
 def test_admission_equals_sequential_model(spark, name, step):
     events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")).collect()
     want = {}
