@@ -56,12 +56,17 @@ def ingest_paragraphs(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "content")).where(F.length(F.trim("content")) >= 10).withColumn("paragraph", F.col("paragraph").cast("long"))
 
 
-SAFETY = "CASE " + " ".join(f"WHEN contains(text, '{w}') THEN '{c}:{w}:1.0'" for c, ws in SAMPLE_UNSAFE.items() for w in ws)
-SAFETY += r" WHEN length(text) < 10 THEN 'quality:too short:0.3' WHEN length(text) > 100000 THEN 'quality:too long:0.2' WHEN length(text) > 50 AND (length(text) - length(replace(text, mid, ''))) / length(text) > 0.5 AND mid NOT IN (' ', chr(10)) THEN 'spam:one character:0.6'"
-SAFETY += r" WHEN length(text) > 20 AND length(regexp_replace(text, '[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', '', 'g')) / length(text) < 0.6 THEN 'quality:unprintable:0.5' WHEN len(regexp_extract_all(text, 'https?://[^ \t\n\x0b\x0c\r]+')) > 5 THEN 'spam:links:0.7' END"
+def _sql_safety(unsafe: dict[str, list[str]]) -> str:
+    """category:reason:risk of the first rule that text breaks; mid is its middle character in order."""
+    out = "CASE " + " ".join(f"WHEN contains(text, '{w}') THEN '{c}:{w}:1.0'" for c, ws in unsafe.items() for w in ws)
+    out += r" WHEN length(text) < 10 THEN 'quality:too short:0.3' WHEN length(text) > 100000 THEN 'quality:too long:0.2' WHEN length(text) > 50 AND (length(text) - length(replace(text, mid, ''))) / length(text) > 0.5 AND mid NOT IN (' ', chr(10)) THEN 'spam:one character:0.6'"
+    return out + r" WHEN length(text) > 20 AND length(regexp_replace(text, '[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', '', 'g')) / length(text) < 0.6 THEN 'quality:unprintable:0.5' WHEN len(regexp_extract_all(text, 'https?://[^ \t\n\x0b\x0c\r]+')) > 5 THEN 'spam:links:0.7' END"
 
 
-@query(f"SELECT doc_id, {SAFETY} AS verdict FROM (SELECT *, list_sort(string_split(text, ''))[len(string_split(text, '')) // 2 + 1] AS mid FROM documents)")
+MIDDLE = "(SELECT *, list_sort(string_split(text, ''))[len(string_split(text, '')) // 2 + 1] AS mid FROM documents)"
+
+
+@query(f"SELECT doc_id, {_sql_safety(SAMPLE_UNSAFE)} AS verdict FROM {MIDDLE}")
 def safety_cascade(documents: DataFrame) -> DataFrame:
     v = X.safety(F.col("text"), SAMPLE_UNSAFE)
     return documents.select("doc_id", F.when(v.isNotNull(), F.concat_ws(":", v["category"], v["reason"], v["risk"].cast("string"))).alias("verdict"))
@@ -226,7 +231,13 @@ def audio_metrics(documents: DataFrame) -> DataFrame:
     return X.acoustic_features(documents.select("doc_id", "text")).drop("text")
 
 
-@query()
+MADE = f"SELECT doc_id, source, '{fixed.ASK_SFT}' || replace(substring(text, 1, 80), chr(10), ' ') AS i, substring(text, 1, 600) AS o FROM {MIDDLE} WHERE ({_sql_safety(fixed.UNSAFE)}) IS NULL"
+JUDGED = f"SELECT source, round(round(({_sql_qc('i', 'o')}) * 0.6::DOUBLE + 5.5::DOUBLE * 0.4::DOUBLE, 9), 2) AS s FROM (SELECT *, row_number() OVER (PARTITION BY md5(i || o) ORDER BY doc_id) AS turn FROM ({MADE})) WHERE turn = 1"
+FLAGSHIP = f"""WITH g AS (SELECT source, count(*) AS samples, round(avg(s), 2) AS avg_quality, sum(CASE WHEN s >= 9 THEN 3.0::DOUBLE WHEN s >= 7 THEN 2.0::DOUBLE WHEN s >= 5 THEN 1.0::DOUBLE ELSE 0 END * 1.5::DOUBLE) AS w FROM ({JUDGED}) GROUP BY source),
+r AS (SELECT *, round(w / sum(w) OVER (), 6) AS ratio FROM g) SELECT source, samples, avg_quality, ratio, round(7000.0::DOUBLE * ratio, 4) AS creator_share, round(3000.0::DOUBLE * ratio, 4) AS platform_fee FROM r"""
+
+
+@query(FLAGSHIP)
 def flagship_production(documents: DataFrame) -> DataFrame:
     made = X.produced(documents, "text", "lang").withColumn("digest", F.md5(F.concat("s.instruction", "s.output")))
     first = R.latest(made.select("doc_id", "source", "tier", "q", "digest"), "digest", F.asc("doc_id"))
