@@ -241,3 +241,35 @@ def fused(video: dict[str, Column], audio: dict[str, Column]) -> dict[str, Colum
     # The video's share of each dimension.
     share = {"entropy": 0.55, "snr": 0.55, "structure": 0.50, "scarcity": 0.70, "llm_value": 0.60, "shapley": 0.65}
     return {d: F.round(F.coalesce(v * share[d] + audio[d] * (1 - share[d]), v), 1) for d, v in video.items()}
+
+
+def acoustic_print(rms: Column) -> Column:
+    """Fingerprint of an energy envelope: a bit for each frame above the mean (V-23)."""
+    mean = F.aggregate(rms, F.lit(0.0), lambda s, x: s + x) / F.size(rms)
+    bits = F.array_join(F.transform(rms, lambda x: F.when(x > mean, "1").otherwise("0")), "")
+    count = F.ceil(F.length(bits) / 8).cast("int")
+    padded = F.rpad(bits, count * 8, F.lit("0"))
+    octet = lambda i: F.lpad(F.conv(F.substr(padded, (i - 1) * 8 + 1, F.lit(8)), 2, 16), 2, "0")
+    body = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), count), octet), ""))
+    return F.when(F.size(rms) > 0, F.concat(F.lit("0xAFP_"), F.upper(F.substring(F.sha2(body, 256), 1, 12))))
+
+
+def alignment(df: DataFrame, prototypes: DataFrame, vector: str, scene: str) -> DataFrame:
+    """Rows with align, 0 to 100: the cosine to the scene's prototype, or the best of all for a scene without one (V-24).
+
+    prototypes (scene, prototype) has a row for each scene; a null vector gives 50.
+    """
+    from loamworks.functions.vectors import cosine
+
+    table = prototypes.select(F.collect_list(F.struct("scene", "prototype")).alias("__lw_p"))
+    score = lambda p: clamp((cosine(F.col(vector), p["prototype"]) + 1) / 2 * 100, 0.0, 100.0)
+    own = F.filter("__lw_p", lambda p: p["scene"] == F.col(scene))
+    used = F.when(F.size(own) > 0, own).otherwise(F.col("__lw_p"))
+    best = F.array_max(F.transform(used, score))
+    return df.join(F.broadcast(table)).withColumn("align", F.when(F.col(vector).isNull(), 50.0).otherwise(F.coalesce(best, F.lit(50.0)))).drop("__lw_p")
+
+
+def batch_report(results: DataFrame, status: str, limit: int = 20) -> DataFrame:
+    """Totals of a batch of valuations whose rows may have failed (V-26)."""
+    ok = F.count(F.when(F.col(status) == "ok", 1))
+    return results.agg(F.count("*").alias("total"), ok.alias("ok"), (F.count("*") - ok).alias("errors"), (F.count("*") > limit).alias("truncated"))

@@ -58,3 +58,10 @@ def requests_in_window(events):
 
     w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
     return events.select("event_id", F.count("*").over(w).alias("n"))
+
+
+@query()
+def routed_limits(events):
+    path = F.when(F.col("event_type") == "view", "/api/valuate").when(F.col("event_type") == "click", "/api/auth/login").when(F.col("event_type") == "purchase", "/api/dataset/batch_ingest").otherwise("/api/other")
+    rows = events.select("event_id", "ts", path.alias("path"), S.client(F.lit(None).cast("string"), (F.col("user_id") % 5).cast("string")).alias("who"))
+    return S.routed_limits(rows, "path", "who", "ts", "event_id", {"/api/auth/login": (2, 3600.0), "/api/dataset/batch_ingest": (1, 3600.0)}, {"/api/valuate": 1})

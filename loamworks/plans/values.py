@@ -223,3 +223,23 @@ def dedup_fuzzy_greedy(documents: DataFrame) -> DataFrame:
 @query("SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM embeddings o WHERE o.vec_id < e.vec_id AND list_cosine_similarity(o.embedding::DOUBLE[], e.embedding::DOUBLE[]) >= 0.92)")
 def dedup_semantic_greedy(embeddings: DataFrame) -> DataFrame:
     return dedup.semantic(embeddings, "vec_id", "embedding").select("vec_id")
+
+
+@query()
+def acoustic_print(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select("vec_id", V.acoustic_print(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("print"))
+
+
+PROTOTYPES = "SELECT label % 3 AS scene, list(x ORDER BY i) AS prototype FROM (SELECT label, i, avg(x) AS x FROM (SELECT label % 3 AS label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label"
+
+
+@query(f"WITH p AS ({PROTOTYPES}), s AS (SELECT vec_id, label % 4 AS want, scene, greatest(0, least(100::DOUBLE, (list_cosine_similarity(embedding::DOUBLE[], prototype) + 1) / 2 * 100)) AS a FROM embeddings, p) SELECT vec_id, round(CASE WHEN want < 3 THEN max(a) FILTER (WHERE scene = want) ELSE max(a) END, 4) AS align FROM s GROUP BY vec_id, want")
+def prototype_alignment(embeddings: DataFrame) -> DataFrame:
+    each = embeddings.select((F.col("label") % 3).alias("scene"), F.posexplode("embedding").alias("i", "x")).groupBy("scene", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    table = each.groupBy("scene").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("prototype"))
+    return V.alignment(embeddings.withColumn("want", F.col("label") % 4), table, "embedding", "want").select("vec_id", F.round("align", 4).alias("align"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE o_totalprice > 1000) AS ok, count(*) FILTER (WHERE NOT o_totalprice > 1000) AS errors, count(*) > 20 AS truncated FROM orders")
+def batch_report(orders: DataFrame) -> DataFrame:
+    return V.batch_report(orders.select(F.when(F.col("o_totalprice") > 1000, "ok").otherwise("error").alias("status")), "status")

@@ -16,6 +16,10 @@ IDLE_S = 3600
 ROUTES = {"valuate": 20, "history": 60, "ingest": 30, "batch": 5, "produce": 10, "sell": 20, "login": 10, "register": 5}
 
 
+# Prefixes with a lasting limit: requests, and seconds in which they count.
+LASTING = {"/api/auth/login": (10, 60.0), "/api/auth/register": (5, 60.0), "/api/dataset/batch_ingest": (5, 60.0)}
+
+
 def window_step(times: list[float], accepted: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
     """Accepts a request unless limit requests were accepted in the window before it; only accepted ones count."""
     out = []
@@ -60,6 +64,28 @@ def _by_key(events: DataFrame, key: str, time: str, order: str, decide) -> DataF
     return lean.where("t IS NOT NULL").groupBy("key").applyInPandas(run, f"key {kinds['key']}, id {kinds['id']}, allowed boolean").withColumnsRenamed({"key": key, "id": order})
 
 
+def client(forwarded: Column, host: Column) -> Column:
+    """Who asks: the first forwarded address, else the host (ST-10)."""
+    return F.coalesce(F.nullif(F.trim(F.split(forwarded, ",")[0]), F.lit("")), host, F.lit("unknown"))
+
+
+def routed_limits(requests: DataFrame, path: str, who: str, time: str, order: str, lasting: dict = LASTING, buckets: dict | None = None) -> DataFrame:
+    """Each request with allowed: the first matching prefix's limit, and then the bucket of its exact path (ST-10)."""
+    buckets = {f"/api/{k}": v for k, v in ROUTES.items()} if buckets is None else buckets
+    prefix = F.coalesce(*[F.when(F.col(path).startswith(p), p) for p in lasting], F.lit(None).cast("string"))
+    rows = requests.select(path, who, time, order, prefix.alias("prefix"))
+    passed = rows.where("prefix IS NULL").select(order, F.lit(True).alias("first"))
+    for p, (limit, window) in lasting.items():
+        some = rate_limit(rows.where(F.col("prefix") == p), who, time, order, limit, window)
+        passed = passed.unionByName(some.select(order, F.col("allowed").alias("first")))
+    rows = rows.join(passed, order)
+    out = rows.where(~F.col("first") | ~F.col(path).isin(*buckets)).select(order, F.col("first").alias("allowed"))
+    for route, capacity in buckets.items():
+        some = token_bucket(rows.where(F.col("first") & (F.col(path) == route)), who, time, order, float(capacity), capacity / 60)
+        out = out.unionByName(some.select(order, "allowed"))
+    return out
+
+
 def stream_rate_limit(events: DataFrame, key: str, time: str, order: str, limit: int, window: float) -> DataFrame:
     """The same over a stream: state holds the accepted times, and goes after IDLE_S without requests (ST-01, ST-03)."""
 

@@ -200,6 +200,34 @@ def test_streams_equal_tables(spark, tmp_path):
         assert {r.id: r.allowed for r in spark.table(f"out_{name}").collect()} == {r.id: r.allowed for r in table.collect()}
 
 
+def test_routed_limits_equal_sequential_model(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["/api/auth/login/x", "/api/valuate", "/api/free"]), rng.choice("ab"), 1_700_000_000 + i * 3 + rng.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, path string, who string, s double").select("id", "path", "who", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"))
+    lasting, buckets = {"/api/auth/login": (3, 60.0)}, {"/api/valuate": 4}
+    want, accepted, level = {}, {}, {}
+    for i, path, who, t in sorted(rows, key=lambda r: r[3]):
+        if path.startswith("/api/auth/login"):
+            ok, accepted[who] = state.window_step([t], accepted.get(who, []), 3, 60.0)
+            want[i] = ok[0]
+        elif path in buckets:
+            ok, *level[who] = state.bucket_step([t], *level.get(who, [4.0, None]), 4.0, 4 / 60)
+            want[i] = ok[0]
+        else:
+            want[i] = True
+    got = {r.id: r.allowed for r in state.routed_limits(df, "path", "who", "ts", "id", lasting, buckets).collect()}
+    assert got == want and not all(want.values())
+    assert [one(spark, state.client(F.col("f"), F.col("h")), f=f, h="h") for f in ("1.2.3.4, 5.6.7.8", "")] == ["1.2.3.4", "h"]
+
+
+def test_acoustic_print(spark):
+    values = [0.1, 0.9, 0.8, 0.1, 0.1, 0.9, 0.2, 0.1, 0.9, 0.1]
+    mean = sum(values) / len(values)
+    bits = "".join("1" if v > mean else "0" for v in values).ljust(16, "0")
+    want = "0xAFP_" + hashlib.sha256(bytes(int(bits[i : i + 8], 2) for i in (0, 8))).hexdigest()[:12].upper()
+    assert one(spark, V.acoustic_print(F.col("r")), r=values) == want
+
+
 def test_plans_stay_native_and_blocked(spark):
     from loamworks.plans import catalogue
 
