@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamworks.session import Workspace
 
 #: Most frequent n-grams in a profile, and the longest n-gram.
 PROFILE = 300
