@@ -83,7 +83,8 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     kind = F.when(F.col("owners") >= COMMON, "copied").when(F.array_contains("placeholders", F.col("digest")), "placeholder").otherwise("live")
     verdicts = looked.groupBy("set").agg(F.array_sort(F.collect_set(F.struct("digest", "owners", "repositories", kind.alias("class")))).alias("verdicts"))
     empty = F.array().cast("array<struct<digest:string,owners:bigint,repositories:bigint,class:string>>")
-    out = found.withColumn("set", F.when(F.size("digests") > 0, row_set)).join(verdicts, "set", "left")
+    alone = F.concat(F.lit("-"), F.coalesce(F.col("key").cast("string"), F.lit("")))  # rows without a value are dealt by key
+    out = found.withColumn("set", F.when(F.size("digests") > 0, row_set).otherwise(alone)).join(verdicts, "set", "left")
     return out.select(F.col("key").alias(key), "spans", F.coalesce("verdicts", empty).alias("verdicts"))
 
 
