@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.session import Workspace
+
 #: Tokens in a window; shorter items are one window of all their tokens, of LEAST tokens or more.
 WINDOW = 8
 LEAST = 4
@@ -116,6 +118,7 @@ def _judged(hits: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that leak an item of the benchmark."""
     bad = find(docs, benchmark, key, text).select(F.col(key).alias("__lw_key"), F.col("text_hash").alias("__lw_hash")).distinct()
+    bad = Workspace(docs.sparkSession, "decontam").table(bad, "leaks")  # counted and joined, but found once
     few = bad.limit(SENT + 1).count() <= SENT
     return docs.join(F.broadcast(bad) if few else bad, F.col(key).eqNullSafe(F.col("__lw_key")) & (F.xxhash64(text) == F.col("__lw_hash")), "left_anti")
 
