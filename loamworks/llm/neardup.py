@@ -113,15 +113,21 @@ def _listed(texts: DataFrame, percent: int, sketch: int, work: Workspace, name:
     """Lists that each text (id, n, sketch) must share with any similar one: id, n, v, long, top.
 
     Of its retained values in order of rarity a text takes as many as leave fewer than it must share. Texts that
-    share no value of a short list share at most what is left, so in long lists top bounds their overlap.
+    share no value of a short list share at most what is left, so in long lists top bounds their overlap. The sketch
+    of a larger text ends at a smaller hash, and a value beyond that end is rare though shared. So top counts only as
+    many of the smallest values as any similar text's sketch reaches, and scales their share to the whole set; it is
+    exact where even the largest similar text is retained whole.
     """
-    entries = texts.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    t = percent / 100
+    reach = max(1, int(sketch * t - SIGMAS * sqrt(sketch * t * (1 - t))))
+    entries = texts.select("id", "n", F.size("sketch").alias("k"), F.posexplode("sketch").alias("pos", "v"))
+    entries = entries.withColumn("early", (F.col("n") * 100 <= sketch * percent) | (F.col("pos") < reach)).drop("pos")
     lists = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(lists, "v").groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
+    shared = entries.join(lists, "v").groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v", "early"))).alias("values"))
     room = F.size("values") - least_shared(F.col("k"), percent, sketch) + 1
-    common = F.size(F.filter("values", lambda x: x["df"] > SHORT))
-    guess = F.least(F.col("n"), common * F.col("n") / F.col("k") + F.col("n") / F.sqrt("k") * (SIGMAS / 2))
-    top = F.when(F.col("n") == F.col("k"), common).otherwise(guess).cast("double")
+    common = F.size(F.filter("values", lambda x: (x["df"] > SHORT) & x["early"]))
+    guess = F.least(F.col("n"), common * F.col("n") / F.lit(reach) + F.col("n") * (SIGMAS / 2 / sqrt(reach)))
+    top = F.when(F.col("n") * 100 <= sketch * percent, common).otherwise(guess).cast("double")
     taken = shared.withColumn("top", top).withColumn("room", room).where("room > 0")
     each = taken.select("id", "n", "top", F.explode(F.slice("values", 1, F.col("room"))).alias("x"))
     long = F.col("x.df") > SHORT

@@ -67,6 +67,21 @@ def test_chains_copies_and_odd_texts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
 
 
+def test_truncated_text_beside_crowded_longer_ones(spark):
+    """The copies' sketches agree and end before the truncated text's does, so no rare value links it."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(2600)]
+    suffixed = [" ".join([*base, f"end{i}"]) for i in range(900)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(901)), "text": [" ".join(base), *suffixed]})
+    sketches = [s.as_py() for b in neardup._sets(4, neardup.WIDE)(iter([batch])) for s in b.column("sketch")]
+    same = [t for t, s in zip(suffixed, sketches[1:], strict=True) if s == sketches[0]][:120]
+    assert len(same) == 120
+    _, roots = compare(spark, [*same, " ".join(base[:2210])])
+    assert roots[120] == 0
+
+
 def test_repeated_rows_null_keys_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (3, None), (3, None), (4, "x y z"), (4, "p q r")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in neardup.classes(docs, k=4).collect())
