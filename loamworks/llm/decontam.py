@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamworks.session import Workspace
 
-#: Tokens in a window; shorter items are one window of all their tokens, of LEAST tokens or more.
+#: Tokens in a window; shorter items are one window of all their tokens. Windows under LEAST tokens match verbatim only.
 WINDOW = 8
 LEAST = 4
 #: Share of an item's windows that a document must hold.
@@ -60,22 +60,26 @@ def _tokens(text: Column) -> Column:
     return F.split(text, " ")
 
 
-def _hash(tokens: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), *[tokens[at + i] for i in range(n)])
+def _hash(tokens: Column, at: Column, n: int, exact: bool = False) -> Column:
+    return F.xxhash64(F.lit(-n if exact else n), *[tokens[at + i] for i in range(n)])
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Each item's windows: item, size, n_windows, pos, hash and the raw tokens; more than half of the tokens are no slots."""
-    base = benchmark.select(F.col(item).alias("item"), plain(F.col(text)).alias("plain"))
+    """Each item's windows: item, size, n_windows, n_template, pos, exact, hash, the raw tokens and whether slotted.
+
+    Windows in which half or more of the tokens are slots, and those under LEAST tokens, say too little as templates:
+    they are exact, with the hash of their raw tokens in lower case. n_template counts the others. Items without a
+    token, or of slots only, have no windows.
+    """
+    base = benchmark.select(F.col(item).alias("item"), plain(F.col(text)).alias("plain")).where("plain <> ''")
     base = base.select("item", _tokens(F.lower("plain")).alias("raw"), _tokens(template(F.col("plain"))).alias("tokens"))
-    base = base.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW))).where(F.col("size") >= LEAST)
+    base = base.where(F.exists("tokens", lambda t: ~t.isin(NUMBER, NAME, UNIT))).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
     each = base.withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))))
-    window = F.slice("tokens", F.col("pos") + 1, F.col("size"))
-    hashes = [F.when(F.col("size") == n, _hash(F.col("tokens"), F.col("pos"), n)) for n in range(LEAST, WINDOW + 1)]
-    each = each.select("item", "size", "pos", F.coalesce(*hashes).alias("hash"), F.slice("raw", F.col("pos") + 1, F.col("size")).alias("raw"), window.alias("window"))
-    slots = F.size(F.filter("window", lambda t: t.isin(NUMBER, NAME, UNIT)))
-    each = each.where(slots * 2 < F.col("size")).withColumn("slotted", slots > 0)
-    totals = each.groupBy("item").agg(F.countDistinct("pos").alias("n_windows"))
+    slots = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, F.col("size")), lambda t: t.isin(NUMBER, NAME, UNIT)))
+    each = each.withColumn("slots", slots).withColumn("exact", (F.col("size") < LEAST) | (F.col("slots") * 2 >= F.col("size")))
+    hashes = [F.when(F.col("size") == n, F.when(F.col("exact"), _hash(F.col("raw"), F.col("pos"), n, True)).otherwise(_hash(F.col("tokens"), F.col("pos"), n))) for n in range(1, WINDOW + 1)]
+    each = each.select("item", "size", "pos", "exact", F.coalesce(*hashes).alias("hash"), F.slice("raw", F.col("pos") + 1, F.col("size")).alias("raw"), (~F.col("exact") & (F.col("slots") > 0)).alias("slotted"))
+    totals = each.groupBy("item").agg(F.countDistinct("pos").alias("n_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("n_template"))
     return each.join(totals, "item")
 
 
@@ -84,34 +88,46 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
     Every window of every document is hashed and joined with the items' windows. Matches on one diagonal (document
     place less item place) belong together: there each slot value of the item must stand for one value of the
-    document throughout, or the diagonal doesn't count. The document leaks the item if the windows of consistent
-    diagonals are SHARE of the item's or more. Null and empty texts leak nothing; rows are told apart by key and
+    document throughout, or the diagonal doesn't count. Exact windows count on any diagonal. The document leaks the
+    item if its windows are SHARE of the item's or more, or those that match as templates are of the item's templates,
+    so that exact windows can't hide a changed copy; share is the greater of the two. Null and empty texts leak nothing; rows are told apart by key and
     text, so repeated rows give one result; an empty benchmark gives no rows.
     """
     items = item_windows(benchmark)
     few = items.limit(SENT + 1).count() <= SENT
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    kinds = [(r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect()]
+    sizes, exact = (sorted(n for n, e in kinds if e == kind) for kind in (False, True))
     base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), plain(F.col(text)).alias("plain"))
+    raw = base.select("key", "text_hash", _tokens(F.lower("plain")).alias("tokens"))
     base = base.select("key", "text_hash", "plain", _tokens(template(F.col("plain"))).alias("tokens"))
     found = None
-    for n in sizes or [WINDOW]:
+    for n in sizes if kinds else [WINDOW]:
         places = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n))
         each = base.withColumn("at", F.explode_outer(places)).where("at IS NOT NULL")  # outer: no filter that computes the tokens again
         each = each.withColumn("hash", _hash(F.col("tokens"), F.col("at"), n))
-        right = items.where(F.col("size") == n)
+        right = items.where((F.col("size") == n) & ~F.col("exact"))
         hits = each.join(F.broadcast(right) if few else right, "hash")
         own = F.when(F.col("slotted"), F.transform(F.slice(F.split(F.lower("plain"), " "), F.col("at") + 1, n), lambda t, i: F.struct(F.col("raw")[i].alias("a"), t.alias("b"))))
-        hits = hits.select("key", "text_hash", "item", "n_windows", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), F.when(F.col("slotted"), F.array_distinct(F.zip_with(own, F.slice("tokens", F.col("at") + 1, n), lambda p, t: F.when(t.isin(NUMBER, NAME, UNIT), p)))).alias("pairs"))
+        hits = hits.select("key", "text_hash", "item", "n_windows", "n_template", "exact", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), F.when(F.col("slotted"), F.array_distinct(F.zip_with(own, F.slice("tokens", F.col("at") + 1, n), lambda p, t: F.when(t.isin(NUMBER, NAME, UNIT), p)))).alias("pairs"))
+        found = hits if found is None else found.unionByName(hits)
+    if exact:
+        each = raw.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)))
+        hashes = [F.when(F.col("at") + n <= F.size("tokens"), _hash(F.col("tokens"), F.col("at"), n, True)) for n in exact]
+        each = each.select("key", "text_hash", "at", F.explode(F.array(*hashes)).alias("hash"))
+        right = items.where("exact").select("hash", "item", "n_windows", "n_template", "exact", "pos")
+        hits = each.join(F.broadcast(right) if few else right, "hash").withColumn("diagonal", F.col("at") - F.col("pos")).drop("at", "hash")
+        hits = hits.withColumn("pairs", F.lit(None).cast("array<struct<a:string,b:string>>"))
         found = hits if found is None else found.unionByName(hits)
     return _judged(found).withColumnsRenamed({"key": key, "item": "item_id"})
 
 
 def _judged(hits: DataFrame) -> DataFrame:
-    line = hits.groupBy("key", "text_hash", "item", "n_windows", "diagonal").agg(F.collect_set("pos").alias("places"), F.array_compact(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"))
+    line = hits.groupBy("key", "text_hash", "item", "n_windows", "n_template", "exact", "diagonal").agg(F.collect_set("pos").alias("places"), F.array_compact(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
     line = line.where(consistent).withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
-    whole = line.groupBy("key", "text_hash", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("held"), F.min("same").alias("verbatim"))
-    share = F.col("held") / F.col("n_windows")
+    count = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long")
+    whole = line.groupBy("key", "text_hash", "item", "n_windows", "n_template").agg(count("places").alias("held"), count(F.when(~F.col("exact"), F.col("places"))).alias("held_template"), F.min("same").alias("verbatim"))
+    share = F.greatest(F.col("held") / F.col("n_windows"), F.when(F.col("n_template") > 0, F.col("held_template") / F.col("n_template")))
     return whole.where(share >= SHARE).select("key", "text_hash", "item", "held", share.alias("share"), "verbatim")
 
 

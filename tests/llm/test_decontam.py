@@ -55,3 +55,22 @@ def test_slots(spark):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7, 8]
     shorter = spark.createDataFrame([(1, "a quite Short item, here now")], "doc_id long, text string")
     assert [r.item_id for r in decontam.digest(shorter, items).collect()] == [11]
+
+
+def test_items_of_many_slots_and_short_items_are_found_verbatim(spark):
+    texts = ["What is 17 * 24 + 8?", "Compute 12 + 34 - 56.", "Find gcd(48, 180, 252)", "Sort 5, 3, 9, 1, 7, 2 in ascending order", "Name Turing", "entropy"]
+    items = spark.createDataFrame([*enumerate(texts), (90, ""), (91, "...")], "item_id long, text string")
+    docs = [(i, f"Some words before. {t.upper()} And some after 8") for i, t in enumerate(texts)]
+    other = [(50, "What is 18 * 24 + 8?"), (51, "Compute 12 + 34 - 57."), (52, "Find gcd(48, 180, 253)"), (53, "Sort 5, 3, 9, 4, 7, 2 in descending order"), (54, "Name a Turing"), (55, "entropies"), (56, ""), (57, None)]
+    docs = spark.createDataFrame([*docs, *other], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.share, r.verbatim) for r in decontam.digest(docs, items).collect())
+    assert got == [(i, i, 1.0, True) for i in range(len(texts))]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, items).collect()) == [r[0] for r in other]
+
+
+def test_exact_windows_do_not_hide_a_changed_copy(spark):
+    item = "the old mill stands near the river and sold 12 34 56 78 91 23 45 67 89 21 43 65 87 98 76 54 32 11 22 33 44 55 66 77 88 99"
+    changed = "".join(str(9 - int(c)) if c.isdigit() else c for c in item)
+    docs = spark.createDataFrame([(1, item), (2, changed)], "doc_id long, text string")
+    got = decontam.digest(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.share, r.verbatim) for r in got) == [(1, 1.0, True), (2, 1.0, False)]
