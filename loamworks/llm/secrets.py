@@ -32,8 +32,8 @@ MORE_SIGN = r"gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ|PRIVATE KEY|:
 
 # What placeholder values look like.
 PLACEHOLDER = r"(?i)example|placeholder|changeme|change_me|dummy|sample|your[_-]|xxxx|1234567|abcdef|test|<|^(.)\1*$"
-#: Owners from which a value counts as widely copied.
-COMMON = 3
+#: Owners, or distinct repositories of any owner, from which a value counts as widely copied.
+COMMON, COMMON_REPOSITORIES = 3, 20
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -55,32 +55,38 @@ def spans(text: Column) -> Column:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """Per value digest: rows, distinct repositories and distinct owners; copies are counted before they are moved."""
+    """Per value digest: rows, distinct repositories (per owner) and distinct owners; copies are counted before they are moved."""
     pairs = candidates.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n"))
     owners = pairs.groupBy("digest", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
     return owners.groupBy("digest").agg(F.sum("n").alias("n"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
+def places(candidates: DataFrame) -> DataFrame:
+    """Per value digest its distinct repositories where all exact copies of a text are in one, the smallest of theirs."""
+    homes = candidates.groupBy("digest", "print").agg(F.min("repository").alias("repository")).groupBy("digest", "repository").agg(F.lit(1).alias("n"))
+    return homes.groupBy("digest").agg(F.count("*").alias("places"))
+
+
 def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, spans and verdicts: the digest, owners, repositories and class of each distinct value.
 
-    Classes: "copied" from COMMON owners on, "placeholder" by its looks, else "live". Null owners and repositories
-    are one of their own. Rows without candidates get empty arrays; repeated rows stay and count as rows, not as
+    Classes: "copied" from COMMON owners or COMMON_REPOSITORIES repositories on, for which exact copies of a text are
+    one, "placeholder" by its looks, else "live". Null owners and repositories are one of their own. Rows without candidates get empty arrays; repeated rows stay and count as rows, not as
     owners. Values leave as SHA-256 digests only.
     """
     work = Workspace(docs.sparkSession, "secrets")
     owner = owner if owner is not None else F.lit(None).cast("string")
     repository = repository if repository is not None else F.col(key).cast("string")
-    found = docs.select(F.col(key).alias("key"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), spans(F.col(text)).alias("spans"))
+    found = docs.select(F.col(key).alias("key"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.xxhash64(text).alias("print"), spans(F.col(text)).alias("spans"))
     found = found.withColumn("digests", F.array_distinct(F.transform("spans", lambda s: F.sha2(s["value"], 256))))
     placeholders = F.array_distinct(F.transform(F.filter("spans", lambda s: s["value"].rlike(PLACEHOLDER)), lambda s: F.sha2(s["value"], 256)))
     found = work.table(found.withColumn("placeholders", placeholders), "found")
-    each = found.select("owner", "repository", F.explode("digests").alias("digest"))
-    owned = work.table(ownership(each).withColumnRenamed("n", "rows"), "owned")
+    each = found.select("owner", "repository", "print", F.explode("digests").alias("digest"))
+    owned = work.table(ownership(each).withColumnRenamed("n", "rows").join(places(each), "digest"), "owned")
     sets = found.where(F.size("digests") > 0).select("digests", "placeholders").distinct()
     row_set = F.sha2(F.array_join("digests", ","), 256)
     looked = sets.select(row_set.alias("set"), "placeholders", F.explode("digests").alias("digest")).join(owned, "digest")
-    kind = F.when(F.col("owners") >= COMMON, "copied").when(F.array_contains("placeholders", F.col("digest")), "placeholder").otherwise("live")
+    kind = F.when((F.col("owners") >= COMMON) | (F.col("places") >= COMMON_REPOSITORIES), "copied").when(F.array_contains("placeholders", F.col("digest")), "placeholder").otherwise("live")
     verdicts = looked.groupBy("set").agg(F.array_sort(F.collect_set(F.struct("digest", "owners", "repositories", kind.alias("class")))).alias("verdicts"))
     empty = F.array().cast("array<struct<digest:string,owners:bigint,repositories:bigint,class:string>>")
     alone = F.concat(F.lit("-"), F.coalesce(F.col("key").cast("string"), F.lit("")))  # rows without a value are dealt by key

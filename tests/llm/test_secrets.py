@@ -53,3 +53,16 @@ def test_repeated_rows_and_empty_tables(spark):
     got = secrets.scan(docs, owner=docs.source)
     assert got.count() == 4 and {v.owners for r in got.collect() for v in r.verdicts} == {2}
     assert secrets.digest(docs.limit(0)).count() == 0
+
+
+def test_values_in_many_documents_of_one_source_are_copied(spark):
+    example, own, few = ("token = " + v * 10 for v in ("0a9b", "77c3", "5d1e"))
+    n = secrets.COMMON_REPOSITORIES
+    docs = [(i, f"page {i} {example}") for i in range(n)] + [(100 + i, own) for i in range(3 * n)] + [(200 + i, f"page {i} {few}") for i in range(n - 1)]
+    docs = spark.createDataFrame([(i, t, "hot") for i, t in docs], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_live > 0, r.n_copied > 0) for r in secrets.digest(docs).collect()}
+    assert {got[i] for i in range(n)} == {(False, True)}  # distinct documents of one source
+    assert {got[100 + i] for i in range(3 * n)} == {(True, False)}  # exact copies are one repository
+    assert {got[200 + i] for i in range(n - 1)} == {(True, False)}
+    scanned = secrets.scan(docs, owner=docs.source, repository=docs.source).collect()
+    assert {v["class"] for r in scanned for v in r.verdicts} == {"live"}  # all one repository
