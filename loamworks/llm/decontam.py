@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamworks.session import Workspace
@@ -12,21 +12,26 @@ WINDOW = 8
 LEAST = 4
 #: Share of an item's windows that a document must hold.
 SHARE = 0.25
-#: Windows, or flagged documents, that are sent to all tasks at most; more are joined by shuffle.
+#: Rows of narrow columns (window hashes, flagged documents) that are sent to all tasks at most; more are joined by shuffle.
 SENT = 500_000
 
-# Given names, titles, number words, and units after a number.
-NAMES = (
-    "Adam Alan Alex Alice Amy Andrea Andrew Anna Anne Anthony Ben Betty Bill Bob Brian Carl Carlos Carol Charles Chris Claire Dan Daniel David Diana Edward Elena Emily Emma Eric Eva Frank Fred George "
-    "Hannah Harry Helen Henry Jack James Jane Jason Jean Jenny Jim Joe John Jose Joseph Julia Julie Karen Kate Kevin Laura Leo Linda Lisa Lucy Luis Maria Marie Mark Martin Mary Max Mia Michael Mike Nancy "
-    "Nick Nina Noah Olivia Oscar Pablo Patricia Paul Peter Rachel Ralph Richard Robert Rosa Ruth Sally Sam Samuel Sara Sarah Sofia Sophie Steve Susan Thomas Tim Tina Tom Victor William Zoe"
-).split()
-TITLES = "Dr Mr Mrs Ms Prof Miss".split()
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
-UNITS = (
-    "km m cm mm mi mile miles foot feet ft inch inches yard yards kg g mg lb lbs pound pounds oz ounce ounces ton tons tonne tonnes l ml liter liters litre litres gallon gallons s sec second seconds min "
-    "minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms"
-).split()
+# Words that begin sentences and are no names, number words, and units after a number.
+OPENERS = [
+    "a", "an", "the", "this", "that", "these", "those", "he", "she", "it", "they", "we", "you", "his", "her", "their", "its", "our", "your", "my", "what", "which", "who", "whose", "where", "when", "why", "how",
+    "if", "after", "before", "then", "there", "in", "on", "at", "by", "for", "from", "of", "to", "with", "and", "or", "but", "as", "each", "every", "all", "both", "some", "let", "find", "compute", "calculate", "given",
+    "suppose", "assume", "solve", "sort", "is", "are", "was", "were", "does", "do", "did", "can", "will", "has", "have", "not", "no", "so", "while", "during", "since", "until",
+    "der", "die", "das", "ein", "eine", "und", "wie", "was", "wer", "wenn", "le", "la", "les", "un", "une", "des", "et", "si", "el", "los", "las", "una", "y", "que",
+]
+NUMBER_WORDS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million",
+]
+UNITS = [
+    "km", "m", "cm", "mm", "mi", "mile", "miles", "foot", "feet", "ft", "inch", "inches", "yard", "yards", "kg", "g", "mg", "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "ton", "tons", "tonne", "tonnes",
+    "l", "ml", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months",
+    "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "percent", "degree", "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres",
+    "gram", "grams", "kilogram", "kilograms",
+]
 NUMBER, NAME, UNIT = "#", "@", "%"
 
 
@@ -37,107 +42,161 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}_]+", " "))
 
 
-def template(plain_text: Column) -> Column:
-    """The plain text with typed slots, in lower case; as many tokens as before."""
-    alone = r"(?<![^ ])%s(?![^ ])"
-    out = F.when(plain_text.rlike("[0-9]"), F.regexp_replace(plain_text, alone % r"(?=[0-9])[0-9_]+", NUMBER)).otherwise(plain_text)
-    out = F.regexp_replace(out, alone % f"(?=[A-Z])(?:{_branches(NAMES)})", NAME)
-    titled = F.lit(False)
-    for t in TITLES:
-        titled = titled | F.contains(plain_text, F.lit(f"{t} "))
-    out = F.when(titled, F.regexp_replace(out, rf"(?<![^ ])(?=\p{{Lu}})(?<=(?<![^ ])(?:{'|'.join(TITLES)}) )[\p{{L}}_]+(?![^ ])", NAME)).otherwise(out)
-    out = F.regexp_replace(F.lower(out), alone % f"(?:{_branches(NUMBER_WORDS)})", NUMBER)
-    return F.when(F.contains(out, F.lit(f"{NUMBER} ")), F.regexp_replace(out, rf"(?<=# )(?:{_branches(UNITS)})(?![^ ])", UNIT)).otherwise(out)
+def _slot(token: Column) -> Column:
+    return token.isin(NUMBER, NAME, UNIT)
 
 
-def _branches(words: list[str]) -> str:
-    """An alternation of words, first letters first."""
-    first = dict.fromkeys(w[0] for w in words)
-    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in words if w[0] == c)})" for c in first)
+def _tokenised(table: DataFrame, text: Column, *keep: Column | str) -> DataFrame:
+    """keep, raw and tokens: a text's tokens in lower case, and with typed slots for numbers, units after one, and names.
 
+    A name is any token that begins with a capital, has a small letter and is none of OPENERS. That also takes
+    ordinary words at the start of a sentence, which stand for themselves in a copy. A text without a token has an empty one.
+    Lambdas use their own arguments only: a column inside one may be computed again for every token.
+    """
 
-def _tokens(text: Column) -> Column:
-    return F.split(text, " ")
-
+    def one(low: Column, cased: Column) -> Column:
+        number = (F.ascii(low).between(48, 57) & low.rlike("^[0-9_]+$")) | low.isin(NUMBER_WORDS)
+        name = (cased != low) & (F.substring(cased, 1, 1) != F.substring(low, 1, 1)) & (cased != F.upper(cased)) & ~low.isin(OPENERS)
+        return F.when(number, NUMBER).when(name, NAME).otherwise(low)
 
-def _hash(tokens: Column, at: Column, n: int, exact: bool = False) -> Column:
-    return F.xxhash64(F.lit(-n if exact else n), *[tokens[at + i] for i in range(n)])
+    words = table.select(*keep, plain(text).alias("plain"))
+    words = words.select("*", F.split("plain", " ").alias("cased"), F.split(F.lower("plain"), " ").alias("raw")).drop("plain")
+    words = words.withColumn("marked", F.zip_with("raw", "cased", one)).drop("cased")
+    before = F.concat(F.array(F.lit("")), F.slice("marked", F.lit(1), F.size("marked") - 1))
+    unit = lambda t, last: F.when((last == NUMBER) & t.isin(UNITS), UNIT).otherwise(t)
+    return words.withColumn("tokens", F.zip_with("marked", before, unit)).drop("marked")
 
 
-def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Each item's windows: item, size, n_windows, n_template, pos, exact, hash, the raw tokens and whether slotted.
+def _with_windows(table: DataFrame, tokens: str, sizes: list[int]) -> DataFrame:
+    """The table with columns {tokens}_{n}: for each of the sizes a hash for each n tokens in a row, empty if there are fewer.
 
-    Windows in which half or more of the tokens are slots, and those under LEAST tokens, say too little as templates:
-    they are exact, with the hash of their raw tokens in lower case. n_template counts the others. Items without a
-    token, or of slots only, have no windows.
+    Hashes of 2, 4 and 8 tokens come from pairs of shorter ones, other sizes from those: a few passes over the whole
+    array, whatever the size.
+    """
+    out = table.withColumn(f"{tokens}__1", F.transform(tokens, lambda t: F.xxhash64(t)))
+    pair = lambda a, b: F.xxhash64(a, b)
+    shifted = lambda name, by: F.slice(name, F.lit(by + 1), F.greatest(F.size(name) - by, F.lit(0)))
+    n = 1
+    while 2 * n <= max(sizes, default=1):
+        out = out.withColumn(f"{tokens}__{2 * n}", F.zip_with(f"{tokens}__{n}", shifted(f"{tokens}__{n}", n), pair))
+        n *= 2
+    for size in sizes:
+        bits = [1 << i for i in reversed(range(size.bit_length())) if size >> i & 1]
+        whole, done = F.col(f"{tokens}__{bits[0]}"), bits[0]
+        for bit in bits[1:]:
+            whole, done = F.zip_with(whole, shifted(f"{tokens}__{bit}", done), pair), done + bit
+        out = out.withColumn(f"{tokens}_{size}", F.slice(whole, F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(0))))
+    return out
+
+
+def item_windows(benchmark: DataFrame, work: Workspace, item: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
+    """Each item's windows (item, size, pos, n_windows, n_template, fit, slotted, raw, tokens, and the hashes of both), and their sizes.
+
+    fit: not under LEAST tokens and less than half of them slots; only those match as templates, and n_template counts
+    them. All windows match by their raw tokens. Items without a token have no windows.
+    """
+    base = _tokenised(benchmark.where(plain(F.col(text)) != ""), F.col(text), F.col(item).alias("item"))
+    base = work.table(base.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW))), "items")
+    sizes = sorted(r["size"] for r in base.select("size").distinct().collect())
+    each = _with_windows(_with_windows(base, "raw", sizes), "tokens", sizes)
+    hashes = lambda name: F.coalesce(*[F.when(F.col("size") == n, F.col(f"{name}_{n}")) for n in sizes]) if sizes else F.array().cast("array<long>")
+    each = each.select("item", "size", "raw", "tokens", F.posexplode_outer(F.arrays_zip(hashes("raw").alias("raw_hash"), hashes("tokens").alias("hash"))).alias("pos", "h"))
+    cut = lambda c: F.slice(c, F.col("pos") + 1, F.col("size"))
+    each = each.select("item", "size", "pos", F.col("h.raw_hash").alias("raw_hash"), F.col("h.hash").alias("hash"), cut("raw").alias("raw"), cut("tokens").alias("tokens"), (F.size("raw") - F.col("size") + 1).alias("n_windows"))
+    each = each.withColumn("slots", F.size(F.filter("tokens", _slot)))
+    fit = (F.col("size") >= LEAST) & (F.col("slots") * 2 < F.col("size"))
+    each = each.withColumn("fit", fit).withColumn("slotted", F.col("fit") & (F.col("slots") > 0)).drop("slots")
+    count = F.sum(F.col("fit").cast("int")).over(Window.partitionBy("item", "n_windows"))
+    return work.table(each.withColumn("n_template", count), "windows"), sizes
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """The table, to be sent to all tasks if it has SENT rows at most."""
+    return F.broadcast(table) if table.limit(SENT + 1).count() <= SENT else table
+
+
+def _hits(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """Every place of a document (key, text_hash, text) whose window equals an item's, raw or as template."""
+    slots = {r["size"] for r in items.where("slotted").select("size").distinct().collect()}
+    blocks = [(n, kind) for n in sizes or [WINDOW] for kind in (False, True) if not kind or n in slots]
+    every = sizes or [WINDOW]
+    lean = _with_windows(_tokenised(docs, F.col("text"), "key", "text_hash"), "raw", every)
+    lean = _with_windows(lean.withColumn("tokens", F.when(F.exists("tokens", _slot), F.col("tokens")).otherwise(F.array().cast("array<string>"))), "tokens", every)
+    parts = []
+    for n, slotted in blocks:  # no hash where a window has no slot
+        parts.append(F.zip_with(f"raw_{n}", f"tokens_{n}", lambda a, b: F.when(a != b, b)) if slotted else F.col(f"raw_{n}"))
+    lean = lean.select("key", "text_hash", F.size("raw").alias("m"), F.flatten(F.array(*parts)).alias("windows"))
+    right = None
+    for i, (n, slotted) in enumerate(blocks):
+        some = items.where((F.col("size") == n) & (F.col("slotted") if slotted else F.lit(True)))
+        some = some.select(F.col("hash" if slotted else "raw_hash").alias("h"), "item", "pos", "fit", "n_windows", "n_template", F.lit(i).alias("block"))
+        right = some if right is None else right.unionByName(some)
+    each = lean.select("key", "text_hash", "m", F.posexplode_outer("windows").alias("p", "h"))  # outer: no filter that computes all of it again
+    before, at = F.lit(0), F.lit(None).cast("int")
+    for i, (n, _) in enumerate(blocks):
+        at = F.when(F.col("block") == i, F.col("p") - before).otherwise(at)
+        before = before + F.greatest(F.col("m") - n + 1, F.lit(0))
+    slotted = F.col("block").isin([i for i, (_, s) in enumerate(blocks) if s])
+    return each.join(_sent(right), "h").select("key", "text_hash", "item", "pos", "fit", "n_windows", "n_template", at.alias("at"), slotted.alias("slotted"))
+
+
+def _lines(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
+    """Template matches by diagonal, with what each slot of the item stands for in the document, if that is consistent.
+
+    An item's value stands for one value of the document throughout, and two names for two.
     """
-    base = benchmark.select(F.col(item).alias("item"), plain(F.col(text)).alias("plain")).where("plain <> ''")
-    base = base.select("item", _tokens(F.lower("plain")).alias("raw"), _tokens(template(F.col("plain"))).alias("tokens"))
-    base = base.where(F.exists("tokens", lambda t: ~t.isin(NUMBER, NAME, UNIT))).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
-    each = base.withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))))
-    slots = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, F.col("size")), lambda t: t.isin(NUMBER, NAME, UNIT)))
-    each = each.withColumn("slots", slots).withColumn("exact", (F.col("size") < LEAST) | (F.col("slots") * 2 >= F.col("size")))
-    hashes = [F.when(F.col("size") == n, F.when(F.col("exact"), _hash(F.col("raw"), F.col("pos"), n, True)).otherwise(_hash(F.col("tokens"), F.col("pos"), n))) for n in range(1, WINDOW + 1)]
-    each = each.select("item", "size", "pos", "exact", F.coalesce(*hashes).alias("hash"), F.slice("raw", F.col("pos") + 1, F.col("size")).alias("raw"), (~F.col("exact") & (F.col("slots") > 0)).alias("slotted"))
-    totals = each.groupBy("item").agg(F.countDistinct("pos").alias("n_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("n_template"))
-    return each.join(totals, "item")
+    own = hits.where("slotted").groupBy("key", "text_hash").agg(F.collect_set(F.struct("item", "pos", "at")).alias("hits"))
+    own = own.withColumnsRenamed({"key": "k", "text_hash": "x"})
+    texts = docs.join(_sent(own), F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("x")))
+    texts = texts.select("key", "text_hash", "hits", F.split(F.lower(plain(F.col("text"))), " ").alias("words"))
+    each = texts.select("key", "text_hash", "words", F.explode_outer("hits").alias("h")).select("key", "text_hash", "h.*", F.slice("words", F.col("h.at") + 1, F.lit(WINDOW)).alias("found"))
+    each = each.join(_sent(items.where("slotted").select("item", "pos", "raw", "tokens", "n_windows", "n_template")), ["item", "pos"])
+    pairs = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("kind"), F.get("raw", i).alias("a"), F.get("found", i).alias("b"))), lambda p: _slot(p["kind"]))
+    each = each.select("key", "text_hash", "item", "n_windows", "n_template", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), pairs.alias("pairs"))
+    line = each.groupBy("key", "text_hash", "item", "n_windows", "n_template", "diagonal").agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    names = F.filter("pairs", lambda p: p["kind"] == NAME)
+    distinct = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p[side]))))
+    line = line.where((distinct(F.col("pairs"), "a") == F.size("pairs")) & (distinct(names, "b") == F.size(names)))
+    return line.withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document and item that it leaks: key, text_hash, item_id, windows held, their share, and whether verbatim.
 
-    Every window of every document is hashed and joined with the items' windows. Matches on one diagonal (document
-    place less item place) belong together: there each slot value of the item must stand for one value of the
-    document throughout, or the diagonal doesn't count. Exact windows count on any diagonal. The document leaks the
-    item if its windows are SHARE of the item's or more, or those that match as templates are of the item's templates,
-    so that exact windows can't hide a changed copy; share is the greater of the two. Null and empty texts leak nothing; rows are told apart by key and
-    text, so repeated rows give one result; an empty benchmark gives no rows.
+    Every window of every document is hashed twice, by its raw tokens in lower case and by its template, and joined
+    with the items' windows; what is shuffled beyond SENT windows is keys, places and hashes. Template matches on one
+    diagonal (document place less item place) belong together: there each slot value of the item must stand for one
+    value of the document throughout, and two names for two names, or the diagonal doesn't count; two numbers may
+    become one. The document leaks the item if it holds SHARE of the item's windows or more, or of those that can
+    match as templates, so that numeric passages can't hide a changed copy; share is the greater of the two.
+
+    Items of slots only, and short ones, match verbatim: an item of one word is leaked by every document with that
+    word. Null and empty texts, and texts or items without a letter or digit, leak nothing; very long texts are cut by
+    nothing; repeated rows give one result, as rows are told apart by key and text; equal items give one result each;
+    an empty table gives no rows.
     """
-    items = item_windows(benchmark)
-    few = items.limit(SENT + 1).count() <= SENT
-    kinds = [(r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect()]
-    sizes, exact = (sorted(n for n, e in kinds if e == kind) for kind in (False, True))
-    base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), plain(F.col(text)).alias("plain"))
-    raw = base.select("key", "text_hash", _tokens(F.lower("plain")).alias("tokens"))
-    base = base.select("key", "text_hash", "plain", _tokens(template(F.col("plain"))).alias("tokens"))
-    found = None
-    for n in sizes if kinds else [WINDOW]:
-        places = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n))
-        each = base.withColumn("at", F.explode_outer(places)).where("at IS NOT NULL")  # outer: no filter that computes the tokens again
-        each = each.withColumn("hash", _hash(F.col("tokens"), F.col("at"), n))
-        right = items.where((F.col("size") == n) & ~F.col("exact"))
-        hits = each.join(F.broadcast(right) if few else right, "hash")
-        own = F.when(F.col("slotted"), F.transform(F.slice(F.split(F.lower("plain"), " "), F.col("at") + 1, n), lambda t, i: F.struct(F.col("raw")[i].alias("a"), t.alias("b"))))
-        hits = hits.select("key", "text_hash", "item", "n_windows", "n_template", "exact", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), F.when(F.col("slotted"), F.array_distinct(F.zip_with(own, F.slice("tokens", F.col("at") + 1, n), lambda p, t: F.when(t.isin(NUMBER, NAME, UNIT), p)))).alias("pairs"))
-        found = hits if found is None else found.unionByName(hits)
-    if exact:
-        each = raw.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)))
-        hashes = [F.when(F.col("at") + n <= F.size("tokens"), _hash(F.col("tokens"), F.col("at"), n, True)) for n in exact]
-        each = each.select("key", "text_hash", "at", F.explode(F.array(*hashes)).alias("hash"))
-        right = items.where("exact").select("hash", "item", "n_windows", "n_template", "exact", "pos")
-        hits = each.join(F.broadcast(right) if few else right, "hash").withColumn("diagonal", F.col("at") - F.col("pos")).drop("at", "hash")
-        hits = hits.withColumn("pairs", F.lit(None).cast("array<struct<a:string,b:string>>"))
-        found = hits if found is None else found.unionByName(hits)
-    return _judged(found).withColumnsRenamed({"key": key, "item": "item_id"})
-
-
-def _judged(hits: DataFrame) -> DataFrame:
-    line = hits.groupBy("key", "text_hash", "item", "n_windows", "n_template", "exact", "diagonal").agg(F.collect_set("pos").alias("places"), F.array_compact(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    line = line.where(consistent).withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
+    work = Workspace(docs.sparkSession, "decontam")
+    items, sizes = item_windows(benchmark, work)
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    hits = work.table(_hits(texts, items, sizes), "hits")
+    of = ["key", "text_hash", "item", "n_windows", "n_template"]
+    line = _lines(texts, items, hits)
+    fit = items.where("fit AND slotted").select("item").distinct().isEmpty()
+    raw = hits.where("NOT slotted").groupBy(*of).agg(F.collect_set("pos").alias("held"), F.collect_set(F.when(F.col("fit"), F.col("pos"))).alias("fitting"), F.lit(True).alias("same"))
+    both = raw if fit else raw.unionByName(line.groupBy(*of).agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("held"), F.min("same").alias("same")).withColumn("fitting", F.col("held")))
     count = lambda places: F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long")
-    whole = line.groupBy("key", "text_hash", "item", "n_windows", "n_template").agg(count("places").alias("held"), count(F.when(~F.col("exact"), F.col("places"))).alias("held_template"), F.min("same").alias("verbatim"))
-    share = F.greatest(F.col("held") / F.col("n_windows"), F.when(F.col("n_template") > 0, F.col("held_template") / F.col("n_template")))
-    return whole.where(share >= SHARE).select("key", "text_hash", "item", "held", share.alias("share"), "verbatim")
+    whole = both.groupBy(*of).agg(count("held").alias("held"), count("fitting").alias("fitting"), F.min("same").alias("verbatim"))
+    share = F.greatest(F.col("held") / F.col("n_windows"), F.when(F.col("n_template") > 0, F.col("fitting") / F.col("n_template")))
+    return whole.where(share >= SHARE).select(F.col("key").alias(key), "text_hash", F.col("item").alias("item_id"), "held", share.alias("share"), "verbatim")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that leak an item of the benchmark."""
+    """docs without the rows that leak an item of the benchmark; what leaks is as in find, other rows and columns stay."""
     bad = find(docs, benchmark, key, text).select(F.col(key).alias("__lw_key"), F.col("text_hash").alias("__lw_hash")).distinct()
     bad = Workspace(docs.sparkSession, "decontam").table(bad, "leaks")  # counted and joined, but found once
-    few = bad.limit(SENT + 1).count() <= SENT
-    return docs.join(F.broadcast(bad) if few else bad, F.col(key).eqNullSafe(F.col("__lw_key")) & (F.xxhash64(text) == F.col("__lw_hash")), "left_anti")
+    return docs.join(_sent(bad), F.col(key).eqNullSafe(F.col("__lw_key")) & (F.xxhash64(text) == F.col("__lw_hash")), "left_anti")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document and item that it leaks: doc_id, item_id, held, share, verbatim; documents that leak nothing have no row (find)."""
     return find(docs, benchmark).drop("text_hash")
