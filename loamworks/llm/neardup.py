@@ -15,39 +15,47 @@ from loamworks.llm.words import mixed, raw, shingles, word_hashes
 from loamworks.session import Workspace
 
 #: Smallest hash values that a sketch retains, at first and where a text shares most of those with many others.
-SKETCH, WIDE = 128, 2048
+SKETCH, WIDE = 64, 2048
+#: Values of both sketches that the estimate of a pair looks at.
+ESTIMATE = 32
 #: Standard deviations by which a sketch may fall short of a similarity before a pair is passed over.
 SIGMAS = 6
 #: Texts that a short list holds at most.
 SHORT = 32
+#: A list is hot that holds one in so many texts; there are at most so many times SKETCH of those, so they can be sent to all tasks.
+HOT = 2000
 #: Rounds in which each list is compared with one member, before what is left is compared in full.
 PIVOTS = 2
-#: Ids of candidates that are sent to all tasks at most; more are joined by shuffle.
-SENT = 500_000
 
 
-def _sets(k: int, sketch: int | None):
-    """Per row its id, number of shingles, two set digests, and its sketch or (sketch None) its whole set as bytes."""
+def _sets(k: int, sketch: int):
+    """Per row its id, text print, number of shingles, two set digests, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column(1))
             for first, last, words, at in word_hashes(data, offsets):
                 sets = [shingles(words[a:b], k) for a, b in zip(at[:-1], at[1:], strict=True)]
-                cols = {"id": batch.column(0).slice(first, last - first), "n": pa.array([len(s) for s in sets], pa.int32())}
+                cols = {"id": batch.column(0).slice(first, last - first), "print": batch.column(2).slice(first, last - first), "n": pa.array([len(s) for s in sets], pa.int32())}
                 whole = [s.view(np.uint64) for s in sets]
                 cols["sum_a"] = pa.array(np.array([s.sum(dtype=np.uint64) for s in whole], np.uint64).view(np.int64))
                 cols["sum_b"] = pa.array(np.array([mixed(s).sum(dtype=np.uint64) for s in whole], np.uint64).view(np.int64))
-                if sketch is None:
-                    cols["set"] = pa.array([s.tobytes() for s in sets], pa.binary())
-                else:
-                    low = [s[:sketch] for s in sets]
-                    cols["sketch"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, low)]), pa.int32()), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64)))
+                low = [s[:sketch] for s in sets]
+                cols["sketch"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, low)]), pa.int32()), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node and text, compressed: less than half of what a set takes in a shuffle."""
+    for batch in batches:
+        data, offsets = raw(batch.column(1))
+        sizes = np.diff(offsets)
+        packed = [pa.compress(data[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "size": pa.array(sizes, pa.int64()), "text": pa.array(packed, pa.binary())})
+
+
 def least_shared(k: Column, percent: int, sketch: int) -> Column:
     """Of k retained values, how many a similar text's sketch shares at least; exact while sketches hold whole sets."""
     t = percent / 100
@@ -55,61 +63,99 @@ def least_shared(k: Column, percent: int, sketch: int) -> Column:
     return F.when(k <= F.lit(t * sketch), F.floor((k * percent + 99) / 100)).otherwise(F.greatest(fewest, F.lit(1))).cast("int")
 
 
-def _similar(percent: int, sketch: int):
-    """Pairs whose union sketch lets them be similar and whose whole sets are."""
+def _estimated(percent: int):
+    """Of pairs with their sketches those that may be similar: a, b, and whether the sketches, as whole sets, prove it."""
+    t = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-                if max(len(a), len(b)) > sketch:
-                    low = np.sort(np.concatenate((a[:sketch], b[:sketch])))
-                    same = low[1:] == low[:-1]
-                    distinct = np.concatenate(([True], ~same))
-                    k = min(sketch, int(distinct.sum()))
-                    limit = low[distinct][k - 1]
-                    share = int((same & (low[1:] <= limit)).sum()) / k
-                    t = percent / 100
-                    if share < t - SIGMAS * sqrt(t * (1 - t) / k):
-                        keep.append(False)
-                        continue
-                low = np.sort(np.concatenate((a, b)), kind="stable")
-                both = int((low[1:] == low[:-1]).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep, sure = [], []
+            sizes = zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True)
+            for (n, m), x, y in zip(sizes, batch.column("x"), batch.column("y"), strict=True):
+                a, b = (np.asarray(v.values, np.int64) for v in (x, y))
+                low = np.sort(np.concatenate((a, b)))
+                same = low[1:] == low[:-1]
+                whole = n <= len(a) and m <= len(b)
+                sure.append(whole)
+                if whole:
+                    both = int(same.sum())
+                    keep.append(100 * both >= percent * (n + m - both))
+                    continue
+                distinct = np.concatenate(([True], ~same))
+                k = min(int(distinct.sum()), ESTIMATE)
+                share = int((same & (low[1:] <= low[distinct][k - 1])).sum()) / k
+                keep.append(share >= t - SIGMAS * sqrt(t * (1 - t) / k))
+            out = pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "sure": pa.array(sure, pa.bool_())})
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of docs with one of the ids."""
-    few = ids.limit(SENT + 1).count() <= SENT
-    return docs.join(F.broadcast(ids) if few else ids, docs[key] == ids["id"], "left_semi")
-
+def _similar(k: int, percent: int):
+    """Pairs whose whole sets are similar; a set that comes again for the next pair is made once."""
 
-def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, k: int, sketch: int | None, unique: bool) -> DataFrame:
-    """Sets, or sketches, of the texts with one of the ids."""
-    kind, name = ("binary", "set") if sketch is None else ("array<long>", "sketch")
-    texts = _only(docs.select(F.col(key).cast("long").alias("key"), text), ids, "key")
-    full = texts.mapInArrow(_sets(k, sketch), f"id long, n int, sum_a long, sum_b long, {name} {kind}").where("n > 0")
-    if not unique:
-        full = full.groupBy("id").agg(F.min(F.struct("sum_a", "sum_b", "n", name)).alias("least")).select("id", "least.*")
-    return full
+    def made(size: int, packed: pa.BinaryScalar) -> np.ndarray:
+        data = np.frombuffer(pa.decompress(packed.as_buffer(), decompressed_size=size, codec="zstd"), np.uint8)
+        words = [h for *_, h, _ in word_hashes(data, np.array([0, size]))]
+        return shingles(np.concatenate(words), k)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            keep = []
+            col = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(batch.num_rows):
+                if (node := col["a"][i].as_py()) != last:
+                    last, held = node, made(col["size_a"][i].as_py(), col["text_a"][i])
+                other = made(col["size_b"][i].as_py(), col["text_b"][i])
+                low = np.sort(np.concatenate((held, other)), kind="stable")
+                both = int((low[1:] == low[:-1]).sum())
+                keep.append(100 * both >= percent * (len(held) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int, unique: bool, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
-    pairs = work.table(pairs, f"{name}-pairs")
-    ids = work.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    full = work.table(_sets_of(docs, ids, key, text, k, None, unique), f"{name}-sets")
-    right = full.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    left = full.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    sets = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return work.table(sets.mapInArrow(_similar(percent, SKETCH), "a long, b long"), f"{name}-edges")
+    return run
 
 
-def _listed(texts: DataFrame, percent: int, sketch: int, work: Workspace, name: str) -> DataFrame:
+class _Texts:
+    """The distinct sets of a corpus, each with one text that has it: node, id, print, n, sketch."""
+
+    def __init__(self, docs: DataFrame, texts: DataFrame, unique: bool, k: int, percent: int, work: Workspace):
+        self.docs, self.texts, self.unique, self.k, self.percent, self.work = docs, texts, unique, k, percent, work
+
+    def bodies(self, nodes: DataFrame, name: str) -> DataFrame:
+        """node, text and print of the nodes given as (node), one row each; Spark sends what is wanted if the written table is small."""
+        wanted = self.texts.join(nodes, "node", "left_semi").select("node", F.col("id").alias("of"), F.col("print").alias("mark"))
+        wanted = self.work.table(wanted, f"{name}-wanted")
+        found = self.docs.join(wanted, (F.col("id") == F.col("of")) & (F.col("print") == F.col("mark")))
+        return (found if self.unique else found.dropDuplicates(["node"])).select("node", "text", "print")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) of nodes whose full sets are similar: sketches estimate first, then texts are fetched for the rest."""
+        work = self.work
+        ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        pairs = work.table(pairs, f"{name}-pairs")
+        sketches = self.texts.join(ends(pairs), "node", "left_semi").select("node", "n", F.slice("sketch", 1, ESTIMATE).alias("s"))
+        right = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("y"))
+        left = sketches.select(F.col("node").alias("a"), "n", F.col("s").alias("x"))
+        near = pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y")
+        near = work.table(near.mapInArrow(_estimated(self.percent), "a long, b long, sure boolean"), f"{name}-near")
+        open_ = near.where("NOT sure")
+        packed = work.table(self.bodies(ends(open_), name).select("node", "text").mapInArrow(_packed, "node long, size long, text binary"), f"{name}-texts")
+        right = packed.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("text").alias("text_b"))
+        left = packed.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("text").alias("text_a"))
+        both = open_.join(right, "b").join(left, "a").select("a", "b", "size_a", "text_a", "size_b", "text_b")
+        edges = both.mapInArrow(_similar(self.k, self.percent), "a long, b long")
+        return near.where("sure").select("a", "b").unionByName(edges)
+
+
+def _looked_up(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows joined with lists (v, hot and more; one row for each v): hot lists are few and sent to all tasks, so no task gets all rows of one."""
+    hot = lists.where("hot")
+    marked = rows.join(F.broadcast(hot.select("v")), "v", "left_anti")
+    return rows.join(F.broadcast(hot), "v").unionByName(marked.join(lists.where("NOT hot"), "v")).drop("hot")
+
+
+def _listed(texts: DataFrame, percent: int, sketch: int, count: int, work: Workspace, name: str) -> DataFrame:
     """Lists that each text (id, n, sketch) must share with any similar one: id, n, v, long, top.
 
     Of its retained values in order of rarity a text takes as many as leave fewer than it must share. Texts that
@@ -122,8 +168,9 @@ def _listed(texts: DataFrame, percent: int, sketch: int, work: Workspace, name:
     reach = max(1, int(sketch * t - SIGMAS * sqrt(sketch * t * (1 - t))))
     entries = texts.select("id", "n", F.size("sketch").alias("k"), F.posexplode("sketch").alias("pos", "v"))
     entries = entries.withColumn("early", (F.col("n") * 100 <= sketch * percent) | (F.col("pos") < reach)).drop("pos")
-    lists = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(lists, "v").groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v", "early"))).alias("values"))
+    lists = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").withColumn("hot", F.col("df") * HOT > max(count, HOT * SHORT))
+    lists = work.table(lists, f"{name}-df")
+    shared = _looked_up(entries, lists).groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v", "early"))).alias("values"))
     room = F.size("values") - least_shared(F.col("k"), percent, sketch) + 1
     common = F.size(F.filter("values", lambda x: (x["df"] > SHORT) & x["early"]))
     guess = F.least(F.col("n"), common * F.col("n") / F.lit(reach) + F.col("n") * (SIGMAS / 2 / sqrt(reach)))
@@ -134,40 +181,50 @@ def _listed(texts: DataFrame, percent: int, sketch: int, work: Workspace, name:
     return work.table(each.select("id", "n", F.col("x.v").alias("v"), long.alias("long"), F.when(long, F.col("top")).otherwise(F.col("n").cast("double")).alias("top")), name)
 
 
-def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+def _pairs(near: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of a list's members with its others (p, m, cap, q), of components yet apart, that sizes and bounds allow."""
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    near = members.join(others, "v").where((F.col("label") != F.col("q")) & fits & (F.least("top", "cap") * (100 + percent) >= (F.col("n") + F.col("m")) * percent))
+    near = near.where((F.col("label") != F.col("q")) & fits & (F.least("top", "cap") * (100 + percent) >= (F.col("n") + F.col("m")) * percent))
     return near.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
+def _split(open_: DataFrame, count: int) -> DataFrame:
+    """Lists whose members are in different components: v and hot."""
+    sides = open_.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y"))
+    return sides.where("x <> y").select("v", (F.col("c") * HOT > max(count, HOT * SHORT)).alias("hot"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: key, n_shingles and component_id, the smallest key that chains of similar texts reach.
 
     Texts with equal sets fall together first. Each remaining text puts into inverted lists those of its retained
     values that it must share with any similar text: its rarest ones, so that common passages make no pairs. A list
     is compared with one member a round while members of different components remain, and in the end every member
-    outside the largest component with all others; links within a component add nothing. Estimates from union
-    sketches pass over pairs, and exact Jaccard on full sets decides.
+    outside the largest component with all others of near size; links within a component add nothing. Estimates from
+    the union of two sketches pass over pairs, and exact Jaccard on full sets of whole texts decides.
 
-    Null and empty texts, and rows with a null key, are linked with nothing. Repeated rows fall together. Where a
-    key occurs with different texts, the one with the smallest digest is linked, the others only with equal texts.
+    Null and empty texts, and rows with a null key, are linked with nothing. Repeated rows fall together. Where a key
+    occurs with different texts, each is linked by its own words. Very long texts are hashed in pieces, whole.
     """
     work = Workspace(docs.sparkSession, "neardup")
-    schema = "id long, n int, sum_a long, sum_b long, sketch array<long>"
-    rows = work.table(docs.select(F.col(key).cast("long"), text).mapInArrow(_sets(k, SKETCH), schema), "sketches")
-    same = rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "sum_a", "sum_b")
-    texts = work.table(same.agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "texts")
-
-    unique = rows.groupBy("id").count().where("count > 1 AND id IS NOT NULL").isEmpty()
-    if not unique:
+    lean = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
+    rows = work.table(lean.mapInArrow(_sets(k, SKETCH), "id long, print long, n int, sum_a long, sum_b long, sketch array<long>"), "sketches")
+    used = rows.where("n > 0 AND id IS NOT NULL")
+    texts = used.groupBy("n", "sum_a", "sum_b").agg(F.min(F.struct("id", "print")).alias("first"), F.first("sketch").alias("sketch"))
+    texts = work.table(texts.select("first.*", "n", "sum_a", "sum_b", "sketch", F.col("first.id").alias("node")), "texts")
+    unique = used.groupBy("id", "print").count().where("count > 1").isEmpty()
+    clash = not texts.groupBy("id").count().where("count > 1").isEmpty()
+    if clash:  # the second and further texts of a key get nodes of their own
         turn = F.row_number().over(Window.partitionBy("id").orderBy("sum_a", "sum_b", "n"))
-        texts = work.table(texts.withColumn("turn", turn).where("turn = 1").drop("turn"), "first-texts")
-
-    first = _listed(texts, percent, SKETCH, work, "lists")
-    crowded = work.table(first.where("long").select("id").distinct(), "crowded")
-    wide = _sets_of(docs, crowded, key, text, k, WIDE, unique)
-    second = _listed(wide, percent, WIDE, work, "wide-lists").withColumn("v", F.col("v").bitwiseXOR(F.lit(1)))
+        own = F.when(F.col("turn") == 1, F.col("id")).otherwise(F.xxhash64("id", "sum_a", "sum_b", "n"))
+        texts = work.table(texts.withColumn("turn", turn).withColumn("node", own).drop("turn"), "nodes")
+    count = texts.count()
+    source = _Texts(lean, texts, unique, k, percent, work)
+
+    first = _listed(texts.select(F.col("node").alias("id"), "n", "sketch"), percent, SKETCH, count, work, "lists")
+    crowded = work.table(first.where("long").select(F.col("id").alias("node")).distinct(), "crowded")
+    wide = source.bodies(crowded, "wide").mapInArrow(_sets(k, WIDE), "id long, print long, n int, sum_a long, sum_b long, sketch array<long>")
+    second = _listed(work.table(wide.select("id", "n", "sketch"), "wide"), percent, WIDE, count, work, "wide-lists").withColumn("v", F.col("v").bitwiseXOR(F.lit(1)))
     listed = first.where("NOT long").unionByName(second)
 
     labels = None
@@ -175,20 +232,33 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
         if labels is None:
             open_ = listed.withColumn("label", F.col("id"))
         else:
-            open_ = listed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-            split = open_.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("v")
-            open_ = open_.join(split, "v")
-        open_ = work.table(open_, f"open-{turn}")
+            open_ = work.table(listed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), f"labelled-{turn}")
+        lists = work.table(_split(open_, count), f"split-{turn}")
+        if lists.isEmpty():
+            break
+        open_ = work.table(_looked_up(open_, lists), f"open-{turn}")
+        hot = lists.select("v", "hot")
         if turn < PIVOTS:
             order = F.struct((-F.col("top") / F.col("n") if turn == 0 else F.lit(0.0)).alias("o"), F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("top").alias("cap"), F.col("label").alias("q"))
             others = open_.groupBy("v").agg(F.min(order).alias("first")).select("v", "first.p", "first.m", "first.cap", "first.q")
+            others = work.table(others.join(hot, "v"), f"pivots-{turn}")
+            near = _looked_up(open_, others)
         else:
             sizes = open_.groupBy("v", "label").agg(F.count("*").alias("c"))
             main = sizes.groupBy("v").agg(F.max(F.struct("c", "label")).getField("label").alias("main"))
-            others = open_.join(main, "v").where("label <> main").select("v", F.col("id").alias("p"), F.col("n").alias("m"), F.col("top").alias("cap"), F.col("label").alias("q"))
-        found = _verified(_pairs(open_, others, percent), docs, key, text, k, percent, unique, work, f"round-{turn}")
-        labels = components(found, work, f"labels-{turn}", labels)
-    classes_ = texts.join(labels, F.col("id") == F.col("node"), "left").select(F.col("n").alias("m"), F.col("sum_a").alias("x"), F.col("sum_b").alias("y"), F.coalesce("label", "id").alias("class"))
+            main = work.table(main.join(hot, "v"), f"main-{turn}")
+            step = F.floor(F.log("n") / -F.log(F.lit(percent / 100))).cast("int")
+            outside = _looked_up(open_, main).where("label <> main")
+            outside = outside.select("v", F.col("id").alias("p"), F.col("n").alias("m"), F.col("top").alias("cap"), F.col("label").alias("q"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+            near = work.table(open_.withColumn("step", step), "sized").join(work.table(outside, "outside"), ["v", "step"])
+        labels = components(source.verified(_pairs(near, percent), f"round-{turn}"), work, f"labels-{turn}", labels)
+    if labels is None:
+        labels = texts.select("node", F.col("node").alias("label")).limit(0)
+    classes_ = texts.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(F.col("n").alias("m"), F.col("sum_a").alias("x"), F.col("sum_b").alias("y"), "id", F.coalesce("label", "node").alias("class"))
+    if clash:
+        least = classes_.groupBy("class").agg(F.min("id").alias("class_id"))
+        classes_ = work.table(classes_, "classes").join(work.table(least, "least"), "class").withColumn("class", F.col("class_id"))
+    classes_ = classes_.select("m", "x", "y", "class")
     out = rows.join(classes_, (F.col("n") == F.col("m")) & (F.col("sum_a") == F.col("x")) & (F.col("sum_b") == F.col("y")) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class", "id").alias("component_id"))
 

@@ -74,7 +74,7 @@ def test_truncated_text_beside_crowded_longer_ones(spark):
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**9)}" for _ in range(2600)]
     suffixed = [" ".join([*base, f"end{i}"]) for i in range(900)]
-    batch = pa.RecordBatch.from_pydict({"id": list(range(901)), "text": [" ".join(base), *suffixed]})
+    batch = pa.RecordBatch.from_pydict({"id": list(range(901)), "text": [" ".join(base), *suffixed], "print": list(range(901))})
     sketches = [s.as_py() for b in neardup._sets(4, neardup.WIDE)(iter([batch])) for s in b.column("sketch")]
     same = [t for t, s in zip(suffixed, sketches[1:], strict=True) if s == sketches[0]][:120]
     assert len(same) == 120
@@ -99,3 +99,24 @@ def test_long_texts_hash_alike_in_pieces(monkeypatch):
     monkeypatch.setattr("loamworks.llm.words.PIECE", 64)
     pieces = [h.tolist() for *_, h, _ in word_hashes(*raw(pa.array(texts)))]
     assert sum(whole, []) == sum(pieces, [])
+
+
+def test_texts_that_share_an_id_are_linked_each_by_its_own_words(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b, "more"]) for b in base] + [" ".join(["x", *b, "z"]) for b in base[:3]]
+    ids = [7, 5, 5, 9, 9, 1, 5, 5, 2, 9, 3, 3, 5, 5, 6]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)) * 2, "doc_id long, text string")
+    _, roots = brute(texts, 4, 80)
+    least = {}
+    for i, r in enumerate(roots):
+        least[r] = min(least.get(r, 99), ids[i])
+    want = sorted((ids[i], least[r]) for i, r in enumerate(roots)) * 2
+    got = sorted((r.doc_id, r.component_id) for r in neardup.classes(docs, k=4).collect())
+    assert got == sorted(want)
+
+
+def test_hot_lists_are_looked_up_alike(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 10**9)
+    monkeypatch.setattr(neardup, "SHORT", 0)
+    compare(spark, [r.text for r in read_table(spark, SF, "documents").orderBy("doc_id").limit(120).collect()])
