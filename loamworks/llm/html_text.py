@@ -30,66 +30,109 @@ MARKED = frozenset(
     "ad ads adv advert advertisement advertising adbox banner breadcrumb breadcrumbs byline comment comments commentlist cookie cookies consent disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "outbrain pager pagination popup promo promotion related recommended respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toc toolbar widget complementary contentinfo".split()
 )
+#: Words that say nothing beside a marked one; any other word in a name means that it is about something else.
+BESIDE = frozenset("area bar block body bottom box button buttons container count icons inner items left link links list main module outer page panel post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p li dd dt blockquote pre td th figcaption caption summary".split()) | HEADING
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？।؟،")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>?", re.S)
-MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-GONE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-class _Node:
-    __slots__ = ("tag", "path", "up", "off", "kin")
+class _Tree:
+    """Elements by number, parents first: tag, parent, nearest block, path, depth, and whether something else than article text."""
 
-    def __init__(self, tag: str, path: str, up: _Node | None, off: bool):
-        self.tag, self.path, self.up, self.off = tag, path, up, off
-        self.kin = up.kin if up is not None and tag not in ("article", "main") else self
+    def __init__(self):
+        self.tag, self.up, self.block, self.path, self.depth, self.hidden, self.marked = [""], [-1], [0], [0], [0], [False], [False]
+        self.names: dict[tuple[int, str], int] = {}
+        self.paths: list[tuple[int, str]] = [(-1, "")]
 
+    def add(self, tag: str, up: int, name: str, hidden: bool, marked: bool) -> int:
+        step = (self.path[up], name)
+        if step not in self.names:  # a path is its parent's number and a name, so deep pages stay small
+            self.names[step] = len(self.paths)
+            self.paths.append(step)
+        self.tag.append(tag)
+        self.up.append(up)
+        self.block.append(len(self.block) if tag in BLOCK else self.block[up])
+        self.path.append(self.names[step])
+        self.depth.append(self.depth[up] + 1)
+        self.hidden.append(hidden or self.hidden[up])
+        self.marked.append(marked or self.marked[up])
+        return len(self.tag) - 1
 
-def _off(tag: str, attributes: str) -> bool:
-    """Whether an element and all below it is no part of an article."""
+    def path_name(self, path: int) -> str:
+        steps = []
+        while path > 0:
+            path, name = self.paths[path]
+            steps.append(name)
+        return "/".join(reversed(steps))
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
+
+
+def _hidden(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element shows no text of its page, or by its kind none of an article."""
     if tag in HIDDEN or tag in ASIDE:
         return True
-    if not attributes:
+    gone = "hidden" in attributes and attributes["hidden"].lower() != "until-found"
+    return gone or attributes.get("aria-hidden", "").lower() == "true" or UNSEEN.search(attributes.get("style", "")) is not None
+
+
+def _marked(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a name in class, id or role consists of words that mark what is no article."""
+    if tag in ("html", "body", "article", "main"):
         return False
-    if GONE.search(attributes):
-        return True
-    words = {w for m in MARK.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & MARKED) and tag not in ("html", "body", "article", "main")
+    for key in ("class", "id", "role"):
+        for name in attributes.get(key, "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            if any(w in MARKED for w in words) and all(w in MARKED or w in BESIDE for w in words):
+                return True
+    return False
 
 
-def blocks(html: str) -> list[tuple[str, _Node, bool, int]]:
-    """Blocks in page order: (text, element, whether it counts, characters inside links)."""
-    root = _Node("", "", None, False)
-    node, out, parts, linked, links = root, [], [], 0, 0
+def blocks(html: str) -> tuple[_Tree, list[tuple[str, int, int]]]:
+    """The page's elements, and its visible blocks in page order: (text, block element, characters inside links)."""
+    tree = _Tree()
+    node, out, parts, linked, links = 0, [], [], 0, 0
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            out.append((text, node, not node.off, linked))
+            out.append((text, tree.block[node], min(linked, len(text))))
         parts, linked = [], 0
 
-    def pop(to: _Node) -> None:
+    def pop(to: int) -> None:
         nonlocal node, links
-        while node is not to.up:
-            if node.tag in BLOCK:
+        while node != tree.up[to]:
+            tag = tree.tag[node]
+            if tag in BLOCK:
                 flush()
-            links -= node.tag == "a"
-            node = node.up
+            links -= tag == "a"
+            opened[tag] -= 1
+            node = tree.up[node]
 
-    def within(tags: tuple[str, ...], stop: tuple[str, ...]) -> _Node | None:
+    def within(tags: tuple[str, ...], stop: frozenset | tuple) -> int | None:
+        if not any(opened.get(t) for t in tags):
+            return None
         at = node
-        while at is not root and at.tag not in stop:
-            if at.tag in tags:
+        while at and tree.tag[at] not in stop:
+            if tree.tag[at] in tags:
                 return at
-            at = at.up
+            at = tree.up[at]
         return None
 
     at = 0
     while at < len(html):
         m = TAG.search(html, at)
         piece = html[at : m.start()] if m else html[at:]
-        if piece and not node.off:
+        if piece and not tree.hidden[node]:
             piece = unescape(piece)
             parts.append(piece)
             linked += len(piece) if links else 0
@@ -100,10 +143,7 @@ def blocks(html: str) -> list[tuple[str, _Node, bool, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCK:
-                found = within((tag,), ())
-            else:
-                found = within((tag,), tuple(BLOCK))
+            found = within((tag,), () if tag in BLOCK else BLOCK)
             if found is not None:
                 pop(found)
             elif tag == "br":
@@ -117,71 +157,96 @@ def blocks(html: str) -> list[tuple[str, _Node, bool, int]]:
             continue
         if tag in BLOCK:
             flush()
-            if (open_p := within(("p",), ("article", "section", "div", "td", "th", "li", "blockquote", "button"))) is not None and tag not in ("caption",):
+            if (open_p := within(("p",), ("article", "section", "div", "td", "th", "li", "blockquote", "button"))) is not None and tag != "caption":
                 pop(open_p)
-        if tag in SAME and (same := within(SAME[tag], SCOPE[tag])) is not None:
-            while (more := within(SAME[tag], SCOPE[tag])) is not None:
-                pop(more)
-        marks = m[3]
-        name = tag
-        if marks and (mark := MARK.search(marks)):
-            name += "." + (mark[1] or mark[2] or mark[3] or "").strip()[:40]
-        node = _Node(tag, f"{node.path}/{name}", node, node.off or _off(tag, marks))
+        while tag in SAME and (same := within(SAME[tag], SCOPE[tag])) is not None:
+            pop(same)
+        attributes = _attributes(m[3])
+        name = f"{tag}.{attributes.get('class', '').strip()[:40]}" if attributes.get("class") else tag
+        node = tree.add(tag, node, name, _hidden(tag, attributes), _marked(tag, attributes))
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
             pop(node)
-    while node is not root:
+    while node:
         pop(node)
     flush()
-    return out
+    return tree, out
+
+
+def path_ratios(tree: _Tree, found: list[tuple[str, int, int]]) -> dict[int, tuple[float, float]]:
+    """Per root-to-leaf tag path of the blocks its fused ratio and the share of its text inside links.
+
+    Text length and punctuation marks for each block of a path, smoothed over the paths next to it in the page's order
+    of first use, are multiplied and weighed by the text outside links.
+    """
+    sums: dict[int, list[float]] = {}
+    for text, node, linked in found:
+        each = sums.setdefault(tree.path[node], [0, 0, 0, 0])
+        each[0] += len(text)
+        each[1] += sum(c in PUNCTUATION for c in text)
+        each[2] += 1
+        each[3] += linked
+    table = np.array(list(sums.values()), float)
+    smooth = lambda v: np.convolve(np.pad(v, 1, "edge"), [0.25, 0.5, 0.25], "valid") * 0.5 + v * 0.5
+    linked = table[:, 3] / table[:, 0]
+    fused = smooth(table[:, 0] / table[:, 2]) * (1 + smooth(table[:, 1] / table[:, 2])) * (1 - linked)
+    return {p: (float(x), float(y)) for p, x, y in zip(sums, fused, linked, strict=True)}
+
+
+def content_paths(ratios: dict[int, tuple[float, float]]) -> set[int]:
+    """Paths whose fused ratio is LEVEL deviations or more, the best one always."""
+    fused = np.array([x for x, _ in ratios.values()])
+    level = min(LEVEL * fused.std(), fused.max())
+    return {p for p, (x, _) in ratios.items() if x >= level}
 
 
 def main_text(html: str) -> str:
     """The article of a page: blocks joined by line feeds; empty if there is none.
 
-    Text length and punctuation of the blocks on each root-to-leaf tag path are averaged, smoothed along the page, multiplied and
-    weighed by text outside links; paths LEVEL deviations up are content. The article is the innermost article or main
-    element, else the innermost element, around the largest part of their text; all its blocks that aren't marked as
-    something else belong to it.
+    Paths with a high ratio are content. The article's element is the innermost article or main element, else the
+    innermost element, around the largest part of their text. In it the blocks on content paths are taken; of the
+    others those on paths of links go, and those between content blocks stay. Before the first content block
+    headings stay, and behind the last one nothing; where an article or main element says so, short prose at either
+    end stays too. Elements that a tag or name marks as something else don't count, unless nothing else is there.
     """
-    found = [b for b in blocks(html) if b[2]]
+    tree, every = blocks(html)
+    found = [b for b in every if not tree.marked[b[1]]] or every
     if not found:
         return ""
-    paths: dict[str, list[float]] = {}
-    for text, node, _, linked in found:
-        sums = paths.setdefault(node.path, [0, 0, 0, 0])
-        sums[0] += len(text)
-        sums[1] += sum(c in PUNCTUATION for c in text)
-        sums[2] += 1
-        sums[3] += min(linked, len(text))
-    table = np.array(list(paths.values()), float)
-    smooth = lambda v: np.convolve(np.pad(v, 1, "edge"), [0.25, 0.5, 0.25], "valid") * 0.5 + v * 0.5
-    fused = smooth(table[:, 0] / table[:, 2]) * (1 + smooth(table[:, 1] / table[:, 2])) * (1 - table[:, 3] / table[:, 0])
-    good = {p for p, x in zip(paths, fused, strict=True) if x >= min(LEVEL * fused.std(), fused.max())}
-    chosen = [b for b in found if b[1].path in good]
-    mass: dict[int, int] = {}
-    nodes: dict[int, _Node] = {}
-    for text, node, _, _ in chosen:
-        while node is not None:
-            mass[id(node)] = mass.get(id(node), 0) + len(text)
-            nodes[id(node)] = node
-            node = node.up
-    total = sum(len(b[0]) for b in chosen)
-    kin = [n for n in nodes.values() if n.kin is n and n.tag]
-    if kin:
-        root = max(kin, key=lambda n: (mass[id(n)], n.path.count("/")))
+    ratios = path_ratios(tree, found)
+    good = content_paths(ratios)
+    mass, size = [0] * len(tree.tag), 0
+    for text, node, _ in found:
+        if tree.path[node] in good:
+            mass[node] += len(text)
+            size += len(text)
+    for node in range(len(mass) - 1, 0, -1):
+        mass[tree.up[node]] += mass[node]
+    named = [n for n in range(len(mass)) if mass[n] and tree.tag[n] in ("article", "main")]
+    if named:
+        root = max(named, key=lambda n: (mass[n], tree.depth[n]))
     else:
-        root = max((n for n in nodes.values() if mass[id(n)] >= 0.75 * total), key=lambda n: n.path.count("/"))
-        while root.tag in ("p", "li", "td", "tr", "tbody", "pre", "dd", "dt") or root.tag not in BLOCK and root.up is not None:
-            root = root.up
+        root = max((n for n in range(len(mass)) if mass[n] >= 0.75 * size), key=lambda n: tree.depth[n])
+        while root and (tree.tag[root] not in BLOCK or tree.tag[root] in ("p", "li", "td", "tr", "tbody", "pre", "dd", "dt")):
+            root = tree.up[root]
+    inside = [False] * len(mass)
+    for node in range(len(mass)):
+        inside[node] = node == root or node > 0 and inside[tree.up[node]]
+    own = [b for b in found if inside[b[1]]]
+    taken = [i for i, (_, node, _) in enumerate(own) if tree.path[node] in good]
     out = []
-    for text, node, _, _ in found:
-        while node is not None and node is not root:
-            node = node.up
-        if node is root:
-            out.append(text)
+    for i, (text, node, _) in enumerate(own):
+        path, tag = tree.path[node], tree.tag[node]
+        if path not in good:
+            if ratios[path][1] > 0.5 or not taken:
+                continue
+            edge = i < taken[0] or i > taken[-1]
+            if edge and not (tag in HEADING and i < taken[0]) and not (named and tag in PROSE):
+                continue
+        out.append(text)
     return "\n".join(out)
 
 
@@ -198,7 +263,11 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """pages (the columns named in keep, or all but html) with text and n_chars; null and empty pages give empty text, rows stay."""
+    """pages (the columns named in keep, or all but html) with text and n_chars; columns of these two names are replaced.
+
+    Null and empty pages, and pages of markup only, give empty text; all rows stay, repeated ones too. Long and deep
+    pages are read whole, in time and memory that grow with their length.
+    """
     names = list(keep if keep is not None else [c for c in pages.columns if c != html])
     names = [n for n in names if n not in ("text", "n_chars")]
     lean = pages.select(F.col(html).alias("__lw_html"), *names)
@@ -208,4 +277,5 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] | None =
 
 
 def digest(pages: DataFrame) -> DataFrame:
+    """Per page page_id, url, text and n_chars (extract)."""
     return extract(pages, keep=("page_id", "url"))
