@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,match:string>>"
+SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, match), in code points, end exclusive.
+def match_spans(text: Column, pattern: str, context: int = 0) -> Column:
+    """Leftmost non-overlapping matches as (start, end, match, before, after), in code points, end exclusive.
 
-    The text between matches and the matches themselves alternate, so running lengths give the
-    positions. Null text gives null. Texts without a match pay for one scan only.
+    The text between matches and the matches themselves alternate, so running lengths give the positions; before and
+    after are up to context characters of it on both sides. Null text gives null. Texts without a match pay for one
+    scan only.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("match")))
+    gaps = F.split(text, pattern, -1)
+    near = F.zip_with(gaps, F.slice(gaps, F.lit(2), F.size(gaps)), lambda g, after: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(context)).alias("before"), F.left(after, F.lit(context)).alias("after")))
+    pairs = F.zip_with(F.slice(near, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), F.length(m).alias("n"), m.alias("match")))
     none = F.array().cast(SPAN)
 
     def step(seen: Column, pair: Column) -> Column:
-        start = (seen["at"] + pair["gap"]).cast("int")
+        start = (seen["at"] + pair["g"]["gap"]).cast("int")
         end = (start + pair["n"]).cast("int")
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
+        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"), pair["g"]["before"].alias("before"), pair["g"]["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
 
     spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda seen: seen["spans"])

@@ -71,3 +71,55 @@ def test_redaction_keeps_rows_and_hides_spans(spark):
     assert [r.text for r in out] == ["[EMAIL] x [CARD]", None, "", "é [PHONE] z", "plain", "plain"]
     assert out[0].asDict().keys() == {"doc_id", "text", "kind", "start"}
     assert pii.redact(docs.limit(0)).count() == 0
+
+
+def test_unsupported_and_opposed_loose_spans_are_rejected(spark):
+    good = [f"Please call our phone 555-0{i:02d}-1{i:03d} today" for i in range(20)] + ["write to jo [at] mail [dot] org", "server address 8[.]8[.]4[.]4 here", "my visa card 4111.1111.1111.1111 thanks"]
+    bad = ["order 555-123-4567 invoice", "see 555-123-4567 version 2", "part no 4111/1111/1111/1111 serial", "release 8[.]8[.]4[.]4 of the part", "x=555-123-4567-y order"]
+    got = [r.spans for r in pii.digest(rows(spark, good + bad)).orderBy("doc_id").collect()]
+    assert [bool(s) for s in got] == [True] * len(good) + [False] * len(bad), got
+    assert [bool(r.spans) for r in pii.digest(rows(spark, bad[:1])).collect()] == [False]
+
+
+def test_expectation_maximisation_equals_brute_force():
+    """Every candidate by itself, in plain loops."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    each = []
+    for _ in range(300):
+        truth, base = rng.random() < 0.6, rng.random() < 0.7
+        votes = [(1 if truth else -1) * rng.choice([1, 1, 1, 0, 0, -1]) for _ in pii.LABELERS]
+        each.append((rng.choice(pii.KINDS), base, tuple(votes)))
+    p = [1 / (1 + math.exp(-(sum(v) + 2 * b - 0.5))) for _, b, v in each]
+    for _ in range(40):
+        prior = {}
+        for g in {(k, b) for k, b, _ in each}:
+            own = [q for (k, b, _), q in zip(each, p, strict=True) if (k, b) == g]
+            prior[g] = (sum(own) + pii.PRIOR[0]) / (len(own) + sum(pii.PRIOR))
+        table = {}
+        for i in range(len(pii.LABELERS)):
+            for truth in (0, 1):
+                count = {-1: pii.WRONG if truth else pii.RIGHT, 0: pii.NONE, 1: pii.RIGHT if truth else pii.WRONG}
+                for (_, _, v), q in zip(each, p, strict=True):
+                    count[v[i]] += q if truth else 1 - q
+                for v, c in count.items():
+                    table[i, truth, v] = c / sum(count.values())
+        for j, (k, b, v) in enumerate(each):
+            s = math.log(prior[k, b] / (1 - prior[k, b])) + sum(math.log(table[i, 1, x] / table[i, 0, x]) for i, x in enumerate(v))
+            p[j] = 1 / (1 + math.exp(-max(-30, min(30, s))))
+    counted = {}
+    for e in each:
+        counted[e] = counted.get(e, 0) + 1
+    patterns = [{"kind": k, "base": b, "votes": v, "looks": (0, 0, 0, 0), "n": n} for (k, b, v), n in counted.items()]
+    tables, priors, posterior = pii.reliabilities(patterns)
+    want = dict(zip(each, p, strict=True))
+    assert all(abs(want[k, b, v] - q) < 1e-9 for (k, b, v), q in zip(counted, posterior, strict=True))
+    assert all(abs(prior[g] - x) < 1e-9 for g, x in priors.items()) and abs(tables[2, 1, 0] - table[2, 1, -1]) < 1e-9
+
+
+def test_long_texts_are_searched_whole(spark):
+    text = "word " * 60_000 + "a@b.com " + "4111111111111111 " * 200 + "x" * 100_000 + " +1 (212) 555-1000"
+    got = pii.digest(rows(spark, [text])).first()
+    assert (got.n_email, got.n_card, got.n_phone) == tuple(sum(k == w for w, *_ in brute(text)) for k in ("email", "card", "phone"))
