@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamworks.llm.components import components
+from loamworks.llm.skew import HOT, looked_up
 from loamworks.llm.words import mixed, raw, shingles, word_hashes
 from loamworks.session import Workspace
 
@@ -22,8 +23,6 @@ ESTIMATE = 32
 SIGMAS = 6
 #: Texts that a short list holds at most.
 SHORT = 32
-#: A list is hot that holds one in so many texts; there are at most so many times SKETCH of those, so they can be sent to all tasks.
-HOT = 2000
 #: Rounds in which each list is compared with one member, before what is left is compared in full.
 PIVOTS = 2
 
@@ -148,13 +147,6 @@ class _Texts:
         return near.where("sure").select("a", "b").unionByName(edges)
 
 
-def _looked_up(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """rows joined with lists (v, hot and more; one row for each v): hot lists are few and sent to all tasks, so no task gets all rows of one."""
-    hot = lists.where("hot")
-    marked = rows.join(F.broadcast(hot.select("v")), "v", "left_anti")
-    return rows.join(F.broadcast(hot), "v").unionByName(marked.join(lists.where("NOT hot"), "v")).drop("hot")
-
-
 def _listed(texts: DataFrame, percent: int, sketch: int, count: int, work: Workspace, name: str) -> DataFrame:
     """Lists that each text (id, n, sketch) must share with any similar one: id, n, v, long, top.
 
@@ -170,7 +162,7 @@ def _listed(texts: DataFrame, percent: int, sketch: int, count: int, work: Works
     entries = entries.withColumn("early", (F.col("n") * 100 <= sketch * percent) | (F.col("pos") < reach)).drop("pos")
     lists = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").withColumn("hot", F.col("df") * HOT > max(count, HOT * SHORT))
     lists = work.table(lists, f"{name}-df")
-    shared = _looked_up(entries, lists).groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v", "early"))).alias("values"))
+    shared = looked_up(entries, lists, "v").groupBy("id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v", "early"))).alias("values"))
     room = F.size("values") - least_shared(F.col("k"), percent, sketch) + 1
     common = F.size(F.filter("values", lambda x: (x["df"] > SHORT) & x["early"]))
     guess = F.least(F.col("n"), common * F.col("n") / F.lit(reach) + F.col("n") * (SIGMAS / 2 / sqrt(reach)))
@@ -236,19 +228,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
         lists = work.table(_split(open_, count), f"split-{turn}")
         if lists.isEmpty():
             break
-        open_ = work.table(_looked_up(open_, lists), f"open-{turn}")
+        open_ = work.table(looked_up(open_, lists, "v"), f"open-{turn}")
         hot = lists.select("v", "hot")
         if turn < PIVOTS:
             order = F.struct((-F.col("top") / F.col("n") if turn == 0 else F.lit(0.0)).alias("o"), F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("p"), F.col("n").alias("m"), F.col("top").alias("cap"), F.col("label").alias("q"))
             others = open_.groupBy("v").agg(F.min(order).alias("first")).select("v", "first.p", "first.m", "first.cap", "first.q")
             others = work.table(others.join(hot, "v"), f"pivots-{turn}")
-            near = _looked_up(open_, others)
+            near = looked_up(open_, others, "v")
         else:
             sizes = open_.groupBy("v", "label").agg(F.count("*").alias("c"))
             main = sizes.groupBy("v").agg(F.max(F.struct("c", "label")).getField("label").alias("main"))
             main = work.table(main.join(hot, "v"), f"main-{turn}")
             step = F.floor(F.log("n") / -F.log(F.lit(percent / 100))).cast("int")
-            outside = _looked_up(open_, main).where("label <> main")
+            outside = looked_up(open_, main, "v").where("label <> main")
             outside = outside.select("v", F.col("id").alias("p"), F.col("n").alias("m"), F.col("top").alias("cap"), F.col("label").alias("q"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
             near = work.table(open_.withColumn("step", step), "sized").join(work.table(outside, "outside"), ["v", "step"])
         labels = components(source.verified(_pairs(near, percent), f"round-{turn}"), work, f"labels-{turn}", labels)

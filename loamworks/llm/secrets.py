@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.llm.skew import HOT, looked_up
 from loamworks.llm.spans import joined, match_spans
 from loamworks.session import Workspace
 
@@ -34,7 +35,7 @@ MORE_SIGN = r"gh[pousr]_|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ|PRIVATE KEY|:
 PLACEHOLDER = r"(?i)example|placeholder|changeme|change_me|dummy|sample|your[_-]|xxxx|1234567|abcdef|test|<|^(.)\1*$"
 #: Owners, or distinct repositories of any owner, from which a value counts as widely copied.
 COMMON, COMMON_REPOSITORIES = 3, 20
-SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,digest:string,placeholder:boolean>>"
 
 
 def _found(text: Column, kind: str, pattern: str, rank: int) -> Column:
@@ -42,11 +43,14 @@ def _found(text: Column, kind: str, pattern: str, rank: int) -> Column:
     if kind == "assign":
         spans = F.filter(spans, lambda s: F.length(F.regexp_extract(s["match"], VALUE, 1)) >= 6)
     value = lambda s: F.regexp_extract(s["match"], VALUE, 1) if kind == "assign" else s["match"]
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), value(s).alias("value")))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.sha2(value(s), 256).alias("digest"), value(s).rlike(PLACEHOLDER).alias("placeholder")))
 
 
 def spans(text: Column) -> Column:
-    """All spans by start, then kind: base ones, and other credentials that touch no base span. Null is empty."""
+    """All spans by start, then kind: base ones, and other credentials that touch no base span. Null is empty.
+
+    A span holds its value's SHA-256 digest and whether it looks like a placeholder, never the value.
+    """
     c = F.coalesce(text, F.lit(""))
     base = F.concat(*[_found(c, k, BASE[k], i) for i, k in enumerate(KINDS)]).cast(SPANS)
     other = F.concat(*[_found(c, k, p, len(KINDS) + i) for i, (k, p) in enumerate(MORE.items())]).cast(SPANS)
@@ -71,27 +75,35 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     """Per row of docs: key, spans and verdicts: the digest, owners, repositories and class of each distinct value.
 
     Classes: "copied" from COMMON owners or COMMON_REPOSITORIES repositories on, for which exact copies of a text are
-    one, "placeholder" by its looks, else "live". Null owners and repositories are one of their own. Rows without candidates get empty arrays; repeated rows stay and count as rows, not as
-    owners. Values leave as SHA-256 digests only.
+    one, "placeholder" by its looks, else "live". Null owners and repositories are one of their own. Null and empty
+    texts, and others without candidates, get empty arrays; very long texts are searched whole; repeated rows stay
+    and count as rows, not as owners. No value is written or returned, only SHA-256 digests.
+
+    Rows with the same digests share a verdict; digests and sets of them that many rows have are looked up without
+    a shuffle.
     """
     work = Workspace(docs.sparkSession, "secrets")
     owner = owner if owner is not None else F.lit(None).cast("string")
     repository = repository if repository is not None else F.col(key).cast("string")
     found = docs.select(F.col(key).alias("key"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), F.xxhash64(text).alias("print"), spans(F.col(text)).alias("spans"))
-    found = found.withColumn("digests", F.array_distinct(F.transform("spans", lambda s: F.sha2(s["value"], 256))))
-    placeholders = F.array_distinct(F.transform(F.filter("spans", lambda s: s["value"].rlike(PLACEHOLDER)), lambda s: F.sha2(s["value"], 256)))
-    found = work.table(found.withColumn("placeholders", placeholders), "found")
-    each = found.select("owner", "repository", "print", F.explode("digests").alias("digest"))
-    owned = work.table(ownership(each).withColumnRenamed("n", "rows").join(places(each), "digest"), "owned")
-    sets = found.where(F.size("digests") > 0).select("digests", "placeholders").distinct()
+    found = work.table(found, "found")
+    marked = found.where(F.size("spans") > 0).withColumn("digests", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["digest"]))))
     row_set = F.sha2(F.array_join("digests", ","), 256)
-    looked = sets.select(row_set.alias("set"), "placeholders", F.explode("digests").alias("digest")).join(owned, "digest")
-    kind = F.when((F.col("owners") >= COMMON) | (F.col("places") >= COMMON_REPOSITORIES), "copied").when(F.array_contains("placeholders", F.col("digest")), "placeholder").otherwise("live")
-    verdicts = looked.groupBy("set").agg(F.array_sort(F.collect_set(F.struct("digest", "owners", "repositories", kind.alias("class")))).alias("verdicts"))
+    marked = marked.withColumn("set", row_set)
+    each = marked.select("owner", "repository", "print", F.explode("digests").alias("digest"))
+    kind = F.when((F.col("owners") >= COMMON) | (F.col("places") >= COMMON_REPOSITORIES), "copied").when(F.col("placeholder"), "placeholder").otherwise("live")
+    looks = found.select(F.explode("spans").alias("s")).groupBy("s.digest").agg(F.max("s.placeholder").alias("placeholder"))
+    owned = ownership(each).withColumnRenamed("n", "rows").join(places(each), "digest").join(looks, "digest")
+    sets = marked.groupBy("set").agg(F.count("*").alias("n"), F.first("digests").alias("digests"))
+    total = work.table(sets, "sets").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    sets = work.spark.read.parquet(f"{work.at}/sets")
+    owned = work.table(owned.select("digest", "owners", "repositories", kind.alias("class"), (F.col("rows") * HOT > total).alias("hot")), "owned")
+    looked = looked_up(sets.select("set", F.explode("digests").alias("digest")), owned, "digest")
+    verdicts = looked.groupBy("set").agg(F.array_sort(F.collect_set(F.struct("digest", "owners", "repositories", "class"))).alias("verdicts"))
+    verdicts = work.table(verdicts.join(sets.select("set", (F.col("n") * HOT > total).alias("hot")), "set"), "verdicts")
+    with_value = looked_up(marked.select("key", "spans", "set"), verdicts, "set").select("key", "spans", "verdicts")
     empty = F.array().cast("array<struct<digest:string,owners:bigint,repositories:bigint,class:string>>")
-    alone = F.concat(F.lit("-"), F.coalesce(F.col("key").cast("string"), F.lit("")))  # rows without a value are dealt by key
-    out = found.withColumn("set", F.when(F.size("digests") > 0, row_set).otherwise(alone)).join(verdicts, "set", "left")
-    return out.select(F.col("key").alias(key), "spans", F.coalesce("verdicts", empty).alias("verdicts"))
+    return with_value.unionByName(found.where(F.size("spans") == 0).select("key", "spans", empty.alias("verdicts"))).withColumnRenamed("key", key)
 
 
 def digest(docs: DataFrame) -> DataFrame:
