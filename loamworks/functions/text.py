@@ -30,10 +30,18 @@ def hits(text: Column, words: list[str]) -> Column:
 
 
 def density(text: Column, words: list[str]) -> Column:
-    """20 times the occurrences in 100 characters, at most 100; a word counts once wherever words are listed."""
-    n = F.lit(0).cast("long")
+    """20 times the occurrences in 100 characters, at most 100; a word counts once wherever words are listed.
+
+    CJK words are looked for in texts with such a character only, and a word is counted only where it occurs.
+    """
+    n, cjk = F.lit(0).cast("long"), F.lit(0).cast("long")
     for w in words:
-        n = n + occurrences(text, w)
+        found = F.when(F.contains(text, F.lit(w)), occurrences(text, w)).otherwise(F.lit(0).cast("long"))
+        if any("\u4e00" <= c <= "\u9fff" for c in w):
+            cjk = cjk + found
+        else:
+            n = n + found
+    n = n + F.when(text.rlike(r"[\x{4e00}-\x{9fff}]"), cjk).otherwise(F.lit(0).cast("long"))
     return F.when(F.length(text) > 0, F.least(F.lit(100.0), 20.0 * n / (F.greatest(F.length(text), F.lit(1)) / 100.0))).otherwise(0.0)
 
 
@@ -77,3 +85,17 @@ def majority_char(text: Column) -> Column:
     """The character that fills more than half of a text, or any: the middle one in order."""
     chars = F.array_sort(F.split(text, ""))
     return F.element_at(chars, (F.floor(F.size(chars) / 2) + 1).cast("int"))
+
+
+#: Classes of common characters; of these and all the rest at most one fills more than half of a text.
+CLASSES = ("abcde", "fghijklm", "nopqrs", "tuvwxyz")
+
+
+def may_have_majority(text: Column) -> Column:
+    """False only where no character fills more than half of the text: then no class of characters does."""
+    n = F.length(text)
+    counts = [n - F.length(F.translate(text, c, "")) for c in CLASSES]
+    rest = n
+    for c in counts:
+        rest = rest - c
+    return F.greatest(*counts, rest) * 2 > n

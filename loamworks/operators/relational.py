@@ -132,8 +132,17 @@ def without(df: DataFrame, where: Column) -> DataFrame:
 
 
 def job_rollup(stages: DataFrame, job: str = "job") -> DataFrame:
-    """Sums, mean positive score and pass rate of each job (A-17, A-18)."""
-    sums = stages.groupBy(job).agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"), F.round(F.avg(F.when(F.col("score") > 0, F.col("score"))), 4).alias("avg_score"), F.round(F.sum("seconds"), 2).alias("seconds"))
+    """Sums, mean positive score and pass rate of each job (A-17, A-18).
+
+    Scores and seconds are added as whole units of 0.0001 and divided once, halves up, so no order of rows matters.
+    """
+    units = lambda c: F.round(F.col(c) * 10_000).cast("long")
+    good = F.col("score") > 0
+    sums = stages.groupBy(job).agg(
+        F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"), F.sum(F.when(good, units("score"))).alias("_score"), F.count(F.when(good, 1)).alias("_n"), F.sum(units("seconds")).alias("_seconds")
+    )
+    mean = F.when(F.col("_n") > 0, F.floor((2 * F.col("_score") + F.col("_n")) / F.when(F.col("_n") > 0, 2 * F.col("_n"))) / 10_000)
+    sums = sums.select(job, "rows_in", "rows_out", mean.alias("avg_score"), (F.floor((F.col("_seconds") + 50) / 100) / 100).alias("seconds"))
     return sums.withColumn("pass_rate", F.round(F.coalesce(F.try_divide(F.col("rows_out"), F.col("rows_in")), F.lit(0.0)), 4))
 
 

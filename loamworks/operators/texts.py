@@ -25,7 +25,7 @@ def safety(text: Column, unsafe: dict[str, list[str]] = fixed.UNSAFE) -> Column:
     rules += [
         F.when(n < 10, _verdict(0.3, "quality", "too short")),
         F.when(n > 100_000, _verdict(0.2, "quality", "too long")),
-        F.when((n > 50) & F.when(n > 50, (share > 0.5) & ~most.isin(" ", "\n")).otherwise(False), _verdict(0.6, "spam", "one character")),
+        F.when(F.when(n > 50, F.when(T.may_have_majority(text), (share > 0.5) & ~most.isin(" ", "\n")).otherwise(False)).otherwise(False), _verdict(0.6, "spam", "one character")),
         F.when((n > 20) & (F.length(F.regexp_replace(text, T.UNPRINTABLE, "")) / F.when(n > 0, n) < 0.6), _verdict(0.5, "quality", "unprintable")),
         F.when(F.regexp_count(text, F.lit(r"https?://[^ \t\n\x0b\x0c\r]+")) > 5, _verdict(0.7, "spam", "links")),
     ]
@@ -111,8 +111,14 @@ def qc_dpo(prompt: Column, chosen: Column, rejected: Column, base: Column, least
 
 def qc_pretrain(text: Column, count: Column, base: Column, least: float = 5.0) -> Column:
     """Rule score and pass of a chunk (QC-04)."""
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, F.lit(5)), " "))
-    repeated = T.let(T.words(text), lambda w: F.when(F.size(w) > 20, F.size(F.array_distinct(grams(w))) / (F.size(w) - 4) < 0.5).otherwise(False))
+    after = lambda a, by: F.slice(a, F.lit(by + 1), F.greatest(F.size(a) - by, F.lit(0)))
+    pair = lambda a, b: F.xxhash64(a, b)
+
+    def grams(h: Column) -> Column:  # five words in a row, from pairs of pairs
+        return T.let(F.zip_with(h, after(h, 1), pair), lambda two: F.zip_with(F.zip_with(two, after(two, 2), pair), after(h, 4), pair))
+
+    few = lambda h: F.size(F.array_distinct(F.slice(grams(h), F.lit(1), F.size(h) - 4))) / (F.size(h) - 4) < 0.5
+    repeated = T.let(F.transform(T.words(text), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) > 20, few(h)).otherwise(False))
     score = F.when(base > 0, base).otherwise(7.0) - F.when(F.length(text) < 50, 2.5).when(F.length(text) < 100, 1.0).otherwise(0.0) - F.when(count < 10, 1.5).otherwise(0.0) - F.when(repeated, 2.0).otherwise(0.0)
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)), 2)
     return F.struct(score.alias("qc_score"), (score >= least).alias("passed"))
@@ -175,12 +181,12 @@ def acoustic_features(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"entropy": F.round(0.55 * F.least(F.lit(100.0), 90 * ratio + F.length(text) / 20), 4), "snr": F.lit(27.5), "structure": F.round(0.55 * F.least(F.lit(100.0), 1.5 * F.size(w)), 4)})
 
 
-def token_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Tokens, distinct tokens, entropy in bits and type-token ratio of each text (A-23, A-24).
+def token_entropy(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """Tokens, distinct tokens, entropy in bits and type-token ratio of each text (A-23, A-24), beside the columns to keep.
 
     Counts come from the sorted tokens' run ends, so no text is exploded.
     """
-    base = df.select(key, F.array_sort(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("t"))
+    base = df.select(key, *keep, F.array_sort(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("t"))
     n = F.size("t")
     start = F.struct(F.lit(0).alias("run"), F.lit("").alias("last"), F.lit(0.0).alias("sum"))
     logs = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
@@ -188,13 +194,13 @@ def token_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
     sums = F.aggregate("t", start, step, lambda s: s["sum"] + logs(s["run"]))
     entropy = F.when(n > 0, F.log2(F.greatest(n, F.lit(1)).cast("double")) - sums / F.greatest(n, F.lit(1))).otherwise(0.0)
     kinds = F.size(F.array_distinct("t"))
-    return base.select(key, n.alias("n_tokens"), kinds.alias("n_types"), F.round(entropy, 6).alias("entropy"), F.round(kinds / F.greatest(n, F.lit(1)), 6).alias("ttr"))
+    return base.select(key, *keep, n.alias("n_tokens"), kinds.alias("n_types"), F.round(entropy, 6).alias("entropy"), F.round(kinds / F.greatest(n, F.lit(1)), 6).alias("ttr"))
 
 
 def text_metrics(df: DataFrame, key: str, text: str, distance: Column) -> DataFrame:
     """Entropy, snr, structure and scarcity of each text in its scene, with the fuse for filler (V-08)."""
-    measured = token_entropy(df, key, text).withColumnRenamed(key, "__lw_key")
-    base = df.select(key, text, distance.alias("__lw_away"), text_scene(F.col(text)).alias("s")).join(measured, F.col(key) == F.col("__lw_key"))
+    seen = df.select(key, text, distance.alias("__lw_away"), text_scene(F.col(text)).alias("s"))
+    base = token_entropy(seen, key, text, text, "__lw_away", "s")
     t, total = F.col(text), F.greatest("n_tokens", F.lit(1))
     scene = F.col("s.scene")
     lines = F.size(F.split(t, "\n"))

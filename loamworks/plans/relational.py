@@ -229,7 +229,7 @@ def _stages(events: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("rows_in"), F.count(F.when(F.col("value") > 20, 1)).alias("rows_out"), F.round(F.avg("value") / 10, 4).alias("score"), F.round(F.sum("value") / 20, 4).alias("seconds"))
 
 
-@query(f"SELECT job, sum(rows_in)::BIGINT AS rows_in, sum(rows_out)::BIGINT AS rows_out, round(avg(score) FILTER (WHERE score > 0), 4) AS avg_score, round(sum(seconds), 2) AS seconds, round(coalesce(sum(rows_out) / nullif(sum(rows_in), 0), 0), 4) AS pass_rate FROM ({STAGES}) GROUP BY job")
+@query(f"SELECT job, sum(rows_in)::BIGINT AS rows_in, sum(rows_out)::BIGINT AS rows_out, ((2 * sum(round(score * 10000)::BIGINT) FILTER (WHERE score > 0) + count(*) FILTER (WHERE score > 0)) // nullif(2 * count(*) FILTER (WHERE score > 0), 0))::DOUBLE / 10000 AS avg_score, ((sum(round(seconds * 10000)::BIGINT) + 50) // 100)::DOUBLE / 100 AS seconds, round(coalesce(sum(rows_out) / nullif(sum(rows_in), 0), 0), 4) AS pass_rate FROM ({STAGES}) GROUP BY job")
 def job_rollup(events: DataFrame) -> DataFrame:
     return R.job_rollup(_stages(events))
 

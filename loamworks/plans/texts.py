@@ -242,7 +242,8 @@ def flagship_production(documents: DataFrame) -> DataFrame:
     made = X.produced(documents, "text", "lang").withColumn("digest", F.md5(F.concat("s.instruction", "s.output")))
     first = R.latest(made.select("doc_id", "source", "tier", "q", "digest"), "digest", F.asc("doc_id"))
     weight = F.coalesce(*[F.when(F.col("tier") == k, F.lit(v)) for k, v in fixed.TIER_WEIGHT.items()], F.lit(0.0)) * fixed.KIND_WEIGHT["sft"]
-    share = R.share_of_sum(first, "source", weight)
-    summary = first.groupBy("source").agg(F.count("*").alias("samples"), F.round(F.avg("q.qc_score"), 2).alias("avg_quality"))
+    each = first.groupBy("source").agg(F.count("*").alias("samples"), F.round(F.avg("q.qc_score"), 2).alias("avg_quality"), F.sum(weight).alias("amount"))
+    total = F.sum("amount").over(Window.partitionBy())  # over one small row for each source
+    share = each.withColumn("total", total).where("total > 0").withColumn("ratio", F.round(F.col("amount") / F.col("total"), 6))
     pool = F.round(F.lit(10_000 * 0.70), 4)
-    return share.join(summary, "source").select("source", "samples", "avg_quality", "ratio", F.round(pool * F.col("ratio"), 4).alias("creator_share"), F.round(F.lit(10_000 * 0.30) * F.col("ratio"), 4).alias("platform_fee"))
+    return share.select("source", "samples", "avg_quality", "ratio", F.round(pool * F.col("ratio"), 4).alias("creator_share"), F.round(F.lit(10_000 * 0.30) * F.col("ratio"), 4).alias("platform_fee"))
