@@ -23,6 +23,8 @@ ESTIMATE = 32
 SIGMAS = 6
 #: Texts that a short list holds at most.
 SHORT = 32
+#: Ids of candidates that are sent to all tasks at most; more are joined by shuffle.
+SENT = 500_000
 #: Rounds in which each list is compared with one member, before what is left is compared in full.
 PIVOTS = 2
 
@@ -122,10 +124,11 @@ class _Texts:
         self.docs, self.texts, self.unique, self.k, self.percent, self.work = docs, texts, unique, k, percent, work
 
     def bodies(self, nodes: DataFrame, name: str) -> DataFrame:
-        """node, text and print of the nodes given as (node), one row each; Spark sends what is wanted if the written table is small."""
+        """node, text and print of the nodes given as (node), one row each; up to SENT ids are sent to the texts, which then aren't shuffled."""
         wanted = self.texts.join(nodes, "node", "left_semi").select("node", F.col("id").alias("of"), F.col("print").alias("mark"))
         wanted = self.work.table(wanted, f"{name}-wanted")
-        found = self.docs.join(wanted, (F.col("id") == F.col("of")) & (F.col("print") == F.col("mark")))
+        few = wanted.limit(SENT + 1).count() <= SENT
+        found = self.docs.join(F.broadcast(wanted) if few else wanted, (F.col("id") == F.col("of")) & (F.col("print") == F.col("mark")))
         return (found if self.unique else found.dropDuplicates(["node"])).select("node", "text", "print")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
