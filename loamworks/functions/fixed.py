@@ -92,3 +92,11 @@ VERBS = ("请", "如何", "分析", "描述", "解释", "写", "生成", "总结
 
 # Progress of a job by stage.
 PROGRESS = {"pending": 0, "safety": 20, "annotation": 50, "scoring": 70, "dedup": 85, "packaging": 95, "done": 100, "failed": 0}
+
+# Issues of samples, and the words in them by which they count.
+EMPTY, SHORT, PREFERENCE, SIMILAR = "为空", "过短", "偏好", "相似"
+SFT_ISSUES = {"empty": "instruction 为空", "short": "instruction 过短（<5字）", "short_output": "output 过短（<10字）", "no_letters": "内容无可辨识语言字符"}
+DPO_ISSUES = {"same": "chosen 与 rejected 完全相同，无偏好信号", "alike": ("chosen 与 rejected 过于相似（字符重叠 ", "%），偏好信号弱")}
+
+# Fixed value: alignment of a text where there are no prototypes.
+UNALIGNED = 50.0

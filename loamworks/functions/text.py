@@ -63,9 +63,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def char_grams(text: Column, n: int, first: int = 2000) -> Column:
-    """Distinct character n-grams of the first characters after removal of spaces; shorter texts have none."""
-    t = F.substring(F.replace(text, F.lit(" "), F.lit("")), 1, first)
+def char_grams(text: Column, n: int, first: int | None = 2000) -> Column:
+    """Distinct character n-grams of the first characters, or all, after removal of spaces; shorter texts have none."""
+    t = F.replace(text, F.lit(" "), F.lit(""))
+    t = t if first is None else F.substring(t, 1, first)
     cut = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, F.lit(n))))
     return let(t, lambda t: F.when(F.length(t) >= n, cut(t)).otherwise(F.array().cast("array<string>")))
 

@@ -90,8 +90,8 @@ def video_metrics(text: Column, away: Column, shapley: Column) -> Column:
     snr = 0.55 * clamp(55.0 + 6.0 * T.hits(t, VIDEO_HIGH) - 8.0 * T.hits(t, VIDEO_LOW), 20.0, 100.0)
     structure = 0.55 * F.least(F.lit(100.0), 45.0 + 5.0 * T.hits(t, VIDEO_SCENE) + 30 * unique)
     scarcity = clamp(away * 90, 15.0, 100.0)
-    llm = 0.2 * (e + snr + structure + scarcity + shapley) * 0.75
-    return F.struct(*[F.round(v, 1).alias(n) for n, v in (("entropy", e), ("snr", snr), ("structure", structure), ("scarcity", scarcity), ("llm_value", llm), ("shapley", shapley))])
+    llm = 0.15 * (e + snr + structure + scarcity + shapley)
+    return F.struct(*[F.round(F.round(v, 6), 1).alias(n) for n, v in (("entropy", e), ("snr", snr), ("structure", structure), ("scarcity", scarcity), ("llm_value", llm), ("shapley", shapley))])
 
 
 def cut_density(frames: DataFrame, video: str, order: str, vector: str, least: float) -> DataFrame:

@@ -162,3 +162,47 @@ def exposition(metrics: DataFrame, name: str = "metric", value: str = "value", h
     """Metrics as lines of the text exposition format (SNK-09)."""
     n = F.col(name)
     return metrics.select(F.concat(F.lit("# HELP "), n, F.lit(" "), F.col(help), F.lit("\n# TYPE "), n, F.lit(" gauge\n"), n, F.lit(" "), F.col(value).cast("string")).alias("line"))
+
+
+def ledger_entries(records: DataFrame) -> DataFrame:
+    """Revenue records (record_id, creator_id, creator_share, package_id, created_at) as entries of an account (P-18)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    note = F.concat(F.lit("package "), F.substring(text("package_id"), 1, 8), F.lit("…"))
+    return records.select(
+        text("record_id").alias("entry_id"), text("creator_id").alias("creator_id"), F.coalesce("creator_share", F.lit(0.0)).alias("amount"), F.lit(0.0).alias("balance_after"),
+        F.lit("credit").alias("entry_type"), text("package_id").alias("reference_id"), note.alias("note"), "created_at",
+    )
+
+
+def next_version(version: Column) -> Column:
+    """The version with its last number up by one; 1.0.0 without one or where it isn't a number (W-02)."""
+    numbered = version.rlike(r"^(?:[^.]*\.)*[0-9]{1,18}$")
+    tail = F.regexp_extract(version, r"([0-9]+)$", 1)
+    return F.when(numbered, F.concat(F.regexp_extract(version, r"^(.*?)[0-9]+$", 1), (tail.cast("long") + 1).cast("string"))).otherwise("1.0.0")
+
+
+def latest_state(log: DataFrame, key: str, time: str, entry: str, values: list[str], pauses: Column) -> DataFrame:
+    """The latest values of each key in an event log, entries inside a pause left out (P-15).
+
+    pauses: true for entries that the pause guard refuses. Ties in time go to the larger entry id.
+    """
+    order = F.struct(time, entry)
+    kept = log.where(~F.coalesce(pauses, F.lit(False)))
+    return kept.groupBy(key).agg(*[F.max_by(v, order).alias(v) for v in values], F.count("*").alias("changes"))
+
+
+def open_jobs(jobs: DataFrame, alerts: DataFrame, job: str, resolved: str) -> DataFrame:
+    """Jobs with has_alert: whether an alert of theirs is unresolved (J-07)."""
+    waiting = alerts.where(~F.coalesce(F.col(resolved), F.lit(False))).select(F.col(job).alias("__lw_job")).distinct().withColumn("__lw_has", F.lit(True))
+    return jobs.join(waiting, F.col(job) == F.col("__lw_job"), "left").withColumn("has_alert", F.coalesce("__lw_has", F.lit(False))).drop("__lw_job", "__lw_has")
+
+
+def hash_sample(df: DataFrame, key: str, share: float) -> DataFrame:
+    """About a share of the rows, chosen by their keys' digests: the same ones on every run and partitioning."""
+    edge = f"{int(share * 16**6):06x}"
+    return df.where(F.substring(F.md5(F.col(key).cast("string")), 1, 6) < edge)
+
+
+def kinds_counted(df: DataFrame, group: str, value: str, error: float = 0.02) -> DataFrame:
+    """Rows and estimated distinct values of each group, by sketches that merge."""
+    return df.groupBy(group).agg(F.count("*").alias("n"), F.approx_count_distinct(value, error).alias("kinds"))

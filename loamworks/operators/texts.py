@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loamworks.functions import fixed, text as T
 from loamworks.operators.relational import tier
 
+# Fixed value: a letter of the languages that samples are in.
+LETTER = r"[\x{4e00}-\x{9fff}a-zA-Z]"
 VERDICT = "struct<risk:double,category:string,reason:string>"
 
 
@@ -60,6 +62,34 @@ def annotate_dpo(text: Column) -> Column:
     return F.struct(ask.alias("prompt"), F.substring(text, 1, 400).alias("chosen"), F.lit(fixed.REFUSAL).alias("rejected"), F.lit(5.0).alias("annot_score"))
 
 
+def parsed(raw: Column) -> Column:
+    """A model's answer as a JSON object, fences and white space around it taken off; null if it is none or empty (AN-07)."""
+    body = F.regexp_replace(raw, r"^\s*[`json]*\s*|\s*`*\s*$", "")
+    return F.when(body.rlike(r"(?s)^\{.*\S.*\}$") & ~body.rlike(r"^\{\s*\}$"), F.try_parse_json(body))
+
+
+def _answered(raw: Column, rule: Column, texts: dict[str, str], by_rule: float) -> Column:
+    """The fields of a model's answer, or the rule's where there is no readable one, with score and tier."""
+
+    def filled(said: Column) -> Column:
+        known = said.isNotNull()
+        fields = [F.when(known, F.coalesce(F.try_variant_get(said, f"$.{name}", "string"), F.lit(other))).otherwise(rule[name]).alias(name) for name, other in texts.items()]
+        score = F.when(known, F.coalesce(F.try_variant_get(said, "$.quality_score", "double"), F.lit(6.0))).otherwise(by_rule)
+        return F.struct(*fields, score.alias("annot_score"), tier(score).alias("tier"), F.when(known, "model").otherwise("rule").alias("annotated_by"))
+
+    return T.let(parsed(raw), filled)
+
+
+def annotated_sft(raw: Column, text: Column, domain: Column) -> Column:
+    """An instruction sample from a model's answer, by rule where it can't be read (AN-07)."""
+    return _answered(raw, annotate_sft(text, domain), {"instruction": "", "input": "", "output": "", "domain": "general"}, 5.5)
+
+
+def annotated_dpo(raw: Column, text: Column) -> Column:
+    """A preference sample from a model's answer, by rule where it can't be read (AN-07)."""
+    return _answered(raw, annotate_dpo(text), {"prompt": "", "chosen": "", "rejected": ""}, 5.0)
+
+
 def chunks(df: DataFrame, text: str = "text", size: int = 512) -> DataFrame:
     """A row for each run of size words: chunk, chunk_text, token_count; texts under 50 characters have none (AN-03)."""
     rows = df.where(F.length(text) >= 50).withColumn("__lw_words", T.words(F.col(text))).where(F.size("__lw_words") > 0)
@@ -82,31 +112,99 @@ def vote(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.struct(F.when(agree, better).otherwise(a["text"]).alias("text"), F.when(agree, mean).otherwise(a["score"]).alias("score"), F.coalesce(agree, F.lit(False)).alias("agreed"))
 
 
-def qc_sft(instruction: Column, output: Column, base: Column, least: float = 5.0) -> Column:
-    """Rule score and pass of an instruction sample (QC-01, QC-02)."""
-    i, o = F.coalesce(instruction, F.lit("")), F.coalesce(output, F.lit(""))
+def _rule_scores(i: Column, o: Column) -> dict[str, Column]:
+    """Scores of an instruction sample by rule (QC-01)."""
     n, m = F.length(i), F.length(o)
-    complete = F.when(n == 0, 0.0).when(n < 5, 3.0).otherwise(F.least(F.lit(9.5), 5.0 + n / 40))
-    quality = F.when(m < 10, 1.0).when(m < 50, 4.0).when(m < 200, 6.5).when(m < 800, 8.0).otherwise(8.5)
-    fluent = F.when(F.concat(i, o).rlike(r"[\x{4e00}-\x{9fff}a-zA-Z]"), 7.5).otherwise(2.0)
     starts = F.lit(False)
     for v in fixed.VERBS:
         starts = starts | i.startswith(v)
-    clear = F.when(starts | i.endswith("？") | i.endswith("?"), 8.0).otherwise(6.0)
     asked, given = F.array_distinct(T.words(F.substring(i, 1, 50))), F.array_distinct(T.words(o))
-    relevant = F.least(F.lit(9.0), 5.0 + 10.0 * F.size(F.array_intersect(asked, given)) / F.greatest(F.size(asked), F.lit(1)))
-    mean = (complete + quality + fluent + clear + relevant + 7.0) / 6
-    score = F.when(n == 0, 0.0).otherwise(F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.when(base > 0, mean * 0.6 + base * 0.4).otherwise(mean))), 9), 2))
+    return {
+        "completeness": F.when(n == 0, 0.0).when(n < 5, 3.0).otherwise(F.least(F.lit(9.5), 5.0 + n / 40)),
+        "output_quality": F.when(m < 10, 1.0).when(m < 50, 4.0).when(m < 200, 6.5).when(m < 800, 8.0).otherwise(8.5),
+        "language_fluency": F.when(F.concat(i, o).rlike(LETTER), 7.5).otherwise(2.0),
+        "instruction_clarity": F.when(starts | i.endswith("？") | i.endswith("?"), 8.0).otherwise(6.0),
+        "relevance": F.least(F.lit(9.0), 5.0 + 10.0 * F.size(F.array_intersect(asked, given)) / F.greatest(F.size(asked), F.lit(1))),
+        "factuality": F.lit(7.0),
+    }
+
+
+def _mean(scores: dict[str, Column]) -> Column:
+    total = F.lit(0.0)
+    for s in scores.values():
+        total = total + s
+    return total / len(scores)
+
+
+def _within_ten(score: Column) -> Column:
+    return F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)), 9), 2)
+
+
+def qc_sft(instruction: Column, output: Column, base: Column, least: float = 5.0) -> Column:
+    """Rule score and pass of an instruction sample (QC-01, QC-02)."""
+    i, o = F.coalesce(instruction, F.lit("")), F.coalesce(output, F.lit(""))
+    n, m, mean = F.length(i), F.length(o), _mean(_rule_scores(i, o))
+    score = F.when(n == 0, 0.0).otherwise(_within_ten(F.when(base > 0, mean * 0.6 + base * 0.4).otherwise(mean)))
     return F.struct(score.alias("qc_score"), ((score >= least) & (n >= 5) & (m >= 10)).alias("passed"))
 
 
+def qc_sft_report(instruction: Column, output: Column, base: Column, model: Column, least: float = 5.0) -> Column:
+    """Score, pass, issues and scorer of an instruction sample, with what a model says where it says anything (QC-02, QC-06).
+
+    model: struct of the rule scores' names, overall (doubles) and issues (strings), each of which may be null, or null
+    for no model. The model's overall score weighs 0.6 and the mean of its scores 0.4, rule scores standing in for
+    missing ones; each issue that only the rules find costs 0.5. An empty instruction fails with 0.
+    """
+    i, o = F.coalesce(instruction, F.lit("")), F.coalesce(output, F.lit(""))
+    n, rules = F.length(i), _rule_scores(i, o)
+    own = F.array_compact(
+        F.array(
+            F.when(n == 0, fixed.SFT_ISSUES["empty"]).when(n < 5, fixed.SFT_ISSUES["short"]),
+            F.when(F.length(o) < 10, fixed.SFT_ISSUES["short_output"]),
+            F.when(~F.concat(i, o).rlike(LETTER), fixed.SFT_ISSUES["no_letters"]),
+        )
+    )
+    asked = model.isNotNull() & (n > 0)
+    said = F.when(asked, F.coalesce(model["issues"], F.array().cast("array<string>"))).otherwise(own)
+    missed = F.array_except(own, said)
+    mean = _mean(rules)
+    by_rule = _within_ten(F.when(base > 0, mean * 0.6 + base * 0.4).otherwise(mean))
+    seen = _mean({k: F.coalesce(model[k], s) for k, s in rules.items()})
+    by_model = F.round(F.round(F.coalesce(model["overall"], seen) * 0.6 + seen * 0.4, 9), 2) - 0.5 * F.size(missed)
+    score = F.when(n == 0, 0.0).when(asked, _within_ten(by_model)).otherwise(by_rule)
+    issues = F.concat(said, missed)
+    fatal = F.exists(issues, lambda x: F.contains(x, F.lit(fixed.EMPTY)) | F.contains(x, F.lit(fixed.SHORT)))
+    return F.struct(score.alias("qc_score"), ((score >= least) & ~fatal).alias("passed"), issues.alias("issues"), F.when(asked, "model").otherwise("rule").alias("scored_by"))
+
+
 def qc_dpo(prompt: Column, chosen: Column, rejected: Column, base: Column, least: float = 5.0) -> Column:
     """Rule score and pass of a preference sample (QC-03)."""
-    empty = (F.length(prompt) == 0) | (F.length(chosen) == 0) | (F.length(rejected) == 0)
-    a, b = T.char_set(chosen), T.char_set(rejected)
-    away = (chosen == rejected).cast("int") + (T.jaccard(a, b) > 0.9).cast("int")
-    score = F.when(empty, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.when(base > 0, base).otherwise(6.0) - away)), 2))
-    return F.struct(score.alias("qc_score"), (~empty & (score >= least)).alias("passed"))
+    report = qc_dpo_report(prompt, chosen, rejected, base, F.lit(None).cast("struct<overall:double,issues:array<string>>"), least)
+    return F.struct(report["qc_score"].alias("qc_score"), report["passed"].alias("passed"))
+
+
+def qc_dpo_report(prompt: Column, chosen: Column, rejected: Column, base: Column, model: Column, least: float = 5.0) -> Column:
+    """Score, pass, issues and scorer of a preference sample (QC-03, QC-06, U-05).
+
+    model: struct of overall and issues, or null; it is heard only where the rules find nothing, and its issues are
+    united with theirs. Each issue that names preference or similarity costs 1; an empty part fails with 0.
+    """
+    p, c, r = (F.coalesce(x, F.lit("")) for x in (prompt, chosen, rejected))
+    none = {name: F.length(x) == 0 for name, x in (("prompt", p), ("chosen", c), ("rejected", r))}
+    both = ~none["chosen"] & ~none["rejected"]
+    alike = T.jaccard(T.char_set(c), T.char_set(r))
+    near = F.concat(F.lit(fixed.DPO_ISSUES["alike"][0]), F.bround(alike * 100).cast("int").cast("string"), F.lit(fixed.DPO_ISSUES["alike"][1]))
+    rules = F.array(*[F.when(v, f"{k} {fixed.EMPTY}") for k, v in none.items()], F.when(both & (c == r), fixed.DPO_ISSUES["same"]), F.when(both & (alike > 0.9), near))
+    own = F.array_compact(rules)
+    asked = model.isNotNull() & (F.size(own) == 0)
+    issues = F.when(asked, F.array_union(own, F.coalesce(model["issues"], F.array().cast("array<string>")))).otherwise(own)
+    start = F.when(base > 0, base).otherwise(6.0)
+    start = F.when(asked, F.coalesce(model["overall"], start)).otherwise(start)
+    away = F.size(F.filter(issues, lambda x: F.contains(x, F.lit(fixed.PREFERENCE)) | F.contains(x, F.lit(fixed.SIMILAR))))
+    empty = none["prompt"] | none["chosen"] | none["rejected"]
+    fatal = F.exists(issues, lambda x: F.contains(x, F.lit(fixed.EMPTY)))
+    score = F.when(empty, 0.0).otherwise(_within_ten(F.greatest(F.lit(0.0), start - away)))
+    return F.struct(score.alias("qc_score"), (~fatal & (score >= least)).alias("passed"), issues.alias("issues"), F.when(asked, "model").otherwise("rule").alias("scored_by"))
 
 
 def qc_pretrain(text: Column, count: Column, base: Column, least: float = 5.0) -> Column:
@@ -197,10 +295,15 @@ def token_entropy(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     return base.select(key, *keep, n.alias("n_tokens"), kinds.alias("n_types"), F.round(entropy, 6).alias("entropy"), F.round(kinds / F.greatest(n, F.lit(1)), 6).alias("ttr"))
 
 
-def text_metrics(df: DataFrame, key: str, text: str, distance: Column) -> DataFrame:
-    """Entropy, snr, structure and scarcity of each text in its scene, with the fuse for filler (V-08)."""
-    seen = df.select(key, text, distance.alias("__lw_away"), text_scene(F.col(text)).alias("s"))
-    base = token_entropy(seen, key, text, text, "__lw_away", "s")
+def text_metrics(df: DataFrame, key: str, text: str, distance: Column, shapley: Column, align: Column | None = None) -> DataFrame:
+    """The six measures of each text in its scene, with the fuse for filler (V-08).
+
+    distance: to the nearest texts; shapley: the text's contribution; align: its alignment with the scene's prototype,
+    which makes up half of snr where there are prototypes.
+    """
+    aligned = F.lit(fixed.UNALIGNED) if align is None else align
+    seen = df.select(key, text, distance.alias("__lw_away"), shapley.alias("__lw_shapley"), aligned.alias("__lw_align"), text_scene(F.col(text)).alias("s"))
+    base = token_entropy(seen, key, text, text, "__lw_away", "__lw_shapley", "__lw_align", "s")
     t, total = F.col(text), F.greatest("n_tokens", F.lit(1))
     scene = F.col("s.scene")
     lines = F.size(F.split(t, "\n"))
@@ -216,10 +319,18 @@ def text_metrics(df: DataFrame, key: str, text: str, distance: Column) -> DataFr
         .when(scene == "code_tech", 12 * (F.regexp_count(t, F.lit(r"(?:def|function|func)\s+\w+\s*\(")) + 2 * F.regexp_count(t, F.lit(r"class\s+\w+")))).otherwise(450 * runs / total)
     )
     hundred = lambda c: F.least(F.lit(100.0), c)
-    out = base.select(key, scene.alias("scene"), hundred(F.col("entropy") / 8 * 100).alias("e"), hundred(snr).alias("r"), hundred(structure).alias("u"), "__lw_away")
+    snr = hundred(snr) if align is None else 0.5 * hundred(snr) + 0.5 * F.col("__lw_align")
+    out = base.select(key, scene.alias("scene"), hundred(F.col("entropy") / 8 * 100).alias("e"), snr.alias("r"), hundred(structure).alias("u"), "__lw_away", "__lw_shapley", "__lw_align")
     fuse = (F.col("e") < 25) | (F.col("u") < 8)
     cut = lambda c, by: F.when(fuse, F.col(c) * by).otherwise(F.col(c))
-    return out.select(key, "scene", F.round(cut("e", 0.12), 1).alias("entropy"), F.round(cut("r", 0.15), 1).alias("snr"), F.round(cut("u", 0.12), 1).alias("structure"), F.round(F.greatest(F.lit(15.0), F.least(F.lit(100.0), 0.45 * cut("u", 0.12) + 38.5 * F.col("__lw_away"))), 1).alias("scarcity"))
+    out = out.withColumns({"e": cut("e", 0.12), "r": cut("r", 0.15), "u": cut("u", 0.12)})
+    out = out.withColumn("c", F.greatest(F.lit(15.0), hundred(0.45 * F.col("u") + 38.5 * F.col("__lw_away"))))
+    llm = 0.25 * F.col("e") + 0.35 * F.col("c") + 0.25 * F.col("__lw_shapley") + 0.15 * F.col("__lw_align")
+    one = lambda c: F.round(F.round(c, 6), 1)
+    return out.select(
+        key, "scene", one(hundred(F.col("e"))).alias("entropy"), one(hundred(F.col("r"))).alias("snr"), one(F.col("u")).alias("structure"), one(F.col("c")).alias("scarcity"),
+        one(hundred(llm)).alias("llm_value"), one(F.col("__lw_shapley")).alias("shapley"),
+    )
 
 
 def produced(df: DataFrame, text: str, domain: str) -> DataFrame:
@@ -228,3 +339,8 @@ def produced(df: DataFrame, text: str, domain: str) -> DataFrame:
     made = safe.withColumn("s", annotate_sft(F.col(text), F.col(domain)))
     judged = made.withColumn("q", qc_sft(F.col("s.instruction"), F.col("s.output"), F.col("s.annot_score")))
     return judged.withColumn("tier", tier(F.col("q.qc_score")))
+
+
+def approved(samples: DataFrame, least: float = 5.0) -> DataFrame:
+    """Samples whose score is at least the package's (P-08)."""
+    return samples.where(F.col("q.qc_score") >= least)

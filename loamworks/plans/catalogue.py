@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamworks.plans import media, relational, streams, texts, values
+from loamworks.plans import media, production, relational, streams, texts, values
 
-PARTS = [relational, texts, values, media, streams]
+PARTS = [relational, texts, values, media, streams, production]
 
 
 def queries() -> dict:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamworks.functions import fixed
 from loamworks.operators import media as M
+from loamworks.plans.texts import WORDS, _sql_best, _sql_hits, _sql_text_scene
 from loamworks.session import read_table
 
 QUERIES: dict = {}
@@ -40,7 +42,27 @@ def acoustic_scene(embeddings):
     return _features(embeddings).select("vec_id", best.alias("scene"), a["confidence"].alias("confidence"))
 
 
-@query("embeddings")
+def _sql_list(values) -> str:
+    return f"[{', '.join(values)}]::DOUBLE[]"
+
+
+def _sql_said(words: dict) -> dict[str, str]:
+    """Words of each audio scene in the lower-cased text."""
+    return {s: _sql_hits("lower(text)", words[s]) if s in words else "0.5" if s == "ambient_sfx" else "0.0" for s in M.AUDIO_SCENES}
+
+
+TALK = [f"(5.0::DOUBLE + hnr * 0.5::DOUBLE) * {w}::DOUBLE" if w else "0" for w in (0.40, 0.35, 0.60, 0, 0, 0)]
+HEARD = f"""CASE WHEN {NOISE} THEN {_sql_list(['0'] * 5 + ['10'])} WHEN {MUSIC} THEN {_sql_list(['0'] * 3 + ['least(10::DOUBLE, 0.6::DOUBLE + chroma * 5 + beat * 0.3::DOUBLE)', '0', '0'])}
+  WHEN {CALM} THEN {_sql_list(['0'] * 4 + ['7.2', '0'])} WHEN {SPEECH} THEN {_sql_list(TALK)} ELSE {_sql_list(['0'] * 4 + ['4.5', '0'])} END"""
+SURE = f"CASE WHEN {NOISE} THEN 0.88::DOUBLE WHEN {MUSIC} THEN round(least(0.95::DOUBLE, 0.6::DOUBLE + chroma * 5), 3) WHEN {CALM} THEN 0.72::DOUBLE WHEN {SPEECH} THEN round(least(0.82::DOUBLE, 0.55::DOUBLE + hnr * 0.08::DOUBLE), 3) ELSE 0.45::DOUBLE END"
+FUSED = f"""WITH f AS (SELECT *, CASE WHEN vec_id % 2 = 0 THEN 'court hearing with attorney' ELSE 'guitar song' END AS text FROM ({MADE})),
+a AS (SELECT vec_id, {HEARD} AS heard, {SURE} AS sure, {_sql_list(_sql_said(fixed.AUDIO_WORDS).values())} AS said FROM f),
+b AS (SELECT *, list_max(said) AS loud, list_transform(range(1, 7), lambda i: round(heard[i] / greatest(list_max(heard), 1e-8) * 0.65::DOUBLE + said[i] / greatest(list_max(said), 1e-8) * 0.35::DOUBLE, 9)) AS mixed FROM a),
+c AS (SELECT *, CASE WHEN loud >= 3 THEN least(0.9::DOUBLE, 0.6::DOUBLE + loud * 0.05::DOUBLE) WHEN loud >= 2 THEN 0.6::DOUBLE WHEN loud >= 1 THEN 0.45::DOUBLE ELSE 0.3::DOUBLE END AS told FROM b)
+SELECT vec_id, [{', '.join(f"'{s}'" for s in M.AUDIO_SCENES)}][list_position(mixed, list_max(mixed))] AS scene, CASE WHEN sure > 0.85 THEN sure ELSE round(0.65::DOUBLE * sure + 0.35::DOUBLE * told, 3) END AS confidence, CASE WHEN sure > 0.85 THEN 'acoustic' ELSE 'fusion' END AS method FROM c"""
+
+
+@query("embeddings", FUSED)
 def audio_fusion(embeddings):
     said = F.when(F.col("vec_id") % 2 == 0, "court hearing with attorney").otherwise("guitar song")
     f = M.audio_fusion(said, M.acoustic_scores(*[F.col(x) for x in FEATURES]))
@@ -54,7 +76,13 @@ def image_metrics(embeddings):
     return _features(embeddings).select("vec_id", m.alias("m")).select("vec_id", "m.entropy", "m.snr", "m.structure", "m.scarcity")
 
 
-@query("documents")
+FILMED = f"""WITH w AS (SELECT doc_id, length(text) AS n, len(list_distinct({WORDS.format('text')})) / greatest(len({WORDS.format('text')}), 1) AS kinds,
+  {_sql_hits('lower(text)', M.VIDEO_HIGH)} AS high, {_sql_hits('lower(text)', M.VIDEO_LOW)} AS low, {_sql_hits('lower(text)', M.VIDEO_SCENE)} AS seen FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+m AS (SELECT doc_id, 0.55::DOUBLE * least(100::DOUBLE, kinds * 130 + n * 0.04::DOUBLE) AS e, 0.55::DOUBLE * greatest(20::DOUBLE, least(100::DOUBLE, 55 + 6 * high - 8 * low)) AS r, 0.55::DOUBLE * least(100::DOUBLE, 45 + 5 * seen + 30 * kinds) AS u FROM w)
+SELECT doc_id, round(round(e, 6), 1) AS entropy, round(round(r, 6), 1) AS snr, round(round(u, 6), 1) AS structure, 36.0::DOUBLE AS scarcity, round(round(0.15::DOUBLE * (e + r + u + 86), 6), 1) AS llm_value, 50.0::DOUBLE AS shapley FROM m"""
+
+
+@query("documents", FILMED)
 def video_metrics(documents):
     return documents.select("doc_id", M.video_metrics(F.coalesce("text", F.lit("")), F.lit(0.4), F.lit(50.0)).alias("m")).select("doc_id", "m.*")
 
@@ -87,7 +115,24 @@ def shapley_dispatch(documents):
     return documents.select("doc_id", M.dispatched(n, F.lit(0.3), F.lit(40.0), F.lit(50.0), F.lit(44.0), F.lit(61.0)).alias("score"))
 
 
-@query("documents")
+def _sql_named(scene: str, table: dict) -> str:
+    return f"CASE {scene} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())} ELSE 'general' END"
+
+
+def _sql_hit_scene(words: dict, none: str) -> str:
+    hits = {k: _sql_hits("lower(text)", ws) for k, ws in words.items()}
+    return f"CASE WHEN greatest({', '.join(hits.values())}) = 0 THEN '{none}' ELSE {_sql_best(hits)} END"
+
+
+FILM = {k: _sql_hits("lower(text)", ws) for k, ws in fixed.VIDEO_WORDS.items()}
+ROUTED = f"""WITH r AS (SELECT doc_id, ['text', 'image', 'audio', 'video'][doc_id % 4 + 1] AS modality, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, modality, CASE WHEN doc_id % 7 = 0 THEN 'photo' WHEN modality = 'image' THEN {_sql_hit_scene(fixed.IMAGE_WORDS, 'photo')}
+  WHEN modality = 'audio' THEN {_sql_named(_sql_best(_sql_said(fixed.AUDIO_WORDS)), M.AUDIO_TO_TEXT)}
+  WHEN modality = 'video' THEN CASE WHEN {_sql_hits('lower(text)', fixed.VIDEO_NOISE)} >= 2 THEN 'noise' WHEN greatest({', '.join(FILM.values())}) >= 2 THEN {_sql_best(FILM)} ELSE 'vlog' END
+  ELSE {_sql_text_scene(fixed.TEXT_WORDS, fixed.TEXT_PATTERNS)} END AS scene, CASE WHEN doc_id % 7 = 0 THEN 1.0::DOUBLE END AS confidence FROM r"""
+
+
+@query("documents", ROUTED)
 def modality_routing(documents):
     kind = F.element_at(F.array(*map(F.lit, ("text", "image", "audio", "video"))), (F.col("doc_id") % 4 + 1).cast("int"))
     given = F.when(F.col("doc_id") % 7 == 0, "photo")

@@ -215,11 +215,6 @@ def jaccard_pairs(documents: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
-def dedup_fuzzy_greedy(documents: DataFrame) -> DataFrame:
-    return dedup.fuzzy(documents.select("doc_id", "text"), "doc_id", "text").select("doc_id")
-
-
 @query("SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM embeddings o WHERE o.vec_id < e.vec_id AND list_cosine_similarity(o.embedding::DOUBLE[], e.embedding::DOUBLE[]) >= 0.92)")
 def dedup_semantic_greedy(embeddings: DataFrame) -> DataFrame:
     return dedup.semantic(embeddings, "vec_id", "embedding").select("vec_id")
