@@ -82,24 +82,41 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(members, SCHEMA + ", error string")
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Material by the file's extension (SRC-05); of an unknown kind: JSON lines, else CSV, else text."""
+REFUSED = "value string, source_name string, reason string"
+
+
+def read_with_refused(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Material by the file's extension, and what isn't any: value, source_name, reason (SRC-01, SRC-05).
+
+    Refused are CSV rows without content, lines that are no material, and unreadable archives. Files of an unknown
+    kind are read as JSON lines, else CSV, else text.
+    """
     kind = path.rsplit(".", 1)[-1].lower()
+    none = spark.createDataFrame([], REFUSED)
     if kind == "csv":
-        return read_csv(spark, path)
+        rows = read_csv(spark, path)
+        empty = F.col("content").isNull() | (F.trim("content") == "")
+        return rows.where(~empty), rows.where(empty).select(F.to_json(F.struct("material_type", "domain", "tags")).alias("value"), "source_name", F.lit("no content").alias("reason"))
     if kind in ("jsonl", "ndjson", "json"):
-        return read_jsonl(spark, path)[0]
+        return read_jsonl(spark, path)
     if kind == "zip":
-        return read_zip(spark, path).where("error IS NULL").drop("error")
+        rows = read_zip(spark, path)
+        failed = F.col("error").isNotNull()
+        return rows.where(~failed).drop("error"), rows.where(failed).select(F.lit(None).cast("string").alias("value"), "source_name", F.col("error").alias("reason"))
     if kind in ("txt", "md", "text"):
-        return read_txt(spark, path)
-    rows, _ = read_jsonl(spark, path)
+        return read_txt(spark, path), none
+    rows, refused = read_jsonl(spark, path)
     if not rows.isEmpty():
-        return rows
+        return rows, refused
     try:
-        return read_csv(spark, path)
+        return read_csv(spark, path), none
     except ValueError:
-        return read_txt(spark, path)
+        return read_txt(spark, path), none
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Material by the file's extension; read_with_refused also tells what was left out."""
+    return read_with_refused(spark, path)[0]
 
 
 def read_jobs(spark: SparkSession, path: str, n: int = 50) -> DataFrame:

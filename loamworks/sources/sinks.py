@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamworks.operators.relational import share_of_sum
+
 
 def write_package(samples: dict[str, DataFrame], path: str, columns: dict[str, list[str]]) -> DataFrame:
     """Each kind's columns as JSON lines and Parquet, and a manifest of counts and mean scores (SNK-01 to SNK-03, PK-01)."""
@@ -20,11 +27,62 @@ def write_package(samples: dict[str, DataFrame], path: str, columns: dict[str, l
     return manifest
 
 
+def contributions(samples: dict[str, DataFrame], creator: str, weights: dict[str, Column]) -> DataFrame:
+    """Each creator's share of a package: weights of all kinds' samples, united, over their sum (PK-01, U-02)."""
+    each = None
+    for kind, df in samples.items():
+        one = df.select(F.col(creator).alias("creator"), weights[kind].cast("double").alias("weight"))
+        each = one if each is None else each.unionByName(one)
+    return share_of_sum(each, "creator", F.col("weight")).select("creator", "ratio")
+
+
+def write_card(manifest: DataFrame, path: str, name: str, description: str, license_type: str) -> None:
+    """A package's card in Markdown: counts by kind, mean score, license (SNK-02, SNK-03)."""
+    lines = F.array_sort(F.collect_list(F.concat(F.lit("- "), "kind", F.lit(": "), F.col("rows").cast("string"))))  # one for each kind
+    known = F.when(F.col("avg_quality").isNotNull(), F.col("rows"))
+    mean = F.round(F.try_divide(F.sum(F.col("avg_quality") * F.col("rows")), F.sum(known)), 2).cast("string")
+    head = F.lit(f"# {name}\n\n{description}\n\n- samples: ")
+    total = F.coalesce(F.sum("rows"), F.lit(0)).cast("string")
+    body = F.concat(head, total, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n- mean score: "), F.coalesce(mean, F.lit("none")), F.lit(f"\n- license: {license_type}\n"))
+    manifest.agg(body.alias("value")).write.mode("overwrite").text(f"{path}/card")
+
+
+def zipped(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
+    """A bundle as rows (rows, archive): ZIP archives of JSON lines with up to so many rows each, made where the rows are (SNK-03).
+
+    Archives are bounded, so a package of any size is a table of them, and none is built in one task.
+    """
+
+    def packed(lines: list[str]) -> pa.RecordBatch:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr(f"{name}.jsonl", "".join(line + "\n" for line in lines))
+        return pa.RecordBatch.from_pydict({"rows": pa.array([len(lines)], pa.int64()), "archive": pa.array([out.getvalue()], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            while len(held) >= rows:
+                yield packed(held[:rows])
+                held = held[rows:]
+        if held:
+            yield packed(held)
+
+    return df.select(F.to_json(F.struct("*")).alias("line")).mapInArrow(run, "rows long, archive binary")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a new state beside the old one and swaps them, since a table being read can't be overwritten (SNK-05 to SNK-08)."""
+    """Writes a new state beside the old one and swaps them, since a table being read can't be overwritten (SNK-05 to SNK-08).
+
+    The old state is moved aside and deleted last, so a crash in between leaves it in path.old.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
-    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+    now, new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
     fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        fs.delete(old, True)
+        fs.rename(now, old)
+    fs.rename(new, now)
     fs.delete(old, True)
-    fs.rename(new, old)

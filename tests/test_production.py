@@ -1,5 +1,9 @@
 """Samples from models' answers, issues, the deduplication cascade and accounts on small cases."""
 
+import io
+import json
+import zipfile
+
 from pyspark.sql import functions as F
 
 from loamworks.functions import fixed
@@ -7,6 +11,7 @@ from loamworks.operators import dedup
 from loamworks.operators import relational as R
 from loamworks.operators import texts as X
 from loamworks.plans import production
+from loamworks.sources import ingest, sinks
 
 
 def test_answers_that_cannot_be_read_fall_back(spark):
@@ -69,3 +74,31 @@ def test_partitioned_table_reads_one_folder(spark):
 
     plan = production.QUERIES["partitioned_table"](spark, SF)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(o_orderstatus" in plan and "PushedFilters: []" in plan
+
+
+def test_refused_material(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("content,domain\nlong enough content,legal\n,medical\n")
+    (tmp_path / "b.jsonl").write_text('{"content": "one two three"}\nnot json\n')
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    for name, n, reason in (("a.csv", 1, "no content"), ("b.jsonl", 1, "not a material"), ("c.zip", 0, None)):
+        rows, refused = ingest.read_with_refused(spark, str(tmp_path / name))
+        bad = refused.collect()
+        assert rows.count() == n and len(bad) == 1 and refused.columns == ["value", "source_name", "reason"]
+        assert bad[0].reason == reason or reason is None and bad[0].reason
+
+
+def test_package_parts(spark, tmp_path):
+    sft = spark.createDataFrame([("a", 9.0), ("a", 5.0), ("b", 5.0)], "creator string, quality_score double")
+    dpo = spark.createDataFrame([("b", 7.0)], "creator string, quality_score double")
+    kinds = {"sft": sft, "dpo": dpo}
+    shares = sinks.contributions(kinds, "creator", {"sft": F.lit(1.0), "dpo": F.lit(2.0)})
+    assert {r.creator: r.ratio for r in shares.collect()} == {"a": 0.4, "b": 0.6}
+    manifest = sinks.write_package(kinds, str(tmp_path / "p"), {"sft": ["creator"], "dpo": ["creator"]})
+    sinks.write_card(manifest, str(tmp_path / "p"), "Name", "What it is", "open")
+    card = "\n".join(r.value for r in spark.read.text(str(tmp_path / "p/card")).collect())
+    assert "# Name" in card and "- samples: 4" in card and "- dpo: 1\n- sft: 3" in card and "- mean score: 6.5" in card
+    archives = sinks.zipped(sft.coalesce(1), "sft", rows=2).collect()
+    assert sorted(r.rows for r in archives) == [1, 2]
+    lines = [json.loads(x) for r in archives for x in zipfile.ZipFile(io.BytesIO(bytes(r.archive))).read("sft.jsonl").decode().splitlines()]
+    assert sorted(x["quality_score"] for x in lines) == [5.0, 5.0, 9.0]
+    assert sinks.zipped(sft.limit(0), "sft").count() == 0
