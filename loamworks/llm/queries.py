@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamworks.llm import avi, decontam, html_text, langid, mixing, neardup, pii, quality, secrets, token_counts
+from loamworks.llm import avi, decontam, html_text, langid, mixing, neardup, oracles, pii, prefix_trie, quality, secrets, segment_search, token_counts, turn_repair
 from loamworks.session import read_table
 
 import corpus_pipeline
@@ -25,26 +25,12 @@ def queries() -> dict:
         "op8_langid": _over(langid.digest, "documents"),
         "op9_neardup": _over(neardup.digest, "documents"),
         "op10_quality": _over(quality.digest, "documents", "labels"),
+        "op11_topk": _over(segment_search.digest, "embeddings"),
+        "op12_prefix_trie": _over(prefix_trie.digest, "conversations"),
+        "op13_turn_repair": _over(turn_repair.digest, "conversations"),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2}
-
-
-OP2 = r"""
-WITH sized AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS size, md5(concat_ws(':', '0', coalesce(doc_id::VARCHAR, ''))) AS ord FROM documents),
-sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
-weighed AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, (2 * source_size)::DOUBLE AS cap FROM sources),
-levels AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS own FROM weighed
-  WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT arg_min(own, cap / w) AS rest FROM levels WHERE cap / w > own),
-aims AS (SELECT source, source_size, CASE WHEN cap / w <= own THEN cap ELSE (SELECT rest FROM level) * w END AS target FROM levels),
-placed AS (SELECT s.doc_id, s.source, s.size, s.ord, a.source_size, a.target, sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
-copies AS (SELECT *, coalesce((p * source_size + cum)::DOUBLE / target, 0) AS t FROM placed, (SELECT unnest([0, 1]) AS p)),
-line AS (SELECT *, sum(size) OVER (ORDER BY t, source NULLS LAST, p, ord, size ROWS UNBOUNDED PRECEDING) AS upto FROM copies),
-taken AS (SELECT doc_id, source, ord, size, source_size, target, (count(*) FILTER (WHERE upto <= (SELECT sum(size) * 1.5 FROM sized)))::BIGINT AS n FROM line GROUP BY ALL)
-SELECT doc_id, size, source_size, target, size * n AS taken FROM taken
-"""
+    return {"op2_mixing": oracles.OP2, "op11_topk": oracles.OP11, "op12_prefix_trie": oracles.OP12, "op13_turn_repair": oracles.OP13}
