@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.llm.spans import joined, masked, match_spans
+from loamworks.llm.spans import joined, masked, match_spans, untouched
 from loamworks.session import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
@@ -26,7 +26,7 @@ SIGN = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}"
 # Looser forms that only the labelers' vote can accept.
 LOOSE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[a-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[a-z]{2,24}){1,4}",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\]| \. )[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\]|\.| \. )[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\]|\.| \. )[0-9]{1,3}(?![0-9.])",
+    "ip": r"(?<![0-9.])(?=[0-9.]*(?:\[\.|\(\.|\[dot| \. ))[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\]|\.| \. )[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\]|\.| \. )[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\]|\.| \. )[0-9]{1,3}(?![0-9.])",
     "card": r"(?<![0-9.])[0-9]{4}(?:[._/]|  )[0-9]{4}(?:[._/]|  )[0-9]{4}(?:[._/]|  )[0-9]{4}(?![0-9.])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9.-])",
 }
@@ -141,7 +141,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         part = F.transform(F.col(f"__lw_{kind}"), _candidate(kind, True))
         if kind in LOOSE:
             taken = F.concat(*[F.transform(F.col(f"__lw_{k}"), lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
-            free = F.filter(_loose_spans(c, kind), lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+            free = untouched(_loose_spans(c, kind), taken)
             part = F.array_sort(F.concat(part, F.transform(free, _candidate(kind, False))))
         parts.append(part)
     return out.withColumn("__lw_pii", F.concat(*parts).cast(CANDIDATES)).drop(*[f"__lw_{k}" for k in KINDS])

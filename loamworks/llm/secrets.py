@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.llm.skew import HOT, looked_up
-from loamworks.llm.spans import joined, match_spans
+from loamworks.llm.spans import joined, match_spans, untouched
 from loamworks.session import Workspace
 
 KINDS = ("assign", "access", "hex")
@@ -54,7 +54,7 @@ def spans(text: Column) -> Column:
     c = F.coalesce(text, F.lit(""))
     base = F.concat(*[_found(c, k, BASE[k], i) for i, k in enumerate(KINDS)]).cast(SPANS)
     other = F.concat(*[_found(c, k, p, len(KINDS) + i) for i, (k, p) in enumerate(MORE.items())]).cast(SPANS)
-    more = F.when(c.rlike(MORE_SIGN), F.filter(other, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))).otherwise(F.array().cast(SPANS))
+    more = F.when(c.rlike(MORE_SIGN), untouched(other, base)).otherwise(F.array().cast(SPANS))
     return F.array_sort(F.concat(base, more))
 
 

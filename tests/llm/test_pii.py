@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import Row
 
@@ -123,3 +124,27 @@ def test_long_texts_are_searched_whole(spark):
     text = "word " * 60_000 + "a@b.com " + "4111111111111111 " * 200 + "x" * 100_000 + " +1 (212) 555-1000"
     got = pii.digest(rows(spark, [text])).first()
     assert (got.n_email, got.n_card, got.n_phone) == tuple(sum(k == w for w, *_ in brute(text)) for k in ("email", "card", "phone"))
+
+
+def test_very_many_spans_in_one_text(spark):
+    """50,000 addresses in one text: positions, overlaps and masks take time in proportion."""
+    n = 50_000
+    text = " ".join(f"user{i}@mail{i % 7}.com" for i in range(n)) + " é host 8.8.8[.]8"
+    docs = spark.createDataFrame([Row(doc_id=1, text=text, n_chars=len(text))])
+    began = time.time()
+    r = pii.digest(docs).first()
+    want, at = [], 0
+    for word in text.split(" ")[:n]:
+        want.append(f"email:{at}:{at + len(word)}")
+        at += len(word) + 1
+    assert r.n_email == n and r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    masked = pii.redact(docs, length="n_chars").first()
+    assert masked.text.startswith("[EMAIL] " * n + "é host ") and masked.n_chars == len(masked.text)
+    assert time.time() - began < 60
+
+
+def test_partly_written_out_addresses_are_candidates(spark):
+    texts = ["host 8.8.8[.]8 there", "host 8[.]8.8.8 there", "host 8.8[.]8(.)8 there", "host 8.8.8.8 there", "host 1.2.3.4.5[.]6 there"]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)])
+    got = {r.doc_id: [(c.kind, c.base) for c in r["__lw_pii"]] for r in pii.candidates(docs).collect()}
+    assert got == {0: [("ip", False)], 1: [("ip", False)], 2: [("ip", False)], 3: [("ip", True)], 4: [("ip", True)]}

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import Row
+
 from loamworks.llm import secrets
 from loamworks.session import read_table
 
@@ -95,3 +97,9 @@ def test_long_texts_are_searched_whole(spark):
     got = secrets.digest(rows(spark, [text])).first()
     want = brute(text)
     assert (got.n_assign, got.n_hex) == tuple(sum(w[2] == k for w in want) for k in ("assign", "hex"))
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = " ".join(f"token={i:08d}abc ghp_{'Zx' * 10}{i:016d}" for i in range(20_000))
+    (r,) = secrets.digest(spark.createDataFrame([Row(doc_id=1, text=text, source="a")])).collect()
+    assert r.n_assign == 20_000 and r.spans.count("github") == 20_000
