@@ -28,12 +28,13 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 MARKED = frozenset(
     "ad ads adv advert advertisement advertising adbox banner breadcrumb breadcrumbs byline comment comments commentlist cookie cookies consent disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
-    "outbrain pager pagination popup promo promotion related recommended respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toc toolbar widget complementary contentinfo".split()
+    "outbrain pager pagination popup promo promotion related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toc toolbar widget complementary contentinfo".split()
 )
 #: Words that say nothing beside a marked one; any other word in a name means that it is about something else.
-BESIDE = frozenset("area bar block body bottom box button buttons container count icons inner items left link links list main module outer page panel post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
+BESIDE = frozenset("area bar block body bottom box button buttons container count icons inner items left link links list main module outer page panel post posts primary right row secondary section site slot text title top unit user wrap wrapper".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p li dd dt blockquote pre td th figcaption caption summary".split()) | HEADING
+LISTED = frozenset("ul ol dl li dt dd".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？।؟،")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>?", re.S)
@@ -162,7 +163,7 @@ def blocks(html: str) -> tuple[_Tree, list[tuple[str, int, int]]]:
         while tag in SAME and (same := within(SAME[tag], SCOPE[tag])) is not None:
             pop(same)
         attributes = _attributes(m[3])
-        name = f"{tag}.{attributes.get('class', '').strip()[:40]}" if attributes.get("class") else tag
+        name = f"{tag}.{attributes.get('class', '').strip()}" if attributes.get("class") else tag
         node = tree.add(tag, node, name, _hidden(tag, attributes), _marked(tag, attributes))
         opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
@@ -203,14 +204,22 @@ def content_paths(ratios: dict[int, tuple[float, float]]) -> set[int]:
     return {p for p, (x, _) in ratios.items() if x >= level}
 
 
+def _around(tree: _Tree, node: int) -> int:
+    """The element that a block stands in, the lists around it left out."""
+    node = tree.up[node]
+    while tree.tag[node] in LISTED:
+        node = tree.up[node]
+    return node
+
+
 def main_text(html: str) -> str:
     """The article of a page: blocks joined by line feeds; empty if there is none.
 
     Paths with a high ratio are content. The article's element is the innermost article or main element, else the
     innermost element, around the largest part of their text. In it the blocks on content paths are taken; of the
     others those on paths of links go, and those between content blocks stay. Before the first content block
-    headings stay, and behind the last one nothing; where an article or main element says so, short prose at either
-    end stays too. Elements that a tag or name marks as something else don't count, unless nothing else is there.
+    headings stay, and behind the last one lists that stand beside content; where an article or main element says so, short
+    prose at either end stays too. Elements that a tag or name marks as something else don't count, unless nothing else is there.
     """
     tree, every = blocks(html)
     found = [b for b in every if not tree.marked[b[1]]] or every
@@ -237,6 +246,7 @@ def main_text(html: str) -> str:
         inside[node] = node == root or node > 0 and inside[tree.up[node]]
     own = [b for b in found if inside[b[1]]]
     taken = [i for i, (_, node, _) in enumerate(own) if tree.path[node] in good]
+    beside = {_around(tree, own[i][1]) for i in taken}
     out = []
     for i, (text, node, _) in enumerate(own):
         path, tag = tree.path[node], tree.tag[node]
@@ -244,7 +254,8 @@ def main_text(html: str) -> str:
             if ratios[path][1] > 0.5 or not taken:
                 continue
             edge = i < taken[0] or i > taken[-1]
-            if edge and not (tag in HEADING and i < taken[0]) and not (named and tag in PROSE):
+            listed = tag in LISTED and i > taken[-1] and _around(tree, node) in beside
+            if edge and not listed and not (tag in HEADING and i < taken[0]) and not (named and tag in PROSE):
                 continue
         out.append(text)
     return "\n".join(out)

@@ -131,3 +131,17 @@ def test_deep_pages_stay_small():
     assert html_text.main_text(page).startswith("Deep text, at last.")
     assert tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()
+
+
+def test_lists_that_end_an_article_stay_and_replies_go():
+    prose = "".join(f"<p>This is a long sentence number {i}, with commas, and words, about cooking soup.</p>" for i in range(6))
+    page = f"<body><div class='text'>{prose}<ul><li>salt<li>pepper</ul></div><div class='user-reply'><p>I disagree, with all of it, and I say so at length here.</p></div></body>"
+    lines = html_text.main_text(page).split("\n")
+    assert lines[-2:] == ["salt", "pepper"] and len(lines) == 8
+    links = "<ul><li><a href='/a'>One more</a><li><a href='/b'>Another</a></ul>"
+    assert "Another" not in html_text.main_text(f"<body><div>{prose}{links}</div></body>")
+
+
+def test_long_class_names_are_different_paths():
+    tree, _ = html_text.blocks(f"<div class='{'x' * 60}a'><p>One.</p></div><div class='{'x' * 60}b'><p>Two.</p></div>")
+    assert len({tree.path[n] for n in range(len(tree.tag)) if tree.tag[n] == "div"}) == 2
