@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loamworks.functions import fixed
 from loamworks.operators.joins import neighbours
+from loamworks.operators.ledgers import numbered
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -191,9 +192,9 @@ def split_on_chain(value: Column, ratio: Column) -> Column:
 
 
 def demand_ledger(purchases: DataFrame, domain: str, time: str, key: str, base: Column, slope: Column) -> DataFrame:
-    """Each purchase's price at the demand before it (W-04)."""
-    turn = F.row_number().over(Window.partitionBy(domain).orderBy(time, key)) - 1
-    return purchases.withColumn("demand", turn.cast("long")).withColumn("price", chain_price(base, F.col("demand"), slope))
+    """Each purchase's price at the demand before it; a domain with most of all purchases is dealt out (W-04)."""
+    rows = numbered(purchases, domain, [time, key], "demand").withColumn("demand", F.col("demand") - 1)
+    return rows.withColumn("price", chain_price(base, F.col("demand"), slope))
 
 
 def curve_table(scenes: DataFrame, base: float = 1000.0, last: int = 60, step: int = 2) -> DataFrame:
