@@ -11,10 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamworks.functions.text import jaccard
-
-#: Query vectors that are compared with a partition at once.
-BLOCK = 4096
-
+from loamworks.operators import blocks
+from loamworks.session import Workspace
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], allow_equal: bool = True) -> DataFrame:
     """Each left row with the values of the latest right row at or before its time; null where there is none (J-13, J-14).
@@ -56,54 +54,59 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: str, sta
 def neighbours(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per query its k nearest corpus rows, itself excluded: query, near (distance, id), and n, mean, spread of all similarities (J-08, O-04).
 
-    The stated queries go to every task in blocks of BLOCK; each task keeps k per query, so what is shuffled grows
-    with tasks and queries, not with the corpus. Null vectors are left out; ties go to the smaller id.
+    queries may be all rows of the corpus. Blocks of both meet in the executors (blocks.met); a task keeps k and three
+    sums for each query that it sees, and nothing comes to the driver. Vectors that are null or not finite are left
+    out, those of another length than the query's never meet it. Distances count to twelve places; ties go to the smaller id.
     """
-    ids = [r[0] for r in queries.where(F.col(vector).isNotNull()).select(key).orderBy(key).collect()]
-    out = None
-    for at in range(0, max(len(ids), 1), BLOCK):
-        block = queries.where(F.col(vector).isNotNull() & F.col(key).between(ids[at], ids[min(at + BLOCK, len(ids)) - 1]) if ids else F.lit(False)).select(key, vector).orderBy(key).collect()
-        names, matrix = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
-        part = corpus.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), vector).mapInArrow(_nearest(names, _unit(matrix), k), "query long, near array<struct<distance:double,id:long>>, n long, s1 double, s2 double")
-        out = part if out is None else out.unionByName(part)
-    merged = out.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"), F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    work = Workspace(corpus.sparkSession, "near")
+    asked = blocks.packed(queries, key, vector, blocks.ASKED, work, "queries")
+    held = blocks.packed(corpus, key, vector, blocks.BLOCK, work, "corpus")
+    pairs = blocks.met(asked, held).select("dim", "q_at", "q_ids", "q_data", "ids", "data")
+    parts = work.table(pairs.mapInArrow(_nearest(k), "query long, near array<struct<distance:double,id:long>>, n long, s1 double, s2 double"), "parts")
+    order = Window.partitionBy("query").orderBy("x.distance", "x.id")
+    best = parts.select("query", F.explode("near").alias("x")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.groupBy("query").agg(F.array_sort(F.collect_list("x")).alias("near"))
+    sums = parts.groupBy("query").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     mean = F.col("s1") / F.col("n")
-    return merged.select("query", "near", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))).alias("spread"))
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    if not len(m):
-        return np.zeros((0, 1))
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
-
-def _nearest(names: np.ndarray, queries: np.ndarray, k: int):
+    return sums.join(best, "query").select("query", "near", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))).alias("spread"))
+
+
+class _Near:
+    """The k nearest of each query of a block so far, as rows in order of (query, distance, id), and sums of similarities."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.n, self.s1, self.s2 = ids, np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+        self.rows = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def see(self, sims: np.ndarray, ids: np.ndarray, k: int) -> None:
+        own = ids[None, :] == self.ids[:, None]
+        kept = np.where(own, 0.0, sims)
+        self.n += (~own).sum(axis=1)
+        self.s1 += kept.sum(axis=1)
+        self.s2 += (kept**2).sum(axis=1)
+        away = np.where(own, np.inf, np.round(1 - sims, 12))
+        edge = np.partition(away, k - 1, axis=1)[:, k - 1] if away.shape[1] > k else np.full(len(away), np.inf)
+        i, j = np.nonzero((away <= edge[:, None]) & np.isfinite(away))
+        i, d, x = (np.concatenate(p) for p in zip(self.rows, (i, away[i, j], ids[j]), strict=True))
+        order = np.lexsort((x, d, i))
+        i, d, x = i[order], d[order], x[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        self.rows = i[place < k], d[place < k], x[place < k]
+
+    def batch(self) -> pa.RecordBatch:
+        i, d, x = self.rows
+        ends = np.searchsorted(i, np.arange(len(self.ids) + 1)).astype(np.int32)
+        near = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(d), pa.array(x)], ["distance", "id"]))
+        return pa.RecordBatch.from_pydict({"query": pa.array(self.ids), "near": near, "n": pa.array(self.n), "s1": pa.array(self.s1), "s2": pa.array(self.s2)})
+
+
+def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, int]]] = [[] for _ in names]
-        n, s1, s2 = np.zeros(len(names), np.int64), np.zeros(len(names)), np.zeros(len(names))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                some = batch.slice(at, 8192)
-                ids = some.column(0).to_numpy(zero_copy_only=False)
-                flat = np.asarray(some.column(1).flatten(), np.float64).reshape(len(ids), -1)
-                if not len(names):
-                    continue
-                sims = queries @ _unit(flat).T
-                own = ids[None, :] == names[:, None]
-                kept = np.where(own, 0.0, sims)
-                n += (~own).sum(axis=1)
-                s1 += kept.sum(axis=1)
-                s2 += (kept**2).sum(axis=1)
-                away = np.where(own, np.inf, 1 - sims)
-                first = np.argpartition(away, min(k, len(ids)) - 1, axis=1)[:, :k]
-                for i, row in enumerate(first):
-                    edge = away[i, row].max()
-                    row = np.flatnonzero(away[i] <= edge) if np.isfinite(edge) else row
-                    best[i] = sorted(best[i] + [(float(away[i, j]), int(ids[j])) for j in row if np.isfinite(away[i, j])])[:k]
-        if n.any():
-            near = pa.array([[{"distance": d, "id": j} for d, j in b] for b in best], pa.list_(pa.struct([("distance", pa.float64()), ("id", pa.int64())])))
-            yield pa.RecordBatch.from_pydict({"query": pa.array(names), "near": near, "n": pa.array(n), "s1": pa.array(s1), "s2": pa.array(s2)})
+        best: dict[str, _Near] = {}
+        for at, q_ids, q, ids, c in blocks.matrices(batches):
+            best.setdefault(at, _Near(q_ids)).see(q @ c.T, ids, k)
+        for some in best.values():
+            yield some.batch()
 
     return run
 

@@ -12,8 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamworks.functions import fixed
+from loamworks.operators import blocks
 from loamworks.operators.joins import neighbours
 from loamworks.operators.ledgers import numbered
+from loamworks.session import Workspace
+
+
+#: Scenes whose prototypes are sent to all tasks at most.
+PROTOTYPES = 1000
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -132,46 +138,43 @@ def bootstrap_scores(queries: DataFrame, corpus: DataFrame, rounds: int = 10, sh
     """Out-of-bag contribution: mean gain over seeded subsets of about share of the corpus (V-15).
 
     A row's membership in a subset follows from its key and the seed, so any partitioning gives the same subsets.
+    A subset's total is one sum for all queries, from which a query's own vector is taken out where it is a
+    member; the most similar member comes from blocks that meet in the executors. Nothing comes to the driver.
     """
-    block = queries.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key).collect()
-    names, matrix = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12) if len(block) else matrix
-    member = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col(key)), F.lit(1000)) < int(1000 * share))
-    lean = corpus.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), vector, member.alias("m"))
-    parts = lean.mapInArrow(_subsets(names, matrix, rounds), "query long, b int, n long, best double, total array<double>")
-    merged = parts.groupBy("query", "b").agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.collect_list("total").alias("totals"))
-    total = F.aggregate("totals", F.array_repeat(F.lit(0.0), F.size(F.col("totals")[0])), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
-    mine = queries.select(F.col(key).alias("query"), F.col(vector).alias("v"))
     from loamworks.functions.vectors import cosine
 
-    gains = merged.withColumn("c", total).join(mine, "query").select("query", (0.6 * clamp(1 - cosine(F.col("v"), F.col("c")), 0.0, 2.0) / 2 + 0.4 * clamp((1 - F.col("best")) / 2, 0.0, 1.0)).alias("gain"))
+    work = Workspace(corpus.sparkSession, "bootstrap")
+    inside = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col(key)), F.lit(1000)) < int(1000 * share))
+    marked = corpus.withColumn("__lw_in", inside)
+    asked = blocks.packed(queries, key, vector, blocks.ASKED, work, "queries")
+    held = blocks.packed(marked, key, vector, blocks.BLOCK, work, "corpus", "__lw_in")
+    pairs = blocks.met(asked, held).select("dim", "q_at", "q_ids", "q_data", "ids", "data", "members")
+    best = pairs.mapInArrow(_subsets(rounds), "query long, b int, n long, best double").groupBy("query", "b").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+    each = marked.where(F.col(vector).isNotNull()).select(F.posexplode("__lw_in").alias("b", "in"), F.col(vector).alias("v")).where("in").select("b", F.posexplode("v").alias("i", "x"))
+    sums = each.groupBy("b", "i").agg(F.sum(F.col("x").cast("double")).alias("x")).groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+    mine = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query"), F.col(vector).alias("v"))
+    own = corpus.select(F.col(key).cast("long").alias("query")).distinct().join(mine, "query").select("query", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col("query")), F.lit(1000)) < int(1000 * share))).alias("b", "member"))
+    rows = best.join(own, ["query", "b"], "left").join(F.broadcast(sums), "b").join(mine, "query")  # rounds rows of sums
+    rest = F.when(F.coalesce("member", F.lit(False)), F.zip_with("c", "v", lambda c, x: c - x)).otherwise(F.col("c"))
+    gain = 0.6 * clamp(1 - cosine(F.col("v"), rest), 0.0, 2.0) / 2 + 0.4 * clamp((1 - F.col("best")) / 2, 0.0, 1.0)
     mean, sd = F.avg("gain"), F.stddev_pop("gain")
-    return gains.groupBy("query").agg(F.round(clamp(10 + 90 * mean, 10.0, 100.0), 2).alias("score"), F.round(clamp(1 - sd / F.greatest(mean, F.lit(1e-6)), 0.0, 1.0), 3).alias("confidence"))
+    return rows.select("query", gain.alias("gain")).groupBy("query").agg(F.round(clamp(10 + 90 * mean, 10.0, 100.0), 2).alias("score"), F.round(clamp(1 - sd / F.greatest(mean, F.lit(1e-6)), 0.0, 1.0), 3).alias("confidence"))
 
 
-def _subsets(names: np.ndarray, queries: np.ndarray, rounds: int):
+def _subsets(rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((len(names), rounds), np.int64)
-        best = np.full((len(names), rounds), -1.0)
-        total = None
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(ids) or not len(names):
-                continue
-            flat = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
-            inside = np.asarray(batch.column(2).flatten()).reshape(len(ids), rounds).astype(bool)
-            total = np.zeros((len(names), rounds, flat.shape[1])) if total is None else total
-            sims = queries @ (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)).T
-            own = ids[None, :] == names[:, None]
+        found: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for at, q_ids, q, ids, c, members in blocks.matrices(batches, "members"):
+            inside = np.frombuffer(members.as_buffer(), bool).reshape(len(ids), rounds)
+            _, n, best = found.setdefault(at, (q_ids, np.zeros((len(q), rounds), np.int64), np.full((len(q), rounds), -1.0)))
+            sims = np.where(ids[None, :] == q_ids[:, None], np.nan, q @ c.T)
             for b in range(rounds):
-                use = inside[None, :, b] & ~own
-                n[:, b] += use.sum(axis=1)
-                best[:, b] = np.maximum(best[:, b], np.where(use, sims, -1.0).max(axis=1))
-                total[:, b] += use.astype(float) @ flat
-        if total is not None:
-            rows = [(int(q), b, int(n[i, b]), float(best[i, b]), total[i, b].tolist()) for i, q in enumerate(names) for b in range(rounds)]
-            kinds = [("query", pa.int64()), ("b", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("total", pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k[1]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [k[0] for k in kinds])
+                use = sims[:, inside[:, b]]
+                n[:, b] += np.isfinite(use).sum(axis=1)
+                best[:, b] = np.maximum(best[:, b], np.nan_to_num(use, nan=-1.0).max(axis=1, initial=-1.0))
+        for q_ids, n, best in found.values():
+            columns = [pa.array(np.repeat(q_ids, rounds)), pa.array(np.tile(np.arange(rounds, dtype=np.int32), len(q_ids))), pa.array(n.reshape(-1)), pa.array(best.reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, ["query", "b", "n", "best"])
 
     return run
 
@@ -258,10 +261,12 @@ def acoustic_print(rms: Column) -> Column:
 def alignment(df: DataFrame, prototypes: DataFrame, vector: str, scene: str) -> DataFrame:
     """Rows with align, 0 to 100: the cosine to the scene's prototype, or the best of all for a scene without one (V-24).
 
-    prototypes (scene, prototype) has a row for each scene; a null vector gives 50.
+    prototypes (scene, prototype) has a row for each scene, PROTOTYPES at most, as they go to all tasks; a null vector gives 50.
     """
     from loamworks.functions.vectors import cosine
 
+    if prototypes.limit(PROTOTYPES + 1).count() > PROTOTYPES:
+        raise ValueError(f"more than {PROTOTYPES} prototypes")
     table = prototypes.select(F.collect_list(F.struct("scene", "prototype")).alias("__lw_p"))
     score = lambda p: clamp((cosine(F.col(vector), p["prototype"]) + 1) / 2 * 100, 0.0, 100.0)
     own = F.filter("__lw_p", lambda p: p["scene"] == F.col(scene))

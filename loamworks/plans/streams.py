@@ -21,12 +21,27 @@ def query(sql: str | None = None):
     return register
 
 
-@query()
+TURNS = "SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events"
+
+
+@query(
+    f"""WITH RECURSIVE r AS ({TURNS}),
+s AS (SELECT user_id, event_id, i, [t] AS taken, true AS allowed FROM r WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, CASE WHEN len(recent) < 2 THEN list_append(recent, t) ELSE recent END, len(recent) < 2
+  FROM (SELECT r.*, list_filter(s.taken, lambda a: a > r.t - 86400) AS recent FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1))
+SELECT user_id, event_id, allowed FROM s"""
+)
 def rate_limit(events):
     return S.rate_limit(events, "user_id", "ts", "event_id", 2, 86400.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE r AS ({TURNS}),
+s AS (SELECT user_id, event_id, i, t, 2::DOUBLE AS level, true AS allowed FROM r WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, t, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1
+  FROM (SELECT r.*, least(3::DOUBLE, s.level + (r.t - s.t) * (3::DOUBLE / 86400)) AS filled FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1))
+SELECT user_id, event_id, allowed FROM s"""
+)
 def token_bucket(events):
     return S.token_bucket(events, "user_id", "ts", "event_id", 3.0, 3 / 86400)
 
@@ -60,7 +75,15 @@ def requests_in_window(events):
     return events.select("event_id", F.count("*").over(w).alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT event_id, event_type AS route, user_id % 5 AS who, epoch_us(ts) / 1e6 AS t, CASE event_type WHEN 'click' THEN 2 ELSE 1 END AS most,
+    row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('click', 'purchase', 'view')),
+s AS (SELECT route, who, event_id, i, t, [t] AS taken, 0::DOUBLE AS level, true AS allowed FROM r WHERE i = 1
+  UNION ALL SELECT route, who, event_id, i, t, CASE WHEN ok THEN list_append(recent, t) ELSE recent END, CASE WHEN ok THEN filled - 1 ELSE filled END, ok
+  FROM (SELECT *, CASE WHEN route = 'view' THEN filled >= 1 ELSE len(recent) < most END AS ok
+    FROM (SELECT r.*, list_filter(s.taken, lambda a: a > r.t - 3600) AS recent, least(1::DOUBLE, s.level + (r.t - s.t) * (1::DOUBLE / 60)) AS filled FROM s JOIN r ON r.route = s.route AND r.who = s.who AND r.i = s.i + 1)))
+SELECT event_id, allowed FROM s UNION ALL SELECT event_id, true FROM events WHERE event_type NOT IN ('click', 'purchase', 'view')"""
+)
 def routed_limits(events):
     path = F.when(F.col("event_type") == "view", "/api/valuate").when(F.col("event_type") == "click", "/api/auth/login").when(F.col("event_type") == "purchase", "/api/dataset/batch_ingest").otherwise("/api/other")
     rows = events.select("event_id", "ts", path.alias("path"), S.client(F.lit(None).cast("string"), (F.col("user_id") % 5).cast("string")).alias("who"))

@@ -41,6 +41,13 @@ def knn_top8(embeddings: DataFrame) -> DataFrame:
     return each.select("query", F.col("x.id").alias("id"), (F.col("i") + 1).alias("rank"), F.round("x.distance", 6).alias("distance"))
 
 
+@query(f"SELECT query, id, rank::INT AS rank, round(distance, 6) AS distance FROM ({NEAR.replace('q.vec_id % 100 = 0 AND ', '')}) WHERE rank <= 3")
+def knn_join(embeddings: DataFrame) -> DataFrame:
+    near = joins.neighbours(embeddings, embeddings, 3)
+    each = near.select("query", F.posexplode("near").alias("i", "x"))
+    return each.select("query", F.col("x.id").alias("id"), (F.col("i") + 1).alias("rank"), F.round("x.distance", 6).alias("distance"))
+
+
 @query(f"SELECT query, count(*) FILTER (WHERE distance < 0.55)::INT AS duplicates, count(*) FILTER (WHERE distance >= 0.55 AND distance < 0.65)::INT AS high, count(*) FILTER (WHERE distance >= 0.65 AND distance < 0.75)::INT AS similar, round(1 - min(distance), 6) AS max_similarity, CASE WHEN min(distance) < 0.55 THEN 'COLLISION' WHEN min(distance) < 0.65 THEN 'HIGH_RISK' WHEN min(distance) < 0.75 THEN 'SIMILAR' ELSE 'SAFE' END AS verdict FROM ({NEAR}) WHERE rank <= 8 GROUP BY query")
 def collision_report(embeddings: DataFrame) -> DataFrame:
     return V.collisions(joins.neighbours(_queries(embeddings), embeddings, 8), 0.55, 0.65, 0.75)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loamworks.session import Workspace
+
 #: Idle seconds after which a key's state goes.
 IDLE_S = 3600
 
@@ -22,14 +26,19 @@ LASTING = {"/api/auth/login": (10, 60.0), "/api/auth/register": (5, 60.0), "/api
 
 def window_step(times: list[float], accepted: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
     """Accepts a request unless limit requests were accepted in the window before it; only accepted ones count."""
-    out = []
+    state, out = deque(accepted), []
     for t in times:
-        accepted = [a for a in accepted if a > t - window]
-        ok = len(accepted) < limit
-        if ok:
-            accepted = [*accepted, t]
-        out.append(ok)
-    return out, accepted
+        out.append(_window(state, t, limit, window))
+    return out, list(state)
+
+
+def _window(accepted: deque, t: float, limit: int, window: float) -> bool:
+    while accepted and accepted[0] <= t - window:
+        accepted.popleft()
+    ok = len(accepted) < limit
+    if ok:
+        accepted.append(t)
+    return ok
 
 
 def bucket_step(times: list[float], level: float, last: float | None, capacity: float, rate: float) -> tuple[list[bool], float, float | None]:
@@ -43,25 +52,67 @@ def bucket_step(times: list[float], level: float, last: float | None, capacity:
     return out, level, last
 
 
-def rate_limit(events: DataFrame, key: str, time: str, order: str, limit: int, window: float) -> DataFrame:
-    """Each row of a table with allowed (ST-01). A key's requests are decided in turn, so keys should be many."""
-    return _by_key(events, key, time, order, lambda t: window_step(t, [], limit, window)[0])
-
+def rate_limit(events: DataFrame, key: str, time: str, order: str, limit: int | Column, window: float | Column) -> DataFrame:
+    """Each row of a table with allowed (ST-01); limit and window may differ by key."""
+    return _by_key(events, key, time, order, "window", limit, window)
 
-def token_bucket(events: DataFrame, key: str, time: str, order: str, capacity: float, rate: float) -> DataFrame:
-    """Each row of a table with allowed (ST-02)."""
-    return _by_key(events, key, time, order, lambda t: bucket_step(t, capacity, None, capacity, rate)[0])
 
+def token_bucket(events: DataFrame, key: str, time: str, order: str, capacity: float | Column, rate: float | Column) -> DataFrame:
+    """Each row of a table with allowed (ST-02); capacity and rate may differ by key."""
+    return _by_key(events, key, time, order, "bucket", capacity, rate)
 
-def _by_key(events: DataFrame, key: str, time: str, order: str, decide) -> DataFrame:
-    lean = events.select(F.col(key).alias("key"), F.col(order).alias("id"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"])
-        return rows.assign(allowed=decide(rows["t"].tolist()))[["key", "id", "allowed"]]
+def _by_key(events: DataFrame, key: str, time: str, order: str, kind: str, most: float | Column, pace: float | Column) -> DataFrame:
+    """Requests decided in turn for each key, whatever share of all rows a key has.
 
+    Rows are dealt by range of (key, time), so a key may lie in many partitions. Where a pause is so long that a
+    key's state is that of a new one (all accepted requests are out of the window, or the bucket is full again), its
+    requests are cut; numbers of such pieces go on from partition to partition by two small tables, a row for each
+    partition. A piece then streams through one task in order, in memory for its state (limit times, or a level).
+    Rows without a time are left out.
+    """
+    work = Workspace(events.sparkSession, "admission")
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    lean = events.select(
+        F.col(key).alias("key"), F.col(order).alias("id"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"), column(most).cast("double").alias("most"), column(pace).cast("double").alias("pace")
+    )
     kinds = {f.name: f.dataType.simpleString() for f in lean.schema}
-    return lean.where("t IS NOT NULL").groupBy("key").applyInPandas(run, f"key {kinds['key']}, id {kinds['id']}, allowed boolean").withColumnsRenamed({"key": key, "id": order})
+    dealt = work.table(lean.where("t IS NOT NULL").repartitionByRange("key", "t", "id").withColumn("part", F.spark_partition_id()), "dealt")
+    here = F.struct(F.col("key").isNotNull().alias("some"), F.col("key").alias("key"), F.col("t").alias("t"))
+    parts = Window.orderBy("part")
+    before = dealt.groupBy("part").agg(F.max(here).alias("end")).select("part", F.lag("end").over(parts).alias("before"))
+    line = Window.partitionBy("part").orderBy(F.col("key").asc_nulls_first(), "t", "id")
+    prior = F.coalesce(F.lag(here).over(line), F.col("before"))
+    quiet = prior["t"] <= F.col("t") - F.col("pace") if kind == "window" else (F.col("t") - prior["t"]) * F.col("pace") >= F.col("most")
+    fresh = prior.isNull() | ~prior["key"].eqNullSafe(F.col("key")) | quiet
+    cut = dealt.join(F.broadcast(before), "part").withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("long"))
+    cut = cut.withColumn("own", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("before", "fresh")
+    cut = work.table(cut, "cut")
+    ahead = cut.groupBy("part").agg(F.max("own").alias("n")).select("part", F.coalesce(F.sum("n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    pieces = cut.join(F.broadcast(ahead), "part").select("key", "id", "t", "most", "pace", (F.col("own") + F.col("ahead")).alias("piece"))
+    pieces = pieces.repartition("piece").sortWithinPartitions("piece", "t", "id")
+    out = pieces.mapInArrow(_decided(kind), f"key {kinds['key']}, id {kinds['id']}, allowed boolean")
+    return out.withColumnsRenamed({"key": key, "id": order})
+
+
+def _decided(kind: str):
+    """A function for mapInArrow: rows of pieces one after another, with allowed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, accepted, level, last = None, deque(), 0.0, None
+        for batch in batches:
+            out = []
+            for t, most, pace, piece in zip(*(batch.column(c).to_pylist() for c in ("t", "most", "pace", "piece")), strict=True):
+                if piece != now:
+                    now, accepted, level, last = piece, deque(), most, None
+                if kind == "window":
+                    out.append(_window(accepted, t, most, pace))
+                else:
+                    (ok,), level, last = bucket_step([t], level, last, most, pace)
+                    out.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(out, pa.bool_())], ["key", "id", "allowed"])
+
+    return run
 
 
 def client(forwarded: Column, host: Column) -> Column:
@@ -70,20 +121,23 @@ def client(forwarded: Column, host: Column) -> Column:
 
 
 def routed_limits(requests: DataFrame, path: str, who: str, time: str, order: str, lasting: dict = LASTING, buckets: dict | None = None) -> DataFrame:
-    """Each request with allowed: the first matching prefix's limit, and then the bucket of its exact path (ST-10)."""
+    """Each request with allowed: the first matching prefix's limit, and then the bucket of its exact path (ST-10).
+
+    All prefixes are decided in one pass, by prefix and client, and all buckets in a second.
+    """
     buckets = {f"/api/{k}": v for k, v in ROUTES.items()} if buckets is None else buckets
+    of = lambda table, column: F.coalesce(*[F.when(F.col(column) == k, F.lit(float(v))) for k, v in table.items()], F.lit(None).cast("double"))
     prefix = F.coalesce(*[F.when(F.col(path).startswith(p), p) for p in lasting], F.lit(None).cast("string"))
     rows = requests.select(path, who, time, order, prefix.alias("prefix"))
-    passed = rows.where("prefix IS NULL").select(order, F.lit(True).alias("first"))
-    for p, (limit, window) in lasting.items():
-        some = rate_limit(rows.where(F.col("prefix") == p), who, time, order, limit, window)
-        passed = passed.unionByName(some.select(order, F.col("allowed").alias("first")))
-    rows = rows.join(passed, order)
-    out = rows.where(~F.col("first") | ~F.col(path).isin(*buckets)).select(order, F.col("first").alias("allowed"))
-    for route, capacity in buckets.items():
-        some = token_bucket(rows.where(F.col("first") & (F.col(path) == route)), who, time, order, float(capacity), capacity / 60)
-        out = out.unionByName(some.select(order, "allowed"))
-    return out
+    some = rows.where("prefix IS NOT NULL").withColumn("__lw_key", F.struct("prefix", who))
+    limits = {p: v[0] for p, v in lasting.items()}, {p: v[1] for p, v in lasting.items()}
+    first = rate_limit(some, "__lw_key", time, order, of(limits[0], "prefix"), of(limits[1], "prefix")).select(order, F.col("allowed").alias("first"))
+    rows = rows.join(first, order, "left").withColumn("first", F.coalesce("first", F.col("prefix").isNull()))
+    some = rows.where(F.col("first") & F.col(path).isin(*buckets)).withColumn("__lw_key", F.struct(path, who))
+    second = token_bucket(some, "__lw_key", time, order, of(buckets, path), of({k: v / 60 for k, v in buckets.items()}, path)).select(order, F.col("allowed").alias("second"))
+    bucketed = F.col("first") & F.col(path).isin(*buckets)
+    rows = rows.where(F.col(time).isNotNull() | (F.col("prefix").isNull() & ~F.col(path).isin(*buckets)))
+    return rows.join(second, order, "left").select(order, F.when(bucketed, F.coalesce("second", F.lit(False))).otherwise(F.col("first")).alias("allowed"))
 
 
 def stream_rate_limit(events: DataFrame, key: str, time: str, order: str, limit: int, window: float) -> DataFrame:
