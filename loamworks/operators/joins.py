@@ -132,6 +132,27 @@ def hamming_first(df: DataFrame, key: str, bits: Column, group: list[str], most:
     return out.select(key, *group, F.least(same, close).alias("earlier"))
 
 
+def equal_sets(sets: DataFrame, key: str, values: str) -> DataFrame:
+    """id and first of each row: the smallest key of the rows with the same distinct values; an empty array is alone."""
+    digest = F.when(F.size(values) > 0, F.sha2(F.array_join(F.transform(F.array_sort(values), lambda v: v.cast("string")), "\0"), 256))
+    each = sets.select(F.col(key).alias("id"), digest.alias("print"))
+    firsts = each.where("print IS NOT NULL").groupBy("print").agg(F.min("id").alias("first"))
+    return each.join(firsts, "print", "left").select("id", F.coalesce("first", "id").alias("first"))
+
+
+def jaccard_classes(sets: DataFrame, key: str, values: str, least: float) -> DataFrame:
+    """Pairs (a, b, similarity) of jaccard_join between the first rows of different sets, and of each first row with its equals (U-03).
+
+    Rows of equal sets have the same neighbours, so no pair of theirs is left out but those that follow; a group of c
+    equal rows has c - 1 pairs.
+    """
+    work = Workspace(sets.sparkSession, "classes")
+    classes = work.table(equal_sets(sets, key, values), "classes")
+    firsts = sets.join(classes.where("first = id").select(F.col("id").alias(key)), key, "left_semi")
+    equal = classes.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return jaccard_join(firsts, key, values, least).unionByName(equal)
+
+
 def jaccard_join(sets: DataFrame, key: str, values: str, least: float) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of rows whose arrays of distinct values have a Jaccard similarity of least or more (U-03).
 
