@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +103,37 @@ def resolved(alerts: DataFrame, ids: DataFrame) -> DataFrame:
 def shown_alerts(alerts: DataFrame, include_resolved: bool = False, limit: int = 100) -> DataFrame:
     """The newest alerts, those that are resolved only if asked for (MO-02)."""
     return retained(alerts if include_resolved else alerts.where(~F.col("resolved")), ["at", "alert_id"], limit)
+
+
+def administered(rows: DataFrame, contract: str, time: str, order: str, first: int) -> DataFrame:
+    """Each event of a contract with ok and the state after it: admin, pending and paused (P-15).
+
+    rows have kind, actor and target. Only the admin transfers, pauses and unpauses; a transfer names who may accept,
+    and only who was named last becomes the admin by accepting. Other kinds are ok and change nothing; a transfer
+    without a target is refused. A contract's events stream through one task in order, in memory for one state.
+    """
+    lean = rows.select(F.col(order).cast("long").alias("id"), F.col(contract).cast("long").alias("contract"), "kind", F.col("actor").cast("long").alias("actor"), F.col("target").cast("long").alias("target"), F.col(time).alias("at"))
+    lean = lean.repartition("contract").sortWithinPartitions("contract", "at", "id").drop("at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, admin, pending, paused = object(), first, None, False
+        for batch in batches:
+            out = []
+            for key, kind, actor, target in zip(*(batch.column(c).to_pylist() for c in ("contract", "kind", "actor", "target")), strict=True):
+                if key != now:
+                    now, admin, pending, paused = key, first, None, False
+                ok = actor is not None and (actor == admin if kind in ("transfer", "pause", "unpause") else actor == pending) if kind in ("transfer", "pause", "unpause", "accept") else True
+                ok = ok and not (kind == "transfer" and target is None)
+                if ok and kind == "transfer":
+                    pending = target
+                elif ok and kind == "accept":
+                    admin, pending = pending, None
+                elif ok and kind in ("pause", "unpause"):
+                    paused = kind == "pause"
+                out.append((ok, admin, pending, paused))
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("contract"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["id", "contract", "ok", "admin", "pending", "paused"])
+
+    out = lean.mapInArrow(run, "id long, contract long, ok boolean, admin long, pending long, paused boolean")
+    return out.withColumnsRenamed({"id": order, "contract": contract})

@@ -201,8 +201,3 @@ def hash_sample(df: DataFrame, key: str, share: float) -> DataFrame:
     """About a share of the rows, chosen by their keys' digests: the same ones on every run and partitioning."""
     edge = f"{int(share * 16**6):06x}"
     return df.where(F.substring(F.md5(F.col(key).cast("string")), 1, 6) < edge)
-
-
-def kinds_counted(df: DataFrame, group: str, value: str, error: float = 0.02) -> DataFrame:
-    """Rows and estimated distinct values of each group, by sketches that merge."""
-    return df.groupBy(group).agg(F.count("*").alias("n"), F.approx_count_distinct(value, error).alias("kinds"))

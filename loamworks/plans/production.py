@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamworks.functions import fixed, registry
-from loamworks.operators import dedup
+from loamworks.functions import fixed, registry, sketches
+from loamworks.operators import dedup, ledgers
 from loamworks.operators import relational as R
 from loamworks.operators import texts as X
 from loamworks.plans.texts import PAIRED, SETS, _paired, _sql_qc
@@ -161,20 +161,73 @@ def hash_sample(events: DataFrame) -> DataFrame:
     return R.hash_sample(events.select("event_id", "user_id"), "event_id", 0.25)
 
 
-@query("SELECT event_type, count(*) AS n, true AS near FROM events GROUP BY event_type")
+KMV = """WITH d AS (SELECT DISTINCT event_type, ('0x' || substring(md5(user_id::VARCHAR || ':' || props), 1, 15))::BIGINT AS digest FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY digest) AS i FROM d),
+s AS (SELECT event_type, count(*) AS n, max(digest) AS last FROM r WHERE i <= 256 GROUP BY event_type)
+SELECT event_type, CASE WHEN n < 256 THEN n::DOUBLE ELSE round(255 / (last / 1152921504606846976::DOUBLE), 2) END AS kinds FROM s"""
+
+
+@query(KMV)
 def approximate_kinds(events: DataFrame) -> DataFrame:
-    """The estimate is set against the exact count; near says that it is within six standard deviations."""
-    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("kinds_exactly"))
-    both = R.kinds_counted(events, "event_type", "user_id").join(exact, "event_type")
-    return both.select("event_type", "n", (F.abs(F.col("kinds") - F.col("kinds_exactly")) <= 0.12 * F.col("kinds_exactly") + 1).alias("near"))
+    """Distinct pairs of user and properties by kind, estimated from daily sketches that are stored and merged."""
+    pairs = events.select("event_type", F.to_date("ts").alias("day"), F.concat_ws(":", "user_id", "props").alias("pair"))
+    stored = Workspace(events.sparkSession, "sketches").table(sketches.distinct_sketch(pairs, ["event_type", "day"], "pair"), "days")
+    return sketches.distinct_counts(sketches.merged_distinct(stored, ["event_type"]), ["event_type"])
+
+
+BUCKETS = """WITH v AS (SELECT event_type, round(value * 100)::BIGINT AS v FROM events),
+b AS (SELECT event_type, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY bucket) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM b)
+SELECT event_type, share::DOUBLE AS share, min(bucket)::BIGINT AS value FROM r, (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS share) WHERE i >= ceil(share * n) GROUP BY ALL"""
+
+
+@query(BUCKETS)
+def merged_quantiles(events: DataFrame) -> DataFrame:
+    """Quantiles of cents by kind, from daily sketches that are stored and merged."""
+    cents = events.select("event_type", F.to_date("ts").alias("day"), F.round(F.col("value") * 100).alias("cents"))
+    stored = Workspace(events.sparkSession, "sketches").table(sketches.quantile_sketch(cents, ["event_type", "day"], F.col("cents")), "days")
+    return sketches.quantiles(sketches.merged_quantiles(stored, ["event_type"]), ["event_type"], [0.5, 0.9, 0.99])
 
 
-SPENT = "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM {orders} WHERE o_totalprice >= {least} AND o_orderpriority = {kind} GROUP BY o_custkey"
+@query(
+    """WITH t AS (SELECT user_id, epoch_us(ts) / 1e6 AS t FROM events),
+m AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= 21600, true)::INT AS fresh FROM t),
+v AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS visit FROM m)
+SELECT user_id::VARCHAR AS key, min(t) AS since, max(t) AS until, count(*) AS n FROM v GROUP BY user_id, visit"""
+)
+def visit_table(events: DataFrame) -> DataFrame:
+    """A table function of this library, called from SQL for each user's rows in order."""
+    spark = events.sparkSession
+    registry.register_visits(spark, "lw_visits", 21_600.0)
+    rows = events.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return spark.sql("SELECT * FROM lw_visits(TABLE(SELECT * FROM {rows}) PARTITION BY key ORDER BY t)", rows=rows)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id % 10 AS contract, event_type AS kind, user_id // 10 % 4 AS actor, event_id % 4 AS target,
+    row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT contract, 0::BIGINT AS i, NULL::BIGINT AS event_id, true AS ok, 0::BIGINT AS admin, NULL::BIGINT AS pending, false AS paused FROM (SELECT DISTINCT contract FROM e)
+  UNION ALL SELECT e.contract, e.i, e.event_id,
+    CASE e.kind WHEN 'purchase' THEN coalesce(e.actor = s.pending, false) WHEN 'signup' THEN true ELSE e.actor = s.admin END,
+    CASE WHEN e.kind = 'purchase' AND e.actor = s.pending THEN s.pending ELSE s.admin END,
+    CASE WHEN e.kind = 'click' AND e.actor = s.admin THEN e.target WHEN e.kind = 'purchase' AND e.actor = s.pending THEN NULL ELSE s.pending END,
+    CASE WHEN e.kind = 'error' AND e.actor = s.admin THEN true WHEN e.kind = 'view' AND e.actor = s.admin THEN false ELSE s.paused END
+  FROM s JOIN e ON e.contract = s.contract AND e.i = s.i + 1)
+SELECT event_id, contract, ok, admin, pending, paused FROM s WHERE i > 0"""
+)
+def admin_steps(events: DataFrame) -> DataFrame:
+    """Hand-overs in two steps and pauses of ten contracts; other kinds of events change nothing."""
+    kind = F.when(F.col("event_type") == "click", "transfer").when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "view", "unpause").otherwise("none")
+    rows = events.select("event_id", "ts", (F.col("user_id") % 10).alias("contract"), kind.alias("kind"), (F.floor(F.col("user_id") / 10) % 4).alias("actor"), (F.col("event_id") % 4).alias("target"))
+    return ledgers.administered(rows, "contract", "ts", "event_id", 0)
 
 
-@query(SPENT.format(orders="orders", least="1000", kind="'1-URGENT'"))
+@query("WITH u AS (SELECT o_custkey, o_totalprice AS p FROM orders WHERE o_orderpriority LIKE '1-%') SELECT o_custkey, count(*) FILTER (WHERE p >= 1000) AS n, round(coalesce(sum(p) FILTER (WHERE p >= 1000), 0), 2) AS spent FROM u GROUP BY o_custkey HAVING max(p) >= 1000")
 def parameterised_sql(orders: DataFrame) -> DataFrame:
-    return orders.sparkSession.sql(SPENT.replace("{least}", ":least").replace("{kind}", ":kind"), args={"least": 1000, "kind": "1-URGENT"}, orders=orders)
+    """A view, and a statement over it whose values and table name are parameters."""
+    orders.createOrReplaceTempView("lw_orders")
+    statement = "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM IDENTIFIER(:orders) WHERE o_totalprice >= :least AND o_orderpriority = :kind GROUP BY o_custkey"
+    return orders.sparkSession.sql(statement, args={"orders": "lw_orders", "least": 1000, "kind": "1-URGENT"})
 
 
 @query("SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
