@@ -100,3 +100,6 @@ DPO_ISSUES = {"same": "chosen 与 rejected 完全相同，无偏好信号", "ali
 
 # Fixed value: alignment of a text where there are no prototypes.
 UNALIGNED = 50.0
+
+# The rule's confidence that decides a text's scene alone, and shares of rule and anchors below it.
+SURE, RULE_SHARE, ANCHOR_SHARE = 0.42, 0.4, 0.6

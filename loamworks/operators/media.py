@@ -112,11 +112,6 @@ def transcript_bonus(llm: Column, snr: Column, transcript: Column) -> Column:
     return F.struct(F.when(has, F.least(F.lit(100.0), llm + F.least(F.lit(15.0), F.length(transcript) / 50))).otherwise(llm).alias("llm_value"), F.when(has, F.least(F.lit(100.0), snr * 1.1 + 5)).otherwise(snr).alias("snr"))
 
 
-def dispatched(n: Column, gap: Column, oob10: Column, beta: Column, oob8: Column, knn: Column) -> Column:
-    """Contribution score by size of the corpus (V-16)."""
-    return F.round(F.when(n == 0, 75.0).when(n < 5, clamp(10 + 90 * gap / 2, 10.0, 100.0)).when(n < 50, oob10).when(n < 500, 0.65 * beta + 0.35 * oob8).otherwise(0.5 * knn + 0.5 * beta), 2)
-
-
 def scene_of(modality: Column, text: Column, override: Column) -> Column:
     """Scene by modality, or the one that is given (V-28, V-29)."""
     found = F.when(modality == "image", X.image_scene(text)["scene"]).when(modality == "audio", lookup(X.audio_scene(text)["scene"], AUDIO_TO_TEXT, "general")).when(modality == "video", X.video_scene(text)["scene"]).otherwise(X.text_scene(text)["scene"])

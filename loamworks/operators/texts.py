@@ -19,19 +19,45 @@ def _verdict(risk: float, category: Column | str, reason: Column | str) -> Colum
 
 
 def safety(text: Column, unsafe: dict[str, list[str]] = fixed.UNSAFE) -> Column:
-    """The first rule that a text breaks: risk, category and reason, or null (SF-01 to SF-06, SF-09)."""
-    rules = [F.when(F.contains(text, F.lit(w)), _verdict(1.0, c, w)) for c, ws in unsafe.items() for w in ws]
+    """The first rule that a text breaks: risk, category and reason, or null (SF-01 to SF-06).
+
+    The words are looked for only where one of their first characters is, which takes one scan.
+    """
+    words = [(w, c) for c, ws in unsafe.items() for w in ws]
+    found = F.coalesce(*[F.when(F.contains(text, F.lit(w)), _verdict(1.0, c, w)) for w, c in words], F.lit(None).cast(VERDICT))
+    first = "".join(rf"\x{{{ord(c):x}}}" for c in sorted({w[0] for w, _ in words}))
     n = F.length(text)
     most = T.majority_char(text)
     share = (n - F.length(F.replace(text, most, F.lit("")))) / n
-    rules += [
+    return F.coalesce(
+        F.when(text.rlike(f"[{first}]"), found) if words else F.lit(None).cast(VERDICT),
         F.when(n < 10, _verdict(0.3, "quality", "too short")),
         F.when(n > 100_000, _verdict(0.2, "quality", "too long")),
         F.when(F.when(n > 50, F.when(T.may_have_majority(text), (share > 0.5) & ~most.isin(" ", "\n")).otherwise(False)).otherwise(False), _verdict(0.6, "spam", "one character")),
         F.when((n > 20) & (F.length(F.regexp_replace(text, T.UNPRINTABLE, "")) / F.when(n > 0, n) < 0.6), _verdict(0.5, "quality", "unprintable")),
         F.when(F.regexp_count(text, F.lit(r"https?://[^ \t\n\x0b\x0c\r]+")) > 5, _verdict(0.7, "spam", "links")),
-    ]
-    return F.coalesce(*rules, F.lit(None).cast(VERDICT))
+        F.lit(None).cast(VERDICT),
+    )
+
+
+def checked(payload: Column, kind: Column, unsafe: dict[str, list[str]] = fixed.UNSAFE, model: Column | None = None) -> Column:
+    """passed, risk, category, reason and layer of a payload by its kind (SF-09).
+
+    Texts go through safety, all other kinds through media_safety, null payloads as empty ones. model: what a model
+    says where the rules find nothing (risk, category, reason), or null, or left out for the way without one.
+    """
+    body = F.coalesce(payload, F.lit(""))
+    text = F.coalesce(kind, F.lit("text")) == "text"
+    rule = F.when(text, safety(body, unsafe)).otherwise(media_safety(body, kind))
+    said = F.lit(None).cast(VERDICT) if model is None else model
+
+    def told(both: Column) -> Column:
+        v = F.coalesce(both["rule"], both["said"])
+        layer = F.when(both["rule"].isNotNull(), F.when(text, "rule").otherwise("media")).when(both["said"].isNotNull(), "model").otherwise("pass")
+        none = lambda c, z: F.coalesce(v[c], F.lit(z))
+        return F.struct(v.isNull().alias("passed"), none("risk", 0.0).alias("risk"), none("category", "").alias("category"), none("reason", "").alias("reason"), layer.alias("layer"))
+
+    return T.let(F.struct(rule.alias("rule"), said.alias("said")), told)
 
 
 def media_safety(payload: Column, kind: Column) -> Column:
@@ -239,6 +265,35 @@ def text_scene(text: Column, words: dict = fixed.TEXT_WORDS, patterns: dict = fi
     return T.let(_best(scores), decided)
 
 
+def fused_text_scene(text: Column, anchors: dict[str, Column], words: dict = fixed.TEXT_WORDS, patterns: dict = fixed.TEXT_PATTERNS) -> Column:
+    """Scene, confidence and method of a text by rule, and by anchors where the rule isn't sure (V-02).
+
+    anchors: how near the text is to each scene's anchor sentences; all null for none. A rule confidence from SURE on
+    decides alone; else shares of the rule's 100 and of the nearest anchor are mixed, scenes of both sides counting.
+    Equal mixed scores go to the scene named first.
+    """
+    names = [*fixed.TEXT_MIX, *[k for k in anchors if k not in fixed.TEXT_MIX]]
+    rules = {k: F.round(fixed.TEXT_MIX[k][0] * T.density(text, words[k]) + fixed.TEXT_MIX[k][1] * T.pattern_share(text, patterns[k]), 9) for k in fixed.TEXT_MIX}
+    each = F.array(*[F.struct(rules.get(k, F.lit(0.0)).cast("double").alias("rule"), anchors[k].cast("double").alias("near") if k in anchors else F.lit(None).cast("double").alias("near")) for k in names])
+
+    def decided(scores: Column) -> Column:
+        top = F.array_max(F.transform(scores, lambda s: s["near"]))
+        first = lambda values: F.get(F.array(*map(F.lit, names)), (F.array_position(values, F.array_max(values)) - 1).cast("int"))
+        rule = F.transform(scores, lambda s: s["rule"])
+        share = lambda s: F.coalesce(s["near"], F.lit(0.0)) / F.greatest(top, F.lit(1e-8)) * fixed.ANCHOR_SHARE
+        mixed = F.transform(scores, lambda s: F.round(s["rule"] / 100 * fixed.RULE_SHARE + share(s), 9))
+        sure = F.least(F.lit(1.0), F.array_max(rule) / 80)
+        alone = (sure >= fixed.SURE) | top.isNull()
+        confidence = F.when(alone, sure).otherwise(F.least(F.lit(1.0), F.array_max(mixed)))
+        noise = (F.length(text) < 20) | (confidence < 0.08)
+        return F.struct(
+            F.when(noise, "noise").when(alone, first(rule)).otherwise(first(mixed)).alias("scene"), F.when(noise, 0.0).otherwise(F.round(confidence, 6)).alias("confidence"),
+            F.when(noise, "noise").when(alone, "rule").otherwise("hybrid").alias("method"),
+        )
+
+    return T.let(each, decided)
+
+
 def image_scene(text: Column, words: dict = fixed.IMAGE_WORDS) -> Column:
     """Scene and confidence of an image by its description (V-03)."""
     t = F.lower(text)
@@ -335,7 +390,8 @@ def text_metrics(df: DataFrame, key: str, text: str, distance: Column, shapley:
 
 def produced(df: DataFrame, text: str, domain: str) -> DataFrame:
     """Instruction samples with score and tier of the safe rows."""
-    safe = df.where(safety(F.col(text)).isNull())
+    # The verdict is generated, not filtered by, so that it is found where the texts have been dealt to, once each.
+    safe = df.withColumn("__lw_verdict", F.explode(F.array(safety(F.col(text))))).where("__lw_verdict IS NULL").drop("__lw_verdict")
     made = safe.withColumn("s", annotate_sft(F.col(text), F.col(domain)))
     judged = made.withColumn("q", qc_sft(F.col("s.instruction"), F.col("s.output"), F.col("s.annot_score")))
     return judged.withColumn("tier", tier(F.col("q.qc_score")))

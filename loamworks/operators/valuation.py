@@ -108,14 +108,14 @@ def centroid(df: DataFrame, vector: str = "embedding") -> DataFrame:
 def shapley_scores(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, alpha: float | None = None, beta: float = 1.0) -> DataFrame:
     """Nearest-neighbour contribution score and confidence of each query (V-13); with alpha and beta the weighted variant (V-14).
 
-    The centroid is the corpus's with the query's own vector taken out.
+    The centroid is the corpus's with the query's own vector taken out where it is in it.
     """
     from loamworks.functions.vectors import cosine
 
     near = neighbours(queries, corpus, k, key, vector)
-    total = centroid(corpus, vector)
+    total = centroid(corpus, vector).withColumn("whole", F.lit(corpus.where(F.col(vector).isNotNull()).count()))
     rows = near.join(queries.select(F.col(key).alias("query"), F.col(vector).alias("v")), "query").join(F.broadcast(total))
-    rest = F.zip_with("centroid", "v", lambda c, x: (c * (F.col("n") + 1) - x) / F.col("n"))
+    rest = F.zip_with("centroid", "v", lambda c, x: (c * F.col("whole") - F.when(F.col("whole") > F.col("n"), x).otherwise(0.0)) / F.col("n"))
     gap = clamp((1 - cosine(F.col("v"), rest)) / 2, 0.0, 1.0)
     m = F.size("near")
 
@@ -134,6 +134,12 @@ def shapley_scores(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", v
     return rows.select("query", score.alias("score"), F.round(0.4 + 0.6 * gap, 3).alias("confidence"))
 
 
+def members(key: Column, rounds: int, share: float, seed: int) -> Column:
+    """Whether a key is in each of the rounds' subsets, by digest."""
+    place = lambda b: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), b, key.cast("long"))), 1, 8), 16, 10).cast("long") % 1000
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda b: place(b) < int(1000 * share))
+
+
 def bootstrap_scores(queries: DataFrame, corpus: DataFrame, rounds: int = 10, share: float = 0.7, seed: int = 1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Out-of-bag contribution: mean gain over seeded subsets of about share of the corpus (V-15).
 
@@ -144,7 +150,7 @@ def bootstrap_scores(queries: DataFrame, corpus: DataFrame, rounds: int = 10, sh
     from loamworks.functions.vectors import cosine
 
     work = Workspace(corpus.sparkSession, "bootstrap")
-    inside = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col(key)), F.lit(1000)) < int(1000 * share))
+    inside = members(F.col(key), rounds, share, seed)
     marked = corpus.withColumn("__lw_in", inside)
     asked = blocks.packed(queries, key, vector, blocks.ASKED, work, "queries")
     held = blocks.packed(marked, key, vector, blocks.BLOCK, work, "corpus", "__lw_in")
@@ -153,7 +159,7 @@ def bootstrap_scores(queries: DataFrame, corpus: DataFrame, rounds: int = 10, sh
     each = marked.where(F.col(vector).isNotNull()).select(F.posexplode("__lw_in").alias("b", "in"), F.col(vector).alias("v")).where("in").select("b", F.posexplode("v").alias("i", "x"))
     sums = each.groupBy("b", "i").agg(F.sum(F.col("x").cast("double")).alias("x")).groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     mine = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query"), F.col(vector).alias("v"))
-    own = corpus.select(F.col(key).cast("long").alias("query")).distinct().join(mine, "query").select("query", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col("query")), F.lit(1000)) < int(1000 * share))).alias("b", "member"))
+    own = corpus.select(F.col(key).cast("long").alias("query")).distinct().join(mine, "query").select("query", F.posexplode(members(F.col("query"), rounds, share, seed)).alias("b", "member"))
     rows = best.join(own, ["query", "b"], "left").join(F.broadcast(sums), "b").join(mine, "query")  # rounds rows of sums
     rest = F.when(F.coalesce("member", F.lit(False)), F.zip_with("c", "v", lambda c, x: c - x)).otherwise(F.col("c"))
     gain = 0.6 * clamp(1 - cosine(F.col("v"), rest), 0.0, 2.0) / 2 + 0.4 * clamp((1 - F.col("best")) / 2, 0.0, 1.0)
@@ -179,6 +185,30 @@ def _subsets(rounds: int):
     return run
 
 
+def dispatch_scores(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", alpha: float = 4.0, beta: float = 1.0) -> DataFrame:
+    """query and score by the way that fits the corpus's size (V-16): none, a gap to its mean, subsets, or neighbours.
+
+    Only the way that is taken is computed. An empty corpus gives 75.
+    """
+    from loamworks.functions.vectors import cosine
+
+    n = corpus.where(F.col(vector).isNotNull()).count()
+    mine = queries.where(F.col(vector).isNotNull())
+    if n == 0:
+        return mine.select(F.col(key).cast("long").alias("query"), F.lit(75.0).alias("score"))
+    if n < 5:
+        rows = mine.select(F.col(key).cast("long").alias("query"), F.col(vector).alias("v")).join(F.broadcast(centroid(corpus, vector)))
+        return rows.select("query", F.round(clamp(10 + 90 * (1 - cosine(F.col("v"), F.col("centroid"))) / 2, 10.0, 100.0), 2).alias("score"))
+    if n < 50:
+        return bootstrap_scores(queries, corpus, 10, key=key, vector=vector).select("query", "score")
+    weighed = shapley_scores(queries, corpus, key, vector, alpha=alpha, beta=beta).select("query", F.col("score").alias("weighed"))
+    if n < 500:
+        other, share = bootstrap_scores(queries, corpus, 8, key=key, vector=vector), 0.65
+    else:
+        other, share = shapley_scores(queries, corpus, key, vector), 0.5
+    return weighed.join(other.select("query", F.col("score").alias("other")), "query").select("query", F.round(F.round(share * F.col("weighed") + (1 - share) * F.col("other"), 6), 2).alias("score"))
+
+
 def split_revenue(sales: DataFrame, sale: str, ratios: str, creator_share: float = 0.70) -> DataFrame:
     """Each sale's pool dealt by contribution (RV-01): creator, creator_share and platform_fee in decimals."""
     money = lambda c: F.round(c.cast("decimal(28,10)"), 4).cast("decimal(18,4)")
@@ -244,7 +274,8 @@ def fused(video: dict[str, Column], audio: dict[str, Column]) -> dict[str, Colum
     """Video measures fused with audio ones, where there are any (J-16, V-11)."""
     # The video's share of each dimension.
     share = {"entropy": 0.55, "snr": 0.55, "structure": 0.50, "scarcity": 0.70, "llm_value": 0.60, "shapley": 0.65}
-    return {d: F.round(F.coalesce(v * share[d] + audio[d] * (1 - share[d]), v), 1) for d, v in video.items()}
+    both = lambda d, v: F.least(F.lit(100.0), F.round(v * share[d] + audio[d] * (1 - share[d]), 6))
+    return {d: F.round(F.coalesce(both(d, v), v), 1) for d, v in video.items()}
 
 
 def acoustic_print(rms: Column) -> Column:

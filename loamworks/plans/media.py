@@ -76,17 +76,6 @@ def image_metrics(embeddings):
     return _features(embeddings).select("vec_id", m.alias("m")).select("vec_id", "m.entropy", "m.snr", "m.structure", "m.scarcity")
 
 
-FILMED = f"""WITH w AS (SELECT doc_id, length(text) AS n, len(list_distinct({WORDS.format('text')})) / greatest(len({WORDS.format('text')}), 1) AS kinds,
-  {_sql_hits('lower(text)', M.VIDEO_HIGH)} AS high, {_sql_hits('lower(text)', M.VIDEO_LOW)} AS low, {_sql_hits('lower(text)', M.VIDEO_SCENE)} AS seen FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-m AS (SELECT doc_id, 0.55::DOUBLE * least(100::DOUBLE, kinds * 130 + n * 0.04::DOUBLE) AS e, 0.55::DOUBLE * greatest(20::DOUBLE, least(100::DOUBLE, 55 + 6 * high - 8 * low)) AS r, 0.55::DOUBLE * least(100::DOUBLE, 45 + 5 * seen + 30 * kinds) AS u FROM w)
-SELECT doc_id, round(round(e, 6), 1) AS entropy, round(round(r, 6), 1) AS snr, round(round(u, 6), 1) AS structure, 36.0::DOUBLE AS scarcity, round(round(0.15::DOUBLE * (e + r + u + 86), 6), 1) AS llm_value, 50.0::DOUBLE AS shapley FROM m"""
-
-
-@query("documents", FILMED)
-def video_metrics(documents):
-    return documents.select("doc_id", M.video_metrics(F.coalesce("text", F.lit("")), F.lit(0.4), F.lit(50.0)).alias("m")).select("doc_id", "m.*")
-
-
 @query("embeddings", "WITH f AS (SELECT vec_id, label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings) SELECT label, count(*) AS frames, round(coalesce(avg((1 - list_cosine_similarity(embedding::DOUBLE[], before::DOUBLE[]) >= 0.9)::INT), 0), 6) AS cuts FROM f GROUP BY label")
 def scene_cuts(embeddings):
     return M.cut_density(embeddings, "label", "vec_id", "embedding", 0.9)
@@ -109,12 +98,6 @@ def transcript_bonus(documents):
     return documents.where("text <> ''").select("doc_id", F.round(b["llm_value"], 6).alias("llm_value"), b["snr"].alias("snr"))
 
 
-@query("documents", "SELECT doc_id, round(CASE WHEN doc_id % 600 = 0 THEN 75 WHEN doc_id % 600 < 5 THEN greatest(10::DOUBLE, least(100::DOUBLE, 10 + 90 * 0.3::DOUBLE / 2)) WHEN doc_id % 600 < 50 THEN 40 WHEN doc_id % 600 < 500 THEN 0.65::DOUBLE * 50 + 0.35::DOUBLE * 44 ELSE 0.5::DOUBLE * 61 + 0.5::DOUBLE * 50 END, 2) AS score FROM documents")
-def shapley_dispatch(documents):
-    n = F.col("doc_id") % 600
-    return documents.select("doc_id", M.dispatched(n, F.lit(0.3), F.lit(40.0), F.lit(50.0), F.lit(44.0), F.lit(61.0)).alias("score"))
-
-
 def _sql_named(scene: str, table: dict) -> str:
     return f"CASE {scene} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())} ELSE 'general' END"
 

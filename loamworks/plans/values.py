@@ -77,7 +77,19 @@ def beta_shapley(embeddings: DataFrame) -> DataFrame:
     return V.shapley_scores(_queries(embeddings), embeddings, alpha=4.0, beta=1.0)
 
 
-@query()
+def sql_bootstrap(rounds: int, corpus: str = "embeddings") -> str:
+    """Mean gain over subsets of a corpus for each of its rows divisible by 100."""
+    return f"""(WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(1, {rounds + 1})) AS b FROM {corpus}),
+s AS (SELECT * FROM m WHERE ('0x' || substring(md5('1:' || b || ':' || vec_id), 1, 8))::BIGINT % 1000 < 700),
+q AS (SELECT * FROM m WHERE vec_id % 100 = 0),
+best AS (SELECT q.vec_id AS query, q.b, max(list_cosine_similarity(q.e, s.e)) AS best FROM q JOIN s ON s.b = q.b AND s.vec_id <> q.vec_id GROUP BY ALL),
+sums AS (SELECT b, i, sum(x) AS x FROM (SELECT b, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM s) GROUP BY ALL),
+rest AS (SELECT q.vec_id AS query, q.b, q.e, list(t.x - CASE WHEN o.vec_id IS NULL THEN 0 ELSE q.e[t.i] END ORDER BY t.i) AS c FROM q JOIN sums t ON t.b = q.b LEFT JOIN s o ON o.b = q.b AND o.vec_id = q.vec_id GROUP BY ALL),
+g AS (SELECT query, 0.6::DOUBLE * greatest(0, least(2, 1 - list_cosine_similarity(e, c))) / 2 + 0.4::DOUBLE * greatest(0, least(1, (1 - best) / 2)) AS gain FROM rest JOIN best USING (query, b))
+SELECT query, round(greatest(10::DOUBLE, least(100::DOUBLE, 10 + 90 * avg(gain))), 2) AS score, round(greatest(0::DOUBLE, least(1::DOUBLE, 1 - stddev_pop(gain) / greatest(avg(gain), 1e-6))), 3) AS confidence FROM g GROUP BY query)"""
+
+
+@query(f"SELECT * FROM {sql_bootstrap(10)}")
 def data_oob(embeddings: DataFrame) -> DataFrame:
     return V.bootstrap_scores(_queries(embeddings), embeddings)
 
@@ -87,6 +99,38 @@ def centroid(embeddings: DataFrame) -> DataFrame:
     return V.centroid(embeddings).select(F.posexplode("centroid").alias("i", "x")).select(F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+#: Corpora of the first so many vectors, for each way of the dispatcher.
+SIZES = (0, 3, 40, 300, 1 << 40)
+
+
+def _sql_of(sql: str, corpus: str) -> str:
+    return sql.replace("FROM embeddings", f"FROM {corpus}").replace("JOIN embeddings", f"JOIN {corpus}")
+
+
+def _sql_dispatched() -> str:
+    knn = _sql_shapley("1.0::DOUBLE / (rank + 1)")
+    beta = _sql_shapley("1.0::DOUBLE / (rank + 1) * pow(greatest(1e-8, least(1 - 1e-8, rank / 5.0::DOUBLE)), 3) * pow(1 - greatest(1e-8, least(1 - 1e-8, rank / 5.0::DOUBLE)), 0)")
+    few, some, many, every = (f"(SELECT * FROM embeddings WHERE vec_id < {n})" for n in SIZES[1:])
+    mean = f"(SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM {few}) GROUP BY i))"
+    return f"""SELECT 0 AS corpus, vec_id AS query, 75.0::DOUBLE AS score FROM embeddings WHERE vec_id = 0
+UNION ALL SELECT 3, vec_id, round(greatest(10::DOUBLE, least(100::DOUBLE, 10 + 90 * (1 - list_cosine_similarity(embedding::DOUBLE[], c)) / 2)), 2) FROM {few}, {mean} WHERE vec_id % 100 = 0
+UNION ALL SELECT 40, query, score FROM {sql_bootstrap(10, some)}
+UNION ALL SELECT 300, query, floor(round((0.65::DOUBLE * b.score + (1 - 0.65::DOUBLE) * o.score) * 100, 4) + 0.5) / 100 FROM ({_sql_of(beta, many)}) b JOIN {sql_bootstrap(8, many)} o USING (query)
+UNION ALL SELECT {SIZES[-1]}, query, floor(round((0.5::DOUBLE * b.score + 0.5::DOUBLE * o.score) * 100, 4) + 0.5) / 100 FROM ({_sql_of(beta, every)}) b JOIN ({_sql_of(knn, every)}) o USING (query)"""
+
+
+@query(_sql_dispatched())
+def shapley_dispatch(embeddings: DataFrame) -> DataFrame:
+    """Vectors whose id is divisible by 100, each in corpora of five sizes that it is in (and in none)."""
+    out = None
+    for n in SIZES:
+        corpus = embeddings.where(F.col("vec_id") < n)
+        mine = _queries(corpus) if n else embeddings.where("vec_id = 0")
+        some = V.dispatch_scores(mine, corpus).select(F.lit(n).cast("long").alias("corpus"), "query", "score")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 CURVE = "(VALUES " + ", ".join(f"('{s}', {d}.0::DOUBLE, {a}.0::DOUBLE, {fixed.MULTIPLIER.get(s, 1.0)}::DOUBLE)" for s, (d, a) in fixed.CURVE.items()) + ") AS c(scene, demand, slope, multiplier)"
 
 

@@ -8,9 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables of long texts, and bytes up to which one of few files is dealt to all cores.
+TEXTS = ("documents", "pages")
+SMALL = 256 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; a file or a folder of part files."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in TEXTS else table
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer files than there are cores, dealt to all of them; others as they are.
+
+    A file of one row group is one task's, however many cores there are. Large tables have splits enough and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -52,7 +52,7 @@ def test_bootstrap_equals_its_definition(spark, monkeypatch):
     dice = np.random.default_rng(2)
     rows = [(i, [float(x) for x in dice.normal(size=4)]) for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
-    inside = {(r.vec_id, b): r.m[b] for r in df.select("vec_id", F.transform(F.sequence(F.lit(1), F.lit(6)), lambda b: F.pmod(F.xxhash64(F.lit(5), b, "vec_id"), F.lit(1000)) < 700).alias("m")).collect() for b in range(6)}
+    inside = {(r.vec_id, b): r.m[b] for r in df.select("vec_id", V.members(F.col("vec_id"), 6, 0.7, 5).alias("m")).collect() for b in range(6)}
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
     for r in V.bootstrap_scores(df.where("vec_id % 7 = 0"), df, rounds=6, seed=5).collect():
         gains = []
