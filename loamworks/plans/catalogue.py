@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loamworks.plans import ledgers, media, production, relational, signals, streams, texts, values
+from loamworks.plans import assets, ledgers, media, production, relational, signals, streams, texts, values
 
-PARTS = [relational, texts, values, media, streams, production, ledgers, signals]
+PARTS = [relational, texts, values, media, streams, production, ledgers, signals, assets]
 
 
 def queries() -> dict:

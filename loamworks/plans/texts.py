@@ -231,26 +231,6 @@ def _sql_text_scene(words: dict[str, list[str]], patterns: dict[str, list[str]])
     return f"CASE WHEN length(text) < 20 OR greatest({', '.join(scores.values())}) / 80 < 0.08 THEN 'noise' ELSE {_sql_best(scores)} END"
 
 
-METRICS = rf"""WITH t AS (SELECT doc_id, sum(c) AS n, count(*) / sum(c) AS ttr, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS bits FROM (SELECT doc_id, t, count(*) AS c FROM ({TOKENS}) GROUP BY ALL) GROUP BY doc_id),
-s AS (SELECT doc_id, text, coalesce(n, 1) AS total, coalesce(ttr, 0) AS ttr, coalesce(round(bits, 6), 0) AS bits, {_sql_text_scene(fixed.TEXT_WORDS, fixed.TEXT_PATTERNS)} AS scene FROM documents LEFT JOIN t USING (doc_id)),
-m AS (SELECT doc_id, scene, least(100::DOUBLE, bits / 8 * 100) AS e,
-  least(100::DOUBLE, CASE scene WHEN 'medical_sft' THEN 800 * {_sql_density(fixed.TEXT_WORDS['medical_sft'])} * length(text) / 2000 / total WHEN 'legal_doc' THEN 600 * {_sql_density(fixed.TEXT_WORDS['legal_doc'])} * length(text) / 2000 / total
-    WHEN 'code_tech' THEN 500 * {_sql_count(r"(?m)^\s*(?:#|//|/\*)")} / len(string_split(text, chr(10))) WHEN 'creative' THEN 120 * round(ttr, 6)
-    WHEN 'chat_qa' THEN CASE WHEN regexp_matches(text, '[问Q][：:]') AND regexp_matches(text, '[答A][：:]') THEN 80 ELSE 35 END ELSE 20 END) AS r,
-  least(100::DOUBLE, CASE scene WHEN 'legal_doc' THEN 10 * {_sql_count(r"第[一二三四五六七八九十百\d]+条")} + 5 * {_sql_count("[甲乙]方")}
-    WHEN 'code_tech' THEN 12 * ({_sql_count(r"(?:def|function|func)\s+\w+\s*\(")} + 2 * {_sql_count(r"class\s+\w+")})
-    ELSE 450 * len(list_distinct(regexp_extract_all(text, '[\x{{4e00}}-\x{{9fff}}]{{2,}}'))) / total END) AS u FROM s),
-f AS (SELECT doc_id, scene, CASE WHEN e < 25 OR u < 8 THEN e * 0.12::DOUBLE ELSE e END AS e, CASE WHEN e < 25 OR u < 8 THEN r * 0.15::DOUBLE ELSE r END AS r, CASE WHEN e < 25 OR u < 8 THEN u * 0.12::DOUBLE ELSE u END AS u FROM m),
-c AS (SELECT *, greatest(15::DOUBLE, least(100::DOUBLE, 0.45::DOUBLE * u + 19.25::DOUBLE)) AS c FROM f)
-SELECT doc_id, scene, round(round(e, 6), 1) AS entropy, round(round(r, 6), 1) AS snr, round(round(u, 6), 1) AS structure, round(round(c, 6), 1) AS scarcity,
-  round(round(least(100::DOUBLE, 0.25::DOUBLE * e + 0.35::DOUBLE * c + 20), 6), 1) AS llm_value, 50.0::DOUBLE AS shapley FROM c"""
-
-
-@query(METRICS)
-def text_metrics(documents: DataFrame) -> DataFrame:
-    return X.text_metrics(documents, "doc_id", "text", F.lit(0.5), F.lit(50.0))
-
-
 @query(f"WITH w AS (SELECT doc_id, length(text) AS n, len({WORDS.format('text')}) AS a, len(list_distinct({WORDS.format('lower(text)')})) AS b FROM documents) SELECT doc_id, round(0.55::DOUBLE * least(100.0::DOUBLE, 90 * (b / greatest(a, 1)) + n / 20), 4) AS entropy, 27.5::DOUBLE AS snr, round(0.55::DOUBLE * least(100.0::DOUBLE, 1.5::DOUBLE * a), 4) AS structure FROM w")
 def audio_metrics(documents: DataFrame) -> DataFrame:
     return X.acoustic_features(documents.select("doc_id", "text")).drop("text")
