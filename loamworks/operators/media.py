@@ -18,9 +18,9 @@ AUDIO_TO_TEXT = {"speech_medical": "medical_sft", "speech_legal": "legal_doc", "
 VIDEO_TO_TEXT = {"documentary": "legal_doc", "lecture": "medical_sft", "cinematic": "creative", "sports_action": "chat_qa", "vlog": "chat_qa"}
 AUDIO_BONUS = {"speech_medical": 25.0, "speech_legal": 18.0, "speech_edu": 8.0, "music_original": 20.0, "ambient_sfx": 5.0, "noise": 0.0}
 AUDIO_BASE = {"speech_medical": 88.0, "speech_legal": 78.0, "speech_edu": 65.0, "music_original": 60.0, "ambient_sfx": 42.0, "noise": 5.0}
-VIDEO_HIGH = "4k 8k uhd 高清 专业 纪录片 电影级 professional cinematic 无损".split()
-VIDEO_LOW = "模糊 压缩 低帧率 480p blur compressed shaky 竖屏 手机拍".split()
-VIDEO_SCENE = "教学 演讲 访谈 手术 庭审 实验室 tutorial lecture medical court lab".split()
+VIDEO_HIGH = ["4k", "8k", "uhd", "高清", "专业", "纪录片", "电影级", "professional", "cinematic", "无损"]
+VIDEO_LOW = ["模糊", "压缩", "低帧率", "480p", "blur", "compressed", "shaky", "竖屏", "手机拍"]
+VIDEO_SCENE = ["教学", "演讲", "访谈", "手术", "庭审", "实验室", "tutorial", "lecture", "medical", "court", "lab"]
 
 
 def lookup(scene: Column, table: dict, default=None) -> Column:

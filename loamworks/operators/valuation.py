@@ -230,10 +230,10 @@ def demand_ledger(purchases: DataFrame, domain: str, time: str, key: str, base:
     return rows.withColumn("price", chain_price(base, F.col("demand"), slope))
 
 
-def curve_table(scenes: DataFrame, base: float = 1000.0, last: int = 60, step: int = 2) -> DataFrame:
-    """Each scene's price for demand 0 to last (V-27)."""
-    each = scenes.select("scene", "slope", F.explode(F.sequence(F.lit(0), F.lit(last), F.lit(step))).alias("demand"))
-    return each.select("scene", "demand", curve_price(F.lit(base), F.col("demand").cast("double"), F.col("slope")).alias("price"))
+def curve_table(assets: DataFrame, base: Column, last: int = 60, step: int = 2) -> DataFrame:
+    """assets (with slope) once for each demand from 0 to last, with demand and price (V-27)."""
+    each = assets.withColumn("demand", F.explode(F.sequence(F.lit(0), F.lit(last), F.lit(step))))
+    return each.withColumn("price", curve_price(base, F.col("demand").cast("double"), F.col("slope")))
 
 
 def commitment(df: DataFrame, asset: str, scene: str, value: str, salt: str, creator: str, hour: str) -> DataFrame:
@@ -306,7 +306,38 @@ def alignment(df: DataFrame, prototypes: DataFrame, vector: str, scene: str) ->
     return df.join(F.broadcast(table)).withColumn("align", F.when(F.col(vector).isNull(), 50.0).otherwise(F.coalesce(best, F.lit(50.0)))).drop("__lw_p")
 
 
-def batch_report(results: DataFrame, status: str, limit: int = 20) -> DataFrame:
-    """Totals of a batch of valuations whose rows may have failed (V-26)."""
-    ok = F.count(F.when(F.col(status) == "ok", 1))
-    return results.agg(F.count("*").alias("total"), ok.alias("ok"), (F.count("*") - ok).alias("errors"), (F.count("*") > limit).alias("truncated"))
+def refused(value: Column, least: float, most: float) -> Column:
+    """Why a value can't be valued, or null."""
+    odd = F.isnan(value.cast("double")) | (F.abs(value.cast("double")) == float("inf"))
+    return F.when(value.isNull(), "missing").when(odd, "not finite").when(~value.between(least, most), "out of bounds")
+
+
+def batch_valued(assets: DataFrame, batch: str, order: str, value: Column, why: Column, limit: int = 20) -> DataFrame:
+    """batch, index (from 0), status, detail, value and n (of the whole batch) of the first limit assets of each batch (V-26).
+
+    An asset with a reason in why fails alone: its value isn't computed, and the others' are. A null value fails, too.
+    """
+    rows = assets.withColumn("__lw_why", why)
+    rows = rows.withColumn("__lw_value", F.when(F.col("__lw_why").isNull(), value))
+    index = F.row_number().over(Window.partitionBy(batch).orderBy(order))
+    rows = rows.select(batch, index.alias("index"), F.coalesce("__lw_why", F.when(F.col("__lw_value").isNull(), "no value")).alias("detail"), F.col("__lw_value").alias("value")).where(F.col("index") <= limit)
+    sizes = assets.groupBy(batch).agg(F.count("*").alias("n"))
+    rows = rows.join(sizes.withColumnRenamed(batch, "__lw_batch"), F.col(batch).eqNullSafe(F.col("__lw_batch")))
+    return rows.select(batch, (F.col("index") - 1).alias("index"), F.when(F.col("detail").isNull(), "ok").otherwise("error").alias("status"), "detail", "value", "n")
+
+
+def batch_report(results: DataFrame, batch: str, worth: str | None = None) -> DataFrame:
+    """Totals of each batch: results, ok, errors, and whether the batch was cut (V-26); worth: a column to sum."""
+    ok = F.count(F.when(F.col("status") == "ok", 1))
+    more = [F.coalesce(F.sum(worth), F.lit(0)).alias("worth")] if worth else []
+    return results.groupBy(batch).agg(F.count("*").alias("total"), ok.alias("ok"), (F.count("*") - ok).alias("errors"), (F.max("n") > F.count("*")).alias("truncated"), *more)
+
+
+def configuration(spark: SparkSession) -> DataFrame:
+    """All tables of scenes and kinds as one row of maps: weights, curves, multipliers, shapes, tiers and kinds of samples (P-16)."""
+    table = lambda values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    weights = table({k: F.array(*[F.lit(float(x)) for x in w]) for k, w in fixed.WEIGHTS.items()})
+    curves = table({k: F.struct(F.lit(float(d)).alias("demand"), F.lit(float(a)).alias("slope")) for k, (d, a) in fixed.CURVE.items()})
+    shapes = table({k: F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for k, (a, b) in fixed.SHAPES.items()})
+    plain = {"multipliers": fixed.MULTIPLIER, "tiers": fixed.TIER_WEIGHT, "kinds": fixed.KIND_WEIGHT}
+    return spark.range(1).select(weights.alias("weights"), curves.alias("curves"), shapes.alias("shapes"), *[table({k: F.lit(float(v)) for k, v in t.items()}).alias(n) for n, t in plain.items()])

@@ -9,6 +9,7 @@ from loamworks.functions import fixed
 from loamworks.operators import relational as R
 from loamworks.operators import texts as X
 from loamworks.session import read_table
+from loamworks.sources import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,9 +52,13 @@ def ingest_normalize(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", content.alias("content"), F.lower("lang").alias("domain")).where(F.length("content") >= 10)
 
 
-@query("SELECT doc_id, i - 1 AS paragraph, p AS content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(trim(p)) >= 10")
+PARAGRAPHS = "string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10) || chr(10))"
+
+
+@query(f"SELECT doc_id, i - 1 AS paragraph, p AS content FROM (SELECT doc_id, unnest({PARAGRAPHS}) AS p, generate_subscripts({PARAGRAPHS}, 1) AS i FROM documents) WHERE length(trim(p)) >= 10")
 def ingest_paragraphs(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "content")).where(F.length(F.trim("content")) >= 10).withColumn("paragraph", F.col("paragraph").cast("long"))
+    each = documents.select("doc_id", F.posexplode(ingest.paragraphs(F.coalesce("text", F.lit("")))).alias("paragraph", "content"))
+    return each.where(F.length(F.trim("content")) >= ingest.LEAST).withColumn("paragraph", F.col("paragraph").cast("long"))
 
 
 def _sql_safety(unsafe: dict[str, list[str]]) -> str:
@@ -72,6 +77,24 @@ def safety_cascade(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.when(v.isNotNull(), F.concat_ws(":", v["category"], v["reason"], v["risk"].cast("string"))).alias("verdict"))
 
 
+@query(
+    rf"""WITH d AS (SELECT *, ['text', 'image', 'audio'][doc_id % 3 + 1] AS kind FROM (SELECT doc_id, coalesce(text, '') AS text, list_sort(string_split(coalesce(text, ''), ''))[len(string_split(coalesce(text, ''), '')) // 2 + 1] AS mid FROM documents)),
+p AS (SELECT *, CASE kind WHEN 'image' THEN base64(encode(text)) WHEN 'audio' THEN 'data:' || CASE WHEN doc_id % 2 = 0 THEN 'audio/wav' ELSE 'image/png' END || ';base64,' || base64(encode(text)) ELSE text END AS payload FROM d),
+r AS (SELECT *, CASE kind WHEN 'audio' THEN regexp_extract(payload, '^[^,]*,(.*)$', 1, 's') ELSE payload END AS raw, CASE WHEN kind = 'audio' THEN lower(regexp_extract(payload, '^data:([^;,]*)', 1)) ELSE '' END AS mime FROM p),
+v AS (SELECT doc_id, kind, CASE WHEN kind = 'text' THEN {_sql_safety(SAMPLE_UNSAFE)} WHEN length(raw) < 100 THEN 'quality:too small:0.3' WHEN length(raw) > 140000000 THEN 'quality:too large:0.2'
+  WHEN NOT regexp_matches(substring(raw, 1, 200), '^[A-Za-z0-9+/\s]+=*$') THEN 'quality:not base64:0.5' WHEN mime <> '' AND NOT starts_with(mime, kind || '/') THEN 'quality:other type:0.6' END AS said FROM r)
+SELECT doc_id, said IS NULL AS passed, coalesce(string_split(said, ':')[-1]::DOUBLE, 0) AS risk, coalesce(string_split(said, ':')[1], '') AS category, CASE WHEN said IS NULL THEN 'pass' WHEN kind = 'text' THEN 'rule' ELSE 'media' END AS layer FROM v"""
+)
+def safety_dispatch(documents: DataFrame) -> DataFrame:
+    """Documents as texts, as bare payloads of images, and as data URIs of sound, half of them of another type."""
+    text = F.coalesce("text", F.lit(""))
+    kind = F.element_at(F.array(F.lit("text"), F.lit("image"), F.lit("audio")), (F.col("doc_id") % 3 + 1).cast("int"))
+    coded = F.base64(F.encode(text, "UTF-8"))
+    uri = F.concat(F.lit("data:"), F.when(F.col("doc_id") % 2 == 0, "audio/wav").otherwise("image/png"), F.lit(";base64,"), coded)
+    rows = documents.select("doc_id", kind.alias("kind"), F.when(kind == "image", coded).when(kind == "audio", uri).otherwise(text).alias("payload"))
+    return rows.select("doc_id", X.checked(F.col("payload"), F.col("kind"), SAMPLE_UNSAFE).alias("v")).select("doc_id", "v.passed", "v.risk", "v.category", "v.layer")
+
+
 @query(r"WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'data:image/png;base64,' || base64(encode(html)) WHEN 1 THEN base64(encode(html)) WHEN 2 THEN html ELSE 'data:' || substring(html, 1, 50) END AS payload FROM pages), r AS (SELECT *, payload LIKE 'data:%' AS uri, CASE WHEN payload LIKE 'data:%' THEN regexp_extract(payload, '^[^,]*,(.*)$', 1, 's') ELSE payload END AS raw, CASE WHEN payload LIKE 'data:%' THEN lower(regexp_extract(payload, '^data:([^;,]*)', 1)) ELSE '' END AS mime FROM p) SELECT page_id, CASE WHEN uri AND NOT contains(payload, ',') THEN 'bad data URI' WHEN length(raw) < 100 THEN 'too small' WHEN length(raw) > 140000000 THEN 'too large' WHEN NOT regexp_matches(substring(raw, 1, 200), '^[A-Za-z0-9+/\s]+=*$') THEN 'not base64' WHEN mime <> '' AND NOT starts_with(mime, 'audio/') THEN 'other type' END AS reason FROM r")
 def media_safety(pages: DataFrame) -> DataFrame:
     coded = F.base64(F.encode("html", "UTF-8"))

@@ -160,9 +160,15 @@ def composite_price(embeddings: DataFrame) -> DataFrame:
     return rows.select("vec_id", "scene", F.round("q", 4).alias("quality"), F.round("base", 3).alias("base"), price.alias("price"), F.round(V.creator_ratio(F.col("q")), 3).alias("creator_ratio"))
 
 
-@query(f"SELECT scene, d::INT AS demand, round(1000.0::DOUBLE * (1000 + d * slope) / 1000 * (0.7::DOUBLE + 0.3::DOUBLE * 500 / (sqrt(1000.0::DOUBLE) + 500)), 2) AS price FROM {CURVE}, range(0, 61, 2) AS r(d)")
-def bonding_curve(region: DataFrame) -> DataFrame:
-    return V.curve_table(V.scene_table(region.sparkSession))
+@query(
+    f"""SELECT p_partkey, scene, d::INT AS demand, round(round(p_retailprice * (1000 + d * slope) / 1000 * (0.7::DOUBLE + 0.3::DOUBLE * 500 / (sqrt(p_retailprice) + 500)), 2), 1) AS price
+FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'medical_sft' WHEN 1 THEN 'code_tech' ELSE 'cinematic' END AS s FROM part) JOIN {CURVE} ON c.scene = s, range(0, 61, 2) AS r(d)"""
+)
+def bonding_curve(part: DataFrame) -> DataFrame:
+    """Prices of parts as assets, along their scenes' curves."""
+    scene = F.when(F.col("p_size") % 3 == 0, "medical_sft").when(F.col("p_size") % 3 == 1, "code_tech").otherwise("cinematic")
+    curves = V.curve_table(V.with_scene(part.select("p_partkey", "p_retailprice", scene.alias("scene"))), F.col("p_retailprice"))
+    return curves.select("p_partkey", "scene", "demand", F.round("price", 1).alias("price"))
 
 
 @query()
@@ -291,6 +297,14 @@ def prototype_alignment(embeddings: DataFrame) -> DataFrame:
     return V.alignment(embeddings.withColumn("want", F.col("label") % 4), table, "embedding", "want").select("vec_id", F.round("align", 4).alias("align"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE o_totalprice > 1000) AS ok, count(*) FILTER (WHERE NOT o_totalprice > 1000) AS errors, count(*) > 20 AS truncated FROM orders")
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders), v AS (SELECT *, o_totalprice BETWEEN 1000 AND 300000 AS ok FROM r WHERE i <= 10)
+SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS errors, any_value(n) > 10 AS truncated, coalesce(sum(floor(o_totalprice * 1250 / 1000)) FILTER (WHERE ok), 0)::BIGINT AS worth
+FROM v JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) USING (o_custkey) GROUP BY o_custkey"""
+)
 def batch_report(orders: DataFrame) -> DataFrame:
-    return V.batch_report(orders.select(F.when(F.col("o_totalprice") > 1000, "ok").otherwise("error").alias("status")), "status")
+    """Customers' orders as batches of assets, ten of each valued; prices out of bounds fail alone."""
+    price = V.chain_price(F.col("o_totalprice"), F.lit(10), F.lit(25))
+    why = V.refused(F.col("o_totalprice"), 1000, 300_000)
+    rows = V.batch_valued(orders, "o_custkey", "o_orderkey", price, why, limit=10)
+    return V.batch_report(rows, "o_custkey", worth="value")

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Domains that a file's name may start with, and the least length of material.
@@ -30,12 +30,14 @@ def normalise(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; content is required, other columns optional (SRC-01)."""
+    """CSV with a header; content is required, other columns optional; label is row_ and the row's number in its file, from 2 (SRC-01)."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     if "content" not in raw.columns:
         raise ValueError("a content column is required")
     col = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
-    return raw.select("content", col("material_type").alias("material_type"), col("domain").alias("domain"), tags(col("tags")).alias("tags"), F.input_file_name().alias("source_name"))
+    rows = raw.select("content", col("material_type").alias("material_type"), col("domain").alias("domain"), tags(col("tags")).alias("tags"), F.input_file_name().alias("source_name"), F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.partitionBy("source_name").orderBy("at")) + 1  # a file of rows over several lines is one task's already
+    return rows.withColumn("label", F.concat(F.lit("row_"), place.cast("string"))).drop("at")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -50,10 +52,15 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows, bad
 
 
+def paragraphs(text: Column) -> Column:
+    """The parts of a text between blank lines (SRC-04)."""
+    return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n\n")
+
+
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
     """Text files, a row for each paragraph between blank lines (SRC-04)."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"), F.input_file_name().alias("source_name"))
-    each = raw.select(F.explode(F.split("value", "\n\n")).alias("content"), "source_name").where(F.trim("content") != "")
+    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("source_name"))
+    each = raw.select(F.explode(paragraphs(F.col("value"))).alias("content"), "source_name").where(F.trim("content") != "")
     return each.select("content", F.lit("text").alias("material_type"), F.lit("").alias("domain"), F.array().cast("array<string>").alias("tags"), "source_name")
 
 
@@ -120,9 +127,24 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jobs(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
-    """The newest n job states of a folder of JSON files, by name; unreadable ones are left out (SRC-09)."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("name"))
-    return raw.withColumn("state", F.try_parse_json("value")).where(F.col("state").isNotNull()).orderBy(F.desc("name")).limit(n).select("name", F.to_json("state").alias("state"))
+    """name and state of the newest n files of a folder, by name; of these, unreadable ones and other files than JSON are left out (SRC-09)."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    newest = [r["path"] for r in files.orderBy(F.desc(F.element_at(F.split("path", "/"), -1))).limit(n).collect()]  # n names
+    known = [p for p in newest if p.endswith(".json")]
+    if not known:
+        return spark.createDataFrame([], "name string, state string")
+    raw = spark.read.text(known, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
+    return raw.withColumn("v", F.try_parse_json("value")).where(F.col("v").isNotNull()).select("name", F.to_json("v").alias("state"))
+
+
+def job_state(spark: SparkSession, path: str, job: str, memory: DataFrame | None = None) -> DataFrame:
+    """state of one job: that in memory (job, state), else that of its file, else no row (SRC-09)."""
+    held = memory.where(F.col("job") == job).select("state").limit(1) if memory is not None else None
+    if held is not None and not held.isEmpty():
+        return held
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{job}.json").load(path)
+    text = found.select(F.try_parse_json(F.decode("content", "UTF-8")).alias("v")).where(F.col("v").isNotNull())
+    return text.select(F.to_json("v").alias("state"))
 
 
 def decode_media(payload: Column) -> Column:

@@ -47,6 +47,53 @@ def write_card(manifest: DataFrame, path: str, name: str, description: str, lice
     manifest.agg(body.alias("value")).write.mode("overwrite").text(f"{path}/card")
 
 
+def manifest_json(manifest: DataFrame, shares: DataFrame, package: str, name: str, paths: dict[str, str]) -> DataFrame:
+    """A package's manifest as one JSON text (value): id, name, counts by kind, mean score, paths, and each creator's share (PK-01)."""
+    known = F.when(F.col("avg_quality").isNotNull(), F.col("rows"))
+    mean = F.round(F.try_divide(F.sum(F.col("avg_quality") * F.col("rows")), F.sum(known)), 2)
+    counts = manifest.agg(F.sum("rows").alias("total_samples"), mean.alias("avg_quality"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "rows")))).alias("counts"))
+    dealt = shares.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("creator", "ratio")))).alias("creator_contributions"))  # a row for each creator of the package
+    told = F.create_map(*[F.lit(x) for pair in paths.items() for x in pair]) if paths else F.create_map().cast("map<string,string>")
+    both = counts.join(F.broadcast(dealt))
+    return both.select(F.to_json(F.struct(F.lit(package).alias("package_id"), F.lit(name).alias("name"), "total_samples", "avg_quality", "counts", told.alias("export_paths"), "creator_contributions")).alias("value"))
+
+
+def write_bundle(samples: dict[str, DataFrame], path: str, columns: dict[str, list[str]], creator: str, weights: dict[str, Column], package: str, name: str, description: str, license_type: str) -> DataFrame:
+    """A whole package: files of each kind, card, manifest, and the bundle of archives with all of it (SNK-03, PK-01).
+
+    Returns the bundle as written: member (what an archive holds), rows and archive. One archive holds README.md and
+    manifest.json, the others samples, so that each is bounded.
+    """
+    spark = next(iter(samples.values())).sparkSession
+    manifest = write_package(samples, path, columns)
+    write_card(spark.read.json(f"{path}/manifest").select("kind", "rows", *(["avg_quality"] if "avg_quality" in spark.read.json(f"{path}/manifest").columns else [F.lit(None).cast("double").alias("avg_quality")])), path, name, description, license_type)
+    paths = {f"{kind}_{form}": f"{path}/{kind}_{form}" for kind in samples for form in ("jsonl", "parquet")}
+    shares = contributions(samples, creator, weights)
+    manifest_json(manifest, shares, package, name, paths).coalesce(1).write.mode("overwrite").text(f"{path}/manifest_json")
+    card = spark.read.text(f"{path}/card", wholetext=True).select(F.lit("README.md").alias("file"), "value")
+    told = spark.read.text(f"{path}/manifest_json", wholetext=True).select(F.lit("manifest.json").alias("file"), "value")
+    out = _files(card.unionByName(told)).withColumn("member", F.lit("package"))
+    for kind, df in samples.items():
+        out = out.unionByName(zipped(df.select(*columns[kind]), kind).withColumn("member", F.lit(kind)))
+    out.write.mode("overwrite").parquet(f"{path}/bundle")
+    return spark.read.parquet(f"{path}/bundle")
+
+
+def _files(texts: DataFrame) -> DataFrame:
+    """One archive of a few whole texts (file, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if rows:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for file, value in rows:
+                    archive.writestr(file, value)
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([0], pa.int64()), "archive": pa.array([out.getvalue()], pa.binary())})
+
+    return texts.coalesce(1).select("file", "value").mapInArrow(run, "rows long, archive binary")
+
+
 def zipped(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
     """A bundle as rows (rows, archive): ZIP archives of JSON lines with up to so many rows each, made where the rows are (SNK-03).
 
