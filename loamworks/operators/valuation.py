@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamworks.functions import fixed
+from loamworks.functions.text import let
 from loamworks.operators import blocks
 from loamworks.operators.joins import neighbours
 from loamworks.operators.ledgers import numbered
@@ -258,11 +259,16 @@ def commitment(df: DataFrame, asset: str, scene: str, value: str, salt: str, cre
 
 
 def simhash(words: Column) -> Column:
-    """64 bits, each the sign of the words' votes by their hashes (V-22)."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    vote = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 1).otherwise(-1))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(vote(i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+    """64 bits, each the sign of all words' votes by the low half of their MD5 digests (V-22); no words give 0."""
+    half = lambda w, at: F.conv(F.substring(F.md5(w), at, 8), 16, 10).cast("long")
+    hashes = F.transform(words, lambda w: F.shiftleft(half(w, 17), 32).bitwiseOR(half(w, 25)))
+
+    def voted(hashes: Column) -> Column:
+        vote = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 1).otherwise(-1))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(vote(i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+
+    return let(hashes, voted)
 
 
 def fingerprint(description: Column, n: int = 16) -> Column:

@@ -9,6 +9,7 @@ from loamworks.functions import fixed, text as T
 from loamworks.operators import dedup, joins
 from loamworks.operators import relational as R
 from loamworks.operators import valuation as V
+from loamworks.plans.texts import WORDS
 from loamworks.session import read_table
 
 QUERIES: dict = {}
@@ -171,7 +172,20 @@ def bonding_curve(part: DataFrame) -> DataFrame:
     return curves.select("p_partkey", "scene", "demand", F.round("price", 1).alias("price"))
 
 
-@query()
+SIGMA = "greatest(0.08::DOUBLE, least(0.92::DOUBLE, 0.08::DOUBLE + 0.52::DOUBLE * round(abs(embedding[4]::DOUBLE) * 100 + 40, 6) / 100 + 0.30::DOUBLE * round(abs(embedding[6]::DOUBLE) * 100 + 40, 6) / 100))"
+
+
+def _sql_cdf(x: str) -> str:
+    """The normal distribution by its series: z times the sum of products of z * z / (2 j + 1)."""
+    z = f"greatest(-6::DOUBLE, least(6::DOUBLE, {x}))"
+    terms = f"list_transform(range(0, 91), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda j: {z} * {z} / (2 * j + 1))), 1))"
+    return f"(0.5::DOUBLE + {z} * list_sum({terms}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()))"
+
+
+@query(
+    f"""WITH s AS (SELECT vec_id, {SIGMA} AS sigma FROM embeddings), d AS (SELECT *, (ln(1 / 0.6::DOUBLE) + (0.03::DOUBLE + sigma * sigma / 2)) / sigma AS d1 FROM s)
+SELECT vec_id, round(sigma, 6) AS sigma, round(10000 * {_sql_cdf('d1')} - 10000 * 0.6::DOUBLE * exp(-0.03::DOUBLE) * {_sql_cdf('(d1 - sigma)')}, 2) AS option FROM d"""
+)
 def option_value(embeddings: DataFrame) -> DataFrame:
     sigma = V.volatility(F.col("m")[3], F.col("m")[5], F.lit(0.5))
     return _assets(embeddings).select("vec_id", F.round(sigma, 6).alias("sigma"), V.option_value(F.lit(10_000.0), sigma).alias("option"))
@@ -183,7 +197,12 @@ def commitment(orders: DataFrame) -> DataFrame:
     return V.commitment(rows, "o_orderkey", "o_orderpriority", "o_totalprice", "salt", "o_custkey", "hour")
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT conv_id, turn, md5(unnest({WORDS.format("coalesce(text, '')")})) AS m FROM conversations),
+b AS (SELECT conv_id, turn, i, sum(CASE WHEN (('0x' || substring(m, 17 + (63 - i) // 4, 1))::INT >> (i % 4)::INT) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS one FROM w, range(64) AS r(i) GROUP BY ALL),
+s AS (SELECT conv_id, turn, sum(CASE WHEN one THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i::INT) END ELSE 0 END)::BIGINT AS simhash FROM b GROUP BY ALL)
+SELECT conv_id, turn, coalesce(simhash, 0) AS simhash FROM conversations LEFT JOIN s USING (conv_id, turn)"""
+)
 def simhash(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", V.simhash(T.words(F.coalesce("text", F.lit("")))).alias("simhash"))
 
@@ -282,7 +301,11 @@ def dedup_semantic_greedy(embeddings: DataFrame) -> DataFrame:
     return dedup.semantic(embeddings, "vec_id", "embedding").select("vec_id")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS r FROM embeddings), b AS (SELECT vec_id, list_transform(r, lambda x: (x > list_sum(r) / len(r))::INT) AS b FROM e),
+h AS (SELECT vec_id, array_to_string(list_transform(range(0, len(b), 4), lambda i: substring('0123456789ABCDEF', (8 * b[i + 1] + 4 * b[i + 2] + 2 * b[i + 3] + b[i + 4] + 1)::INT, 1)), '') AS h FROM b)
+SELECT vec_id, '0xAFP_' || upper(substring(sha256(unhex(h)), 1, 12)) AS print FROM h"""
+)
 def acoustic_print(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", V.acoustic_print(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("print"))
 
