@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Most frequent n-grams in a profile, and the longest n-gram.
 PROFILE = 300
 LONGEST = 3
-#: Labelled texts that profiles are learned from, about; chosen by digest of the text.
-SAMPLE = 20_000
+#: Different labelled texts of each language that profiles are learned from, about; chosen by digest of the text.
+SAMPLE = 5_000
 #: Characters counted at once; longer texts are counted in pieces.
 PIECE = 1 << 18
 
@@ -92,15 +92,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def profiles(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> dict[str, list[int]]:
-    """Per language its PROFILE most frequent n-grams, most frequent first, from about sample labelled texts.
+    """Per language its PROFILE most frequent n-grams, most frequent first, from about sample different labelled texts of it.
 
-    The driver gets PROFILE numbers for each language, whatever the corpus.
+    A language with fewer rows is learned from all of them, so rare ones are learned beside any number of others; the
+    copies of a text count once. Texts are drawn by digest. The driver gets PROFILE numbers for each language,
+    whatever the corpus. Null texts and rows without a language are left out; texts of any length are counted whole.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    total = rows.count()
-    if total > sample:
-        share = int(sample / total * (1 << 32))
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < share)
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count("*")).alias("share"))
+    drawn = rows.withColumn("print", F.xxhash64("text")).join(F.broadcast(shares), "lang")  # a row for each language
+    drawn = drawn.where(F.pmod("print", F.lit(1 << 32)) < F.col("share") * float(1 << 32))
+    rows = drawn.dropDuplicates(["lang", "print"]).select("lang", "text")
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     part = Window.partitionBy("lang", F.pmod("gram", F.lit(64))).orderBy(*order)

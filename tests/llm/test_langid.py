@@ -61,3 +61,34 @@ def test_odd_rows(spark):
     assert got == [(0, "und"), (1, "und"), (2, "en"), (2, "en"), (3, "de")]
     assert [r.lang_pred for r in langid.identify(docs.limit(1), langid.profiles(docs.limit(0))).collect()] == ["und"]
     assert langid.digest(docs.limit(0)).count() == 0
+
+
+def test_rare_languages_are_learned_and_copies_count_once(spark):
+    english = [(i, f"the house of number{i % 97} and the garden were there when {chr(97 + i % 26)} came", "en") for i in range(20_000)]
+    german = [(30_000 + i, f"das Haus der Familie Nummer{i} und der Garten waren nicht dort {chr(97 + i % 26)}", "de") for i in range(60)]
+    copies = [(40_000 + i, "zz qq zz qq zz qq", "en") for i in range(9_000)]
+    docs = spark.createDataFrame(english + german + copies, "doc_id long, text string, lang string")
+    learned = langid.profiles(docs, sample=100)
+    assert set(learned) == {"en", "de"}
+    got = langid.identify(docs.where("doc_id >= 30000 AND doc_id < 40000"), learned).collect()
+    assert all(r.lang_pred == "de" for r in got)
+    z = next(int(k) for k in langid.grams("zz")[0] if spelled(int(k)) == "zz")
+    assert z not in learned["en"][:50]
+
+
+def test_ranks_and_distances_equal_the_definition(spark):
+    texts = {"en": "the cat and the dog", "xx": "qua qui quo the", "yy": "zzz"}
+    docs = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    learned = langid.profiles(docs)
+
+    def order(text):
+        counts = {spelled(int(k)): (-int(n), int(k)) for k, n in zip(*langid.grams(text))}
+        return sorted(counts, key=counts.get)
+
+    for name, text in texts.items():
+        assert [spelled(k) for k in learned[name]] == order(text)[: langid.PROFILE]
+    for r in langid.identify(spark.createDataFrame([(9, "the quick dog", "")], "doc_id long, text string, lang string"), learned).collect():
+        own = order("the quick dog")
+        away = {n: sum(abs(i - order(t).index(g)) if g in order(t) else langid.PROFILE for i, g in enumerate(own)) for n, t in texts.items()}
+        best = min(sorted(away), key=away.get)
+        assert r.lang_pred == best and abs(r.score - (1 - away[best] / (langid.PROFILE * len(own)))) < 1e-9
