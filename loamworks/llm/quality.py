@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.llm.words import raw, word_hashes
+from loamworks.session import Workspace
 
 #: Slots for hashed words, bins of each statistic, rank of the interactions.
 WORDS, BINS, RANK = 1 << 14, 16, 8
@@ -127,17 +128,23 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Machine:
-    """A machine fitted to about sample of the labelled texts; the driver gets their hashed entries, never more.
+    """A machine fitted to about sample different labelled texts; the driver gets their hashed entries, and of no more than twice as many.
 
-    Null labels are left out; without any label the machine says 0.5 throughout.
+    Keys are drawn by digest, repeated ones once; texts that repeat with a label are one, so neither repeated keys
+    nor copies add to what is fitted. A key with very many texts adds only its share of a second draw by text. Null labels
+    are left out, null texts are empty; without any label the machine says 0.5 throughout.
     """
-    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
-    total = rows.count()
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 32)) < int(sample / total * (1 << 32)))
-    lean = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    some = lean.join(F.broadcast(rows), F.col("_doc") == F.col("_key")).select("_text", "_label")
-    got = some.mapInArrow(_sparse, "label int, entries binary").collect()
+    share = lambda c, part: F.pmod(F.xxhash64(c, F.lit("drawn")), F.lit(1 << 32)) < int(min(1.0, part) * (1 << 32))
+    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).distinct()
+    keys = rows.select("_key").distinct().count()
+    rows = rows.where(share("_key", sample / max(keys, 1)))
+    lean = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    some = lean.join(F.broadcast(rows), F.col("_doc") == F.col("_key")).select("_text", "_label", F.xxhash64("_text").alias("_print"))
+    some = Workspace(docs.sparkSession, "quality").table(some.dropDuplicates(["_print", "_label"]), "sample")
+    found = some.count()
+    if found > 2 * sample:
+        some = some.where(share("_print", sample / found))
+    got = some.select("_text", "_label").mapInArrow(_sparse, "label int, entries binary").collect()
     got.sort(key=lambda r: (bytes(r["entries"]), r["label"]))
     slots, values, sizes = [], [], []
     for r in got:

@@ -50,3 +50,14 @@ def test_odd_rows(spark):
     got = quality.digest(docs, labels).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == 1 for r in got)
     assert quality.digest(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_keys_and_copies_bound_what_is_fitted(spark, monkeypatch):
+    """A key with very many texts, repeated labels and copies: no more than twice the sample comes to the driver."""
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(3000)] + [(i, "a copy of one text") for i in range(2, 400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 400, i % 2) for i in range(4000)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Machine, "fit", lambda self, row, slots, values, y: seen.append(len(y)) or self)
+    for sample in (50, 5000):
+        quality.learn(docs, labels, sample=sample)
+    assert all(n <= 2 * s for n, s in zip(seen, (50, 5000))) and seen[-1] == 3002
