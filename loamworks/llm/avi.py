@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -26,6 +27,21 @@ ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
     35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
 ])
+# Codes of each length and first symbols of the tables that frames without tables of their own mean (ISO
+# 10918-1, annex K). The other symbols, each run of up to 15 zeros before a value of up to 10 bits, follow in ascending order.
+USUAL = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]),
+    0x10: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], [
+        0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14,
+        0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82,
+    ]),
+    0x11: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], [
+        0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81,
+        0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34,
+        0xE1, 0x25, 0xF1,
+    ]),
+}
 _U, _X = np.meshgrid(np.arange(8), np.arange(8), indexing="ij")
 COSINE = (np.where(_U == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * _X + 1) * _U * np.pi / 16)).astype(np.float32)
 
@@ -76,48 +92,84 @@ def store(payload: bytes) -> bytes:
     return _chunk(b"RIFF", b"AVI " + header + movie + _chunk(b"idx1", index))
 
 
+def _indexed(media: bytes, at: int, stop: int, deep: bool = True) -> list[tuple[int, int]]:
+    """(first, last + 1 byte) of the video frames that an index chunk's body names, itself or by the indexes it names."""
+    if stop - at < 24:
+        return []
+    wide, kind, n, name = struct.unpack_from("<HxBI4s", media, at)
+    if name[2:] not in (b"dc", b"db"):
+        return []
+    if kind == 0 and wide == 4 and deep:
+        lists = [struct.unpack_from("<QI", media, i) for i in range(at + 24, min(at + 24 + 16 * n, stop - 15), 16)]
+        return [x for first, size in lists for x in _indexed(media, first + 8, min(first + size, len(media)), False)]
+    if kind == 1 and wide in (2, 3):
+        (base,) = struct.unpack_from("<Q", media, at + 12)
+        step = 4 * wide
+        found = [struct.unpack_from("<II", media, i) for i in range(at + 24, min(at + 24 + step * n, stop - step + 1), step)]
+        return [(base + first, base + first + (size & 0x7FFFFFFF)) for first, size in found]
+    return []
+
+
 def frames(media: bytes) -> tuple[list[bytes], float]:
-    """A file's video frames in index order, or in file order without an index, and seconds per frame."""
+    """A file's video frames in index order, or in file order without an index, and seconds per frame.
+
+    Files over a gigabyte hold an index of indexes and further RIFF lists; it goes before the old index, which ends
+    with the first list.
+    """
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    seconds, movie, index, found = 0.0, None, [], []
-
-    def walk(at: int, end: int) -> None:
-        nonlocal seconds, movie
-        while at + 8 <= end:
-            name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-            body, stop = at + 8, min(at + 8 + size, end)
-            if name == b"LIST":
-                if media[body : body + 4] == b"movi":
-                    movie = body
-                walk(body + 4, stop)
-            elif name == b"avih" and stop - body >= 4:
-                seconds = struct.unpack_from("<I", media, body)[0] / 1e6
-            elif name == b"idx1":
-                index.extend(struct.unpack_from("<4sIII", media, i) for i in range(body, stop - 15, 16))
-            elif name[2:] in (b"dc", b"db"):
-                found.append((body, stop))
-            at += 8 + size + size % 2
-
-    walk(12, len(media))
-    if index and movie is not None:
-        video = [x for x in index if x[0][2:] in (b"dc", b"db")]
+    seconds, movie, old, new, found = 0.0, None, [], [], []
+    todo = [(0, len(media))]
+    while todo:
+        at, end = todo.pop()
+        if at + 8 > end:
+            continue
+        name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+        body, stop = at + 8, min(at + 8 + size, end)
+        todo.append((at + 8 + size + size % 2, end))
+        if name in (b"LIST", b"RIFF"):
+            if media[body : body + 4] == b"movi" and movie is None:
+                movie = body
+            todo.append((body + 4, stop))
+        elif name == b"avih" and stop - body >= 4:
+            seconds = struct.unpack_from("<I", media, body)[0] / 1e6
+        elif name == b"idx1":
+            old.extend(struct.unpack_from("<4sIII", media, i) for i in range(body, stop - 15, 16))
+        elif name == b"indx":
+            new.extend(_indexed(media, body, stop))
+        elif name[2:] in (b"dc", b"db"):
+            found.append((body, stop))
+    if new:
+        found = new
+    elif old and movie is not None:
+        video = [x for x in old if x[0][2:] in (b"dc", b"db")]
         base = movie if video and media[movie + video[0][2] : movie + video[0][2] + 4] == video[0][0] else 0
         found = [(base + x[2] + 8, base + x[2] + 8 + x[3]) for x in video]
     return [media[a:b] for a, b in found], seconds
 
 
-def _codes(body: bytes) -> dict[tuple[int, int], int]:
-    """(length, code) to symbol of a Huffman table."""
-    out, code, at = {}, 0, 16
+@lru_cache(32)
+def _codes(body: bytes) -> list[tuple[int, int]]:
+    """(length, symbol) of the Huffman code that 16 bits begin with; length 0 if with none."""
+    out, code, at = [(0, 0)] * 65536, 0, 16
     for length in range(1, 17):
         for _ in range(body[length - 1]):
-            out[length, code] = body[at]
+            room = 1 << (16 - length)
+            out[code * room : (code + 1) * room] = [(length, body[at])] * room
             code, at = code + 1, at + 1
         code <<= 1
+    if len(out) != 65536:
+        raise ValueError("bad Huffman table")
     return out
 
 
+def _usual(slot: int) -> bytes:
+    """The body of a table that frames without one mean."""
+    counts, first = USUAL[slot]
+    rest = sorted({run << 4 | bits for run in range(16) for bits in range(1, 11)} - set(first))
+    return bytes(counts) + bytes((first + rest)[: sum(counts)])
+
+
 def _runs(scan: bytes) -> list[bytes]:
     """The scan's restart intervals without stuffing."""
     if b"\xff" not in scan:
@@ -128,28 +180,40 @@ def _runs(scan: bytes) -> list[bytes]:
     return [scan[a : b - 2].replace(b"\xff\0", b"\xff") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _blocks(run: bytes, count: int, plan: list[tuple[int, dict, dict]]) -> np.ndarray:
-    """Coefficients of an interval's blocks in zigzag order, bit by bit; plan: (component, DC and AC codes) per block of a unit."""
-    bits, size = int.from_bytes(run, "big"), 8 * len(run)
-    at, last = 0, {}
-    out = np.zeros((count, 64), np.int32)
+def _blocks(run: bytes, count: int, plan: list[tuple[int, list, list]]) -> np.ndarray:
+    """Coefficients of an interval's blocks in zigzag order, code by code; plan: (component, DC and AC codes) per block of a unit.
 
-    def take(n: int) -> int:
-        nonlocal at
-        at += n
-        return (bits >> (size - at)) & ((1 << n) - 1) if at <= size else 0
+    Bits are taken from a window of a few bytes, so time grows with the interval. What lacks at its end reads as zeros.
+    """
+    window, have, at, last = 0, 0, 0, {}
+    out = np.zeros((count, 64), np.int32)
 
-    def symbol(codes: dict) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | take(1)
-            if (length, code) in codes:
-                return codes[length, code]
-        raise ValueError("bad code")
+    def fill() -> None:
+        nonlocal window, have, at
+        window = (window & (1 << have) - 1) << 64 | int.from_bytes(run[at : at + 8].ljust(8, b"\0"), "big")
+        have, at = have + 64, at + 8
+
+    def symbol(codes: list) -> int:
+        nonlocal have
+        if have < 32:
+            fill()
+        length, found = codes[window >> (have - 16) & 0xFFFF]
+        if not length:
+            raise ValueError("bad code")
+        have -= length
+        return found
 
     def value(n: int) -> int:
-        v = take(n) if n else 0
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
+        nonlocal have
+        if not n:
+            return 0
+        if n > 16:
+            raise ValueError("bad value")
+        if have < 32:
+            fill()
+        have -= n
+        v = window >> have & (1 << n) - 1
+        return v if v >> (n - 1) else v - (1 << n) + 1
 
     for b in range(count):
         part, dc, ac = plan[b % len(plan)]
@@ -182,7 +246,7 @@ def coefficients(image: bytes) -> tuple[np.ndarray, list[int], dict[int, np.ndar
         elif marker == 0xC4:
             while body:
                 n = 17 + sum(body[1:17])
-                codes[body[0]] = (_codes(body[1:n]), body[1:n])
+                codes[body[0]] = body[1:n]
                 body = body[n:]
         elif marker == 0xDD:
             every = struct.unpack(">H", body)[0]
@@ -195,6 +259,7 @@ def coefficients(image: bytes) -> tuple[np.ndarray, list[int], dict[int, np.ndar
             break
     if frame is None:
         raise ValueError("no frame header")
+    codes = {slot: codes.get(slot) or _usual(slot) for slot in {*USUAL, *codes}}
     chosen = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, 16 | body[2 + 2 * i] & 15) for i in range(body[0])]
     wide, high = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
     if len(chosen) == 1:
@@ -203,13 +268,16 @@ def coefficients(image: bytes) -> tuple[np.ndarray, list[int], dict[int, np.ndar
     units = -(-frame[2] // (8 * wide)) * -(-frame[1] // (8 * high))
     owner = [c for c, _, _ in chosen for _ in range(parts[c][0] * parts[c][1])]
     end = image.rfind(b"\xff\xd9")
-    runs = _runs(image[at : end if end >= at else len(image)])
+    scan = image[at : end if end >= at else len(image)]
+    if units * len(owner) > 4 * len(scan):  # a block takes two bits at least
+        raise ValueError("the frame ends early")
+    runs = _runs(scan)
     lone = bytes([0] * 7 + [1] + [0] * 8) + b"\x08"
-    if every == 1 and len(runs) == units and all(codes[t][1] == lone for _, d, a in chosen for t in (d, a)) and {len(r) for r in runs} == {128 * len(owner)}:
+    if every == 1 and len(runs) == units and all(codes[t] == lone for _, d, a in chosen for t in (d, a)) and {len(r) for r in runs} == {128 * len(owner)}:
         extra = np.frombuffer(b"".join(runs), np.uint8).reshape(units, len(owner), 64, 2)[..., 1].astype(np.int32)
         out = np.where(extra >= 128, extra, extra - 255)
     else:
-        plan = [(c, codes[d][0], codes[a][0]) for c, d, a in chosen for _ in range(parts[c][0] * parts[c][1])]
+        plan = [(c, _codes(codes[d]), _codes(codes[a])) for c, d, a in chosen for _ in range(parts[c][0] * parts[c][1])]
         sizes = [min(every, units - i) for i in range(0, units, every)] if every else [units]
         out = np.concatenate([_blocks(r, n * len(plan), plan) for r, n in zip(runs, sizes, strict=True)]).reshape(units, len(plan), 64)
     return out, owner, {c: quant[parts[c][2]] for c in parts}
@@ -290,7 +358,8 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """Timed clip rows of a column of motion-JPEG AVI files: one for each shot; an unreadable file gives one row with its error.
 
-    Files without frames give none; null counts as unreadable; repeated rows give their clips again.
+    Files without frames give none; null and empty files count as unreadable; repeated rows give their clips again, and an
+    empty table none. Frames without Huffman tables are read by the usual ones, as most cameras leave them out.
     """
     kind = media.schema[key].dataType.simpleString()
     schema = f"key {kind}, clip int, first_frame int, n_frames int, start_s double, end_s double, error string"
@@ -311,6 +380,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document what its stored media file gives when it is read back, and its clips as a feature."""
+    """Per document what its stored media file gives when it is read back, and its clips as a feature.
+
+    Null and empty texts give a file of one unit of spaces. Very long texts are stored whole, in more frames. Repeated rows
+    and keys have a row each, equal texts equal values, and an empty table gives none.
+    """
     schema = f"key {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return stored(docs).mapInArrow(_read, schema).withColumnRenamed("key", "doc_id")

@@ -118,3 +118,87 @@ def test_digest(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(avi.store(payload)), sha256(avi.store(payload)).hexdigest())
     assert got[61][1:] == got[65][1:] and avi.digest(docs.limit(0)).count() == 0
+
+
+def photo(spark, width, height):
+    """A colour JPEG of the JVM's own writer, which uses the usual Huffman tables."""
+    jvm, rng = spark._jvm, np.random.default_rng(3)
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    shades = np.clip(rng.normal(128, 60, (height, width, 3)).cumsum(axis=1) / 8 % 256, 0, 255).astype(int)
+    for y in range(height):
+        for x in range(width):
+            r, g, b = map(int, shades[y, x])
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def without_tables(image):
+    """The image less its Huffman tables, and these by slot."""
+    at, out, tables = 2, image[:2], {}
+    while image[at + 1] != 0xDA:
+        size = struct.unpack_from(">H", image, at + 2)[0]
+        if image[at + 1] == 0xC4:
+            body = image[at + 4 : at + 2 + size]
+            while body:
+                n = 17 + sum(body[1:17])
+                tables[body[0]], body = body[1:n], body[n:]
+        else:
+            out += image[at : at + 2 + size]
+        at += 2 + size
+    return out + image[at:], tables
+
+
+def test_frames_without_tables_mean_the_usual_ones(spark):
+    image = photo(spark, 40, 24)
+    bare, tables = without_tables(image)
+    assert set(tables) == {0x00, 0x01, 0x10, 0x11} and all(avi._usual(slot) == t for slot, t in tables.items())
+    want, owner, _ = avi.coefficients(image)
+    got, same, _ = avi.coefficients(bare)
+    assert np.array_equal(got, want) and same == owner and np.abs(want).sum() > 0
+    rows = avi.clips(spark.createDataFrame([(1, movie([bare] * 3))], "doc_id long, media binary")).collect()
+    assert [(r.n_frames, r.error) for r in rows] == [(3, None)]
+
+
+def test_index_of_indexes_over_several_lists():
+    dark, light, lost = (jpeg([(4 * (v - 128), {})] * 3) for v in (40, 220, 90))
+
+    def file(super_index, index_of):
+        header = avi._chunk(b"LIST", b"hdrl" + avi._chunk(b"avih", struct.pack("<14I", 100_000, *[0] * 13)) + avi._chunk(b"LIST", b"strl" + avi._chunk(b"indx", super_index)))
+        first = avi._chunk(b"RIFF", b"AVI " + header + avi._chunk(b"LIST", b"movi" + avi._chunk(b"00dc", lost) + avi._chunk(b"00dc", dark) + index_of(0)) + avi._chunk(b"idx1", struct.pack("<4sIII", b"00dc", 16, 4, len(lost))))
+        return first + avi._chunk(b"RIFF", b"AVIX" + avi._chunk(b"LIST", b"movi" + avi._chunk(b"00dc", light) + avi._chunk(b"00dc", dark) + index_of(1)))
+
+    plain = file(bytes(24 + 32), lambda i: avi._chunk(b"ix00", bytes(24 + 8 * (i + 1))))
+    at = [plain.index(x, start) for x, start in ((dark, 0), (light, 0), (dark, plain.index(light)))]
+    named = [[at[0]], at[1:]]
+
+    def index_of(i):
+        places = b"".join(struct.pack("<II", a - 100, len(light if a == at[1] else dark) | 0x80000000) for a in named[i])
+        return avi._chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(named[i]), b"00dc", 100, 0) + places)
+
+    lists = [plain.index(b"ix00"), plain.rindex(b"ix00")]
+    whole = struct.pack("<HBBI4s12x", 4, 0, 0, 2, b"00dc") + b"".join(struct.pack("<QII", a, len(index_of(i)), 1) for i, a in enumerate(lists))
+    media = file(whole, index_of)
+    assert len(media) == len(plain)
+    images, seconds = avi.frames(media)
+    assert images == [dark, light, dark] and seconds == 0.1  # one frame is in no new index
+    assert avi.frames(movie([dark, light]))[0] == [dark, light]
+
+
+def test_odd_files_give_an_error_row_each(spark):
+    small = jpeg([(5, {})] * 2)
+    huge = small.replace(struct.pack(">BHHB", 8, 8, 16, 1), struct.pack(">BHHB", 8, 65535, 65535, 1))
+    nested = b""
+    for _ in range(3000):
+        nested = avi._chunk(b"LIST", b"rec " + nested)
+    deep = avi._chunk(b"RIFF", b"AVI " + nested)
+    media = spark.createDataFrame([(1, movie([huge])), (2, deep), (3, b""), (4, movie([small]))], "doc_id long, media binary")
+    rows = {r.doc_id: r for r in avi.clips(media).collect()}
+    assert rows[1].error == "the frame ends early" and rows[3].error and rows[4].n_frames == 1 and 2 not in rows
+
+
+def test_a_long_interval_is_read_in_linear_time():
+    blocks = [(i % 50, {1: 1}) for i in range(8_000)]
+    got = avi.coefficients(jpeg(blocks))[0].reshape(-1, 64)  # bit by bit over the whole interval it took minutes
+    assert got[:, 0].tolist() == [d for d, _ in blocks] and (got[:, 1:] != 0).sum() == 8_000
