@@ -93,16 +93,19 @@ def item_windows(benchmark: DataFrame, work: Workspace, item: str = "item_id", t
     """Each item's windows (item, size, pos, n_windows, n_template, fit, slotted, raw, tokens, and the hashes of both), and their sizes.
 
     fit: not under LEAST tokens and less than half of them slots; only those match as templates, and n_template counts
-    them. All windows match by their raw tokens. Items without a token have no windows.
+    them. All windows match by their raw tokens. Items without a token have no windows. numeric_hash is that of the
+    template with its names as they are, which a text without capitals, or of capitals only, has; null where it is
+    one of the other two.
     """
     base = _tokenised(benchmark.where(plain(F.col(text)) != ""), F.col(text), F.col(item).alias("item"))
     base = work.table(base.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW))), "items")
     sizes = sorted(r["size"] for r in base.select("size").distinct().collect())
-    each = _with_windows(_with_windows(base, "raw", sizes), "tokens", sizes)
+    named = F.zip_with("tokens", "raw", lambda t, r: F.when(t == NAME, r).otherwise(t))
+    each = _with_windows(_with_windows(_with_windows(base, "raw", sizes), "tokens", sizes).withColumn("numeric", named), "numeric", sizes)
     hashes = lambda name: F.coalesce(*[F.when(F.col("size") == n, F.col(f"{name}_{n}")) for n in sizes]) if sizes else F.array().cast("array<long>")
-    each = each.select("item", "size", "raw", "tokens", F.posexplode_outer(F.arrays_zip(hashes("raw").alias("raw_hash"), hashes("tokens").alias("hash"))).alias("pos", "h"))
+    each = each.select("item", "size", "raw", "tokens", F.posexplode_outer(F.arrays_zip(hashes("raw").alias("raw_hash"), hashes("tokens").alias("hash"), hashes("numeric").alias("numeric"))).alias("pos", "h"))
     cut = lambda c: F.slice(c, F.col("pos") + 1, F.col("size"))
-    each = each.select("item", "size", "pos", F.col("h.raw_hash").alias("raw_hash"), F.col("h.hash").alias("hash"), cut("raw").alias("raw"), cut("tokens").alias("tokens"), (F.size("raw") - F.col("size") + 1).alias("n_windows"))
+    each = each.select("item", "size", "pos", F.col("h.raw_hash").alias("raw_hash"), F.col("h.hash").alias("hash"), F.when(~F.col("h.numeric").isin(F.col("h.hash"), F.col("h.raw_hash")), F.col("h.numeric")).alias("numeric_hash"), cut("raw").alias("raw"), cut("tokens").alias("tokens"), (F.size("raw") - F.col("size") + 1).alias("n_windows"))
     each = each.withColumn("slots", F.size(F.filter("tokens", _slot)))
     fit = (F.col("size") >= LEAST) & (F.col("slots") * 2 < F.col("size"))
     each = each.withColumn("fit", fit).withColumn("slotted", F.col("fit") & (F.col("slots") > 0)).drop("slots")
@@ -129,7 +132,7 @@ def _hits(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
     right = None
     for i, (n, slotted) in enumerate(blocks):
         some = items.where((F.col("size") == n) & (F.col("slotted") if slotted else F.lit(True)))
-        some = some.select(F.col("hash" if slotted else "raw_hash").alias("h"), "item", "pos", "fit", "n_windows", "n_template", F.lit(i).alias("block"))
+        some = some.select(F.explode(F.array_compact(F.array("hash", "numeric_hash"))).alias("h") if slotted else F.col("raw_hash").alias("h"), "item", "pos", "fit", "n_windows", "n_template", F.lit(i).alias("block"))
         right = some if right is None else right.unionByName(some)
     each = lean.select("key", "text_hash", "m", F.posexplode_outer("windows").alias("p", "h"))  # outer: no filter that computes all of it again
     before, at = F.lit(0), F.lit(None).cast("int")
@@ -141,9 +144,11 @@ def _hits(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def _lines(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
-    """Template matches by diagonal, with what each slot of the item stands for in the document, if that is consistent.
+    """Template matches by diagonal: the windows that count there (places), and whether all their slots are the item's own (same).
 
-    An item's value stands for one value of the document throughout, and two names for two.
+    An item's value stands for the document's value that it has in most windows of the diagonal (ties: the least), and
+    a name of the document for one name only, chosen alike. Windows in which a slot stands for something else don't
+    count, and the diagonal only counts if such slots have less than half of its different values.
     """
     own = hits.where("slotted").groupBy("key", "text_hash").agg(F.collect_set(F.struct("item", "pos", "at")).alias("hits"))
     own = own.withColumnsRenamed({"key": "k", "text_hash": "x"})
@@ -153,11 +158,16 @@ def _lines(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
     each = each.join(_sent(items.where("slotted").select("item", "pos", "raw", "tokens", "n_windows", "n_template")), ["item", "pos"])
     pairs = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("kind"), F.get("raw", i).alias("a"), F.get("found", i).alias("b"))), lambda p: _slot(p["kind"]))
     each = each.select("key", "text_hash", "item", "n_windows", "n_template", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), pairs.alias("pairs"))
-    line = each.groupBy("key", "text_hash", "item", "n_windows", "n_template", "diagonal").agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    names = F.filter("pairs", lambda p: p["kind"] == NAME)
-    distinct = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p[side]))))
-    line = line.where((distinct(F.col("pairs"), "a") == F.size("pairs")) & (distinct(names, "b") == F.size(names)))
-    return line.withColumn("same", F.forall("pairs", lambda p: p["a"] == p["b"]))
+    of = ["key", "text_hash", "item", "n_windows", "n_template", "diagonal"]
+    slots = each.select(*of, "pos", F.explode("pairs").alias("p")).select(*of, "pos", "p.*").distinct()
+    slots = slots.withColumn("less", -F.count("*").over(Window.partitionBy(*of, "kind", "a", "b")))
+    best = lambda own, other: F.min(F.struct("less", F.col(other).alias("best"))).over(Window.partitionBy(*of, "kind", own))["best"]
+    slots = slots.withColumn("good", (best("a", "b") == F.col("b")) & ((F.col("kind") != NAME) | (best("b", "a") == F.col("a"))))
+    value = F.struct("kind", "a")
+    place = slots.groupBy(*of, "pos").agg(F.min("good").alias("good"), F.min(F.col("a") == F.col("b")).alias("same"), F.collect_set(value).alias("values"), F.collect_set(F.when(~F.col("good"), value)).alias("bad"))
+    number = lambda name: F.size(F.array_distinct(F.flatten(F.collect_set(name))))
+    line = place.groupBy(*of).agg(F.collect_set(F.when(F.col("good"), F.col("pos"))).alias("places"), F.min(F.when(F.col("good"), F.col("same"))).alias("same"), number("values").alias("n_values"), number("bad").alias("n_bad"))
+    return line.where((F.col("n_bad") * 2 < F.col("n_values")) & (F.size("places") > 0))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,9 +175,10 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
     Every window of every document is hashed twice, by its raw tokens in lower case and by its template, and joined
     with the items' windows; what is shuffled beyond SENT windows is keys, places and hashes. Template matches on one
-    diagonal (document place less item place) belong together: there each slot value of the item must stand for one
-    value of the document throughout, and two names for two names, or the diagonal doesn't count; two numbers may
-    become one. The document leaks the item if it holds SHARE of the item's windows or more, or of those that can
+    diagonal (document place less item place) belong together: there each slot value of the item stands for one
+    value of the document, and two names for two names; two numbers may become one. Windows that break this don't
+    count, and nothing on a diagonal does where half of the item's values or more break it. Text without capitals, or
+    of capitals only, shows no names: there an item's names match as they are, its numbers and units as slots. The document leaks the item if it holds SHARE of the item's windows or more, or of those that can
     match as templates, so that numeric passages can't hide a changed copy; share is the greater of the two.
 
     Items of slots only, and short ones, match verbatim: an item of one word is leaked by every document with that

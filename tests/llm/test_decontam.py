@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from loamworks.llm import decontam
 from loamworks.session import read_table
@@ -99,6 +100,7 @@ def brute_with_slots(docs, items):
     out = {}
     for item, text in items:
         raw, tokens = slotted(text)
+        numeric = [r if t == "@" else t for r, t in zip(raw, tokens, strict=True)]
         n = min(decontam.WINDOW, len(raw))
         count = len(raw) - n + 1 if n else 0
         slots = [sum(t in "#@%" for t in tokens[p : p + n]) for p in range(count)]
@@ -110,14 +112,18 @@ def brute_with_slots(docs, items):
                 for at in range(len(own) - n + 1):
                     if own[at : at + n] == raw[p : p + n]:
                         held.add(p)
-                    if p in fit and slots[p] and own_tokens[at : at + n] == tokens[p : p + n]:
+                    found = own_tokens[at : at + n]
+                    if p in fit and slots[p] and (found == tokens[p : p + n] or found == numeric[p : p + n] != own[at : at + n]):
                         lines.setdefault(at - p, []).append((p, [(tokens[p + i], raw[p + i], own[at + i]) for i in range(n) if tokens[p + i] in "#@%"]))
             for found in lines.values():
-                pairs = {x for _, each in found for x in each}
-                names = {x for x in pairs if x[0] == "@"}
-                if len({x[:2] for x in pairs}) == len(pairs) and len({x[2] for x in names}) == len(names):
-                    held |= {p for p, _ in found}
-                    same &= all(a == b for _, a, b in pairs)
+                votes = Counter(x for _, each in found for x in set(each))
+                first = lambda pick, side, votes=votes: min((-n, x[side]) for x, n in votes.items() if pick(x))[1]
+                good = {x for x in votes if first(lambda y, x=x: y[:2] == x[:2], 2) == x[2] and (x[0] != "@" or first(lambda y, x=x: (y[0], y[2]) == (x[0], x[2]), 1) == x[1])}
+                values, bad = {x[:2] for x in votes}, {x[:2] for x in votes if x not in good}
+                kept = [(p, each) for p, each in found if set(each) <= good]
+                if 2 * len(bad) < len(values) and kept:
+                    held |= {p for p, _ in kept}
+                    same &= all(a == b for _, each in kept for _, a, b in each)
             share = max(len(held) / count if count else 0, len(held & set(fit)) / len(fit) if fit else 0)
             if share >= decontam.SHARE:
                 out[doc, item] = (round(share, 9), same)
@@ -138,6 +144,8 @@ def test_slots_equal_brute_force(spark):
             swap = dict(zip(names, rng.sample(names, len(names)), strict=True)) | {str(i): str(rng.randrange(30)) for i in range(30)} | dict(zip(units, rng.sample(units, 4), strict=True))
             changed = " ".join(swap.get(w, w) if rng.random() > 0.03 else token() for w in text.split())
             docs.append(" ".join(token() for _ in range(5)) + " " + changed + ". " + token())
+            numbers = " ".join(swap.get(w, w) if w.isdigit() else w for w in text.split())
+            docs.append(rng.choice([numbers.lower(), numbers.upper(), numbers]))
     docs += items + [None, "", "x" * 50_000 + " " + items[0] + " y" * 3000]
     docs = list(enumerate(docs))
     items = list(enumerate(items))
@@ -160,3 +168,17 @@ def test_joined_by_shuffle_alike(spark, monkeypatch):
     want = sorted(map(tuple, decontam.digest(docs, items).collect()))
     monkeypatch.setattr(decontam, "SENT", 0)
     assert sorted(map(tuple, decontam.digest(docs, items).collect())) == want
+
+
+def test_texts_of_one_case_and_slots_that_break_the_rule(spark):
+    item = "Priya has 12 apples and gives 5 apples to Kwame, who sells 3 of them at the market to Priya for 2 coins."
+    again = item.replace("12", "7").replace("5", "4")
+    other = again.replace("Priya", "Ravi").replace("Kwame", "Amina")
+    docs = [again.upper(), again.lower(), other, other.replace("market to Ravi", "market to Amina"), other.replace("market to Ravi", "market to Lena").replace("gives 4", "gives 3"), "has 12 apples"]
+    docs.append("Priya has 1 apples and gives 2 apples to Priya, who sells 2 of them at the market to Kwame for 9 coins.")
+    got = decontam.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    shares = {r.doc_id: r.share for r in got}
+    assert all(not r.verbatim for r in got)
+    assert shares[0] == shares[1] == shares[2] == 1.0  # other numbers in capitals and in small letters; other names
+    assert decontam.SHARE <= shares[3] < 1 and decontam.SHARE <= shares[4] < 1  # about the other person; one stranger
+    assert 5 not in shares and (6 not in shares or shares[6] < 1)
