@@ -163,6 +163,7 @@ def _codes(body: bytes) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache
 def _usual(slot: int) -> bytes:
     """The body of a table that frames without one mean."""
     counts, first = USUAL[slot]
@@ -259,8 +260,8 @@ def coefficients(image: bytes) -> tuple[np.ndarray, list[int], dict[int, np.ndar
             break
     if frame is None:
         raise ValueError("no frame header")
-    codes = {slot: codes.get(slot) or _usual(slot) for slot in {*USUAL, *codes}}
     chosen = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, 16 | body[2 + 2 * i] & 15) for i in range(body[0])]
+    codes = {t: codes[t] if t in codes else _usual(t) for _, d, a in chosen for t in (d, a)}
     wide, high = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
     if len(chosen) == 1:
         parts = {chosen[0][0]: (1, 1, parts[chosen[0][0]][2])}
