@@ -365,13 +365,13 @@ def text_metrics(df: DataFrame, key: str, text: str, distance: Column, shapley:
     n = lambda k: T.density(t, fixed.TEXT_WORDS[k]) * F.length(t) / 2000
     snr = (
         F.when(scene == "medical_sft", 800 * n("medical_sft") / total).when(scene == "legal_doc", 600 * n("legal_doc") / total)
-        .when(scene == "code_tech", 500 * F.regexp_count(t, F.lit(r"(?m)^\s*(?:#|//|/\*)")) / lines).when(scene == "creative", 120 * F.col("ttr"))
+        .when(scene == "code_tech", 500 * F.regexp_count(t, F.lit(T.re2(r"(?m)^\s*(?:#|//|/\*)"))) / lines).when(scene == "creative", 120 * F.col("ttr"))
         .when(scene == "chat_qa", F.when(t.rlike("[问Q][：:]") & t.rlike("[答A][：:]"), 80.0).otherwise(35.0)).otherwise(20.0)
     )
     runs = F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(r"[\x{4e00}-\x{9fff}]{2,}"), F.lit(0))))
     structure = (
-        F.when(scene == "legal_doc", 10 * F.regexp_count(t, F.lit(r"第[一二三四五六七八九十百\d]+条")) + 5 * F.regexp_count(t, F.lit("[甲乙]方")))
-        .when(scene == "code_tech", 12 * (F.regexp_count(t, F.lit(r"(?:def|function|func)\s+\w+\s*\(")) + 2 * F.regexp_count(t, F.lit(r"class\s+\w+")))).otherwise(450 * runs / total)
+        F.when(scene == "legal_doc", 10 * F.regexp_count(t, F.lit(T.re2(r"第[一二三四五六七八九十百\d]+条"))) + 5 * F.regexp_count(t, F.lit("[甲乙]方")))
+        .when(scene == "code_tech", 12 * (F.regexp_count(t, F.lit(T.re2(r"(?:def|function|func)\s+\w+\s*\("))) + 2 * F.regexp_count(t, F.lit(T.re2(r"class\s+\w+"))))).otherwise(450 * runs / total)
     )
     hundred = lambda c: F.least(F.lit(100.0), c)
     snr = hundred(snr) if align is None else 0.5 * hundred(snr) + 0.5 * F.col("__lw_align")
