@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamworks.functions import fixed
 from loamworks.functions import text as T
+from loamworks.operators import texts as X
 
 ODD = ["die ö", "ß", " ", "\x0b", "\r", " ", "\u0085", " ", "甲", "_", "-", "\n", ""]
 CORES = ["im", "SQL", "qd", "问：12345\r67", "答：12345 67890", "5\x0bmg", "5 μG", "5 µg", "“12\r34”", "class\x0bx:", "class x\x0b", "import\x0bos", "def f\x0b(", "第二条", "甲方"]
@@ -25,3 +26,10 @@ def test_shares_equal_duckdb(spark, kind):
 def test_comment_lines_start_after_newlines_only(spark):
     count = F.regexp_count(F.lit("a\r# no # no\n # yes\n\x0b# no\n# yes"), F.lit(T.re2(r"(?m)^\s*(?:#|//|/\*)")))
     assert spark.range(1).select(count.alias("n")).first().n == 2
+
+
+def test_fused_scene_knows_words_beside_letters_beyond_ascii(spark):
+    none = {k: F.lit(None).cast("double") for k in fixed.TEXT_MIX}
+    said = X.fused_text_scene(F.lit("tzölichö ungsch keitüim zenerverung"), none)
+    row = spark.range(1).select(said.alias("s")).select("s.*").first()
+    assert (row.scene, row.confidence, row.method) == ("medical_sft", 0.166667, "rule")
