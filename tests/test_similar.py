@@ -30,3 +30,10 @@ def test_pairs_equal_all_pairs(spark, monkeypatch, least, sent, block):
     sets = dict(rows)
     assert set(got) == brute(rows, least) and len(got) > 10
     assert all(abs(s - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-12 for (a, b), s in got.items())
+
+
+def test_common_values_make_few_candidates(spark):
+    """A thousand sets of 300 out of 700 values: each value is in nearly half of them, and no two are similar."""
+    dice = random.Random(6)
+    df = spark.createDataFrame([(i, dice.sample(range(700), 300)) for i in range(1000)], "id long, set array<int>")
+    assert similar.candidates(df, 0.85, Workspace(spark, "test")).count() < 100
