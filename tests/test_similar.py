@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loamworks.operators import joins, similar
 from loamworks.session import Workspace
@@ -37,3 +38,14 @@ def test_common_values_make_few_candidates(spark):
     dice = random.Random(6)
     df = spark.createDataFrame([(i, dice.sample(range(700), 300)) for i in range(1000)], "id long, set array<int>")
     assert similar.candidates(df, 0.85, Workspace(spark, "test")).count() < 100
+
+
+def test_near_prints_are_not_sent_through_the_driver(spark, tmp_path):
+    dice = random.Random(7)
+    rows = [(i, "xy"[i % 2], dice.getrandbits(63)) for i in range(300)]
+    rows += [(300 + i, k, v ^ (1 << i % 60) ^ (1 << i * 7 % 61)) for i, (_, k, v) in enumerate(rows)]
+    df = Workspace(spark, "prints").table(spark.createDataFrame(rows, "id long, g string, b long"), "prints")
+    out = joins.hamming_first(df, "id", F.col("b"), ["g"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {i: min((j for j, h, w in rows if h == g and j < i and (v ^ w).bit_count() <= 5), default=None) for i, g, v in rows}
+    assert {r.id: r.earlier for r in out.collect()} == want
