@@ -285,14 +285,14 @@ def dedup_exact_chunk(documents: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, list_distinct(string_split_regex(trim(text), '[ \\t\\n]+')) AS w FROM documents),
-c AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY list_sort(w)) AS first FROM w), s AS (SELECT * FROM c WHERE first = doc_id),
+    """WITH w AS (SELECT doc_id, list_distinct(string_split_regex(trim(text), '[ \\t\\n]+')) AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM documents), s AS (SELECT * FROM w WHERE first = doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(a.w) AS n, len(b.w) AS m, len(list_intersect(a.w, b.w)) AS i FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= greatest(len(a.w), len(b.w)) * 0.85)
-SELECT a, b, round(i / (n + m - i), 6) AS similarity FROM p WHERE i / (n + m - i) >= 0.85 UNION ALL SELECT first, doc_id, 1 FROM c WHERE first < doc_id"""
+SELECT a, b, round(i / (n + m - i), 6) AS similarity FROM p WHERE i / (n + m - i) >= 0.85 UNION ALL SELECT first, doc_id, 1 FROM w WHERE first < doc_id"""
 )
 def jaccard_pairs(documents: DataFrame) -> DataFrame:
+    """Pairs of different texts by their words, and each text's first document with its copies."""
     words = F.array_distinct(F.split(F.trim("text"), "[ \t\n]+"))
-    pairs = joins.jaccard_classes(documents.select("doc_id", words.alias("w")), "doc_id", "w", 0.85)
+    pairs = joins.jaccard_classes(documents.select("doc_id", "text", words.alias("w")), "doc_id", "w", 0.85, "text")
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loamworks.operators import joins, similar
+from loamworks.plans import values
 from loamworks.session import Workspace
 
 
@@ -49,3 +51,16 @@ def test_near_prints_are_not_sent_through_the_driver(spark, tmp_path):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     want = {i: min((j for j, h, w in rows if h == g and j < i and (v ^ w).bit_count() <= 5), default=None) for i, g, v in rows}
     assert {r.id: r.earlier for r in out.collect()} == want
+
+
+def test_different_texts_of_equal_words_keep_all_their_pairs(spark):
+    """Three texts of the same words, a copy of one, a similar text, and null and blank texts."""
+    base = "a b c d e f g h i j"
+    rows = [(0, base), (1, "b a c d e f g h i j"), (2, base + " a"), (3, "b a c d e f g h i j"), (4, base + " k"), (5, None), (6, None), (7, ""), (8, "  "), (9, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.a, r.b): r.similarity for r in values.jaccard_pairs(df).collect()}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {(a, b): s for a, b, s in db.execute(values.SQL["jaccard_pairs"]).fetchall()}
+    assert got == want and {(0, 1), (0, 2), (1, 2), (1, 3), (0, 4), (1, 4), (2, 4), (5, 6), (7, 8)} == set(got)
