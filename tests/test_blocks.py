@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -94,3 +95,30 @@ def test_numbers_within_a_hot_group(spark):
     for g in {r.g for r in rows}:
         own = sorted((r.at, r.id) for r in rows if r.g == g)
         assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
+def test_a_task_keeps_a_bounded_number_of_queries(spark, monkeypatch):
+    """More queries than a task keeps: parts are given out early, and the result is that of all pairs."""
+    for name, value in (("BLOCK", 90), ("ASKED", 45)):
+        monkeypatch.setattr(blocks, name, value)
+    dice = random.Random(9)
+    rows = [(i, [dice.gauss(0, 1) for _ in range(9)]) for i in range(70)] + [(100 + i, [1.0] * 9) for i in range(20)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    monkeypatch.setattr(joins, "HELD", 10)
+    monkeypatch.setattr(joins, "STRIP", 2)
+    made = []
+    keep = joins._Near
+    monkeypatch.setattr(joins, "_Near", lambda ids: made.append(len(ids)) or keep(ids))
+    pairs = [(f"q{a}", [i for i, _ in rows[a : a + 5]], [i for i, _ in rows[b : b + 10]]) for b in range(0, 90, 10) for a in range(0, 90, 5)]
+    block = lambda ids: np.array([unit[i] for i in ids]).tobytes()
+    batch = pa.RecordBatch.from_pydict({"dim": pa.array([9] * len(pairs), pa.int32()), "q_at": [p[0] for p in pairs], "q_ids": [p[1] for p in pairs], "q_data": [block(p[1]) for p in pairs], "ids": [p[2] for p in pairs], "data": [block(p[2]) for p in pairs]})
+    found = {}
+    for out in joins._nearest(4)(iter([batch])):
+        assert out.num_rows <= 5
+        for r in out.to_pylist():
+            known = found.setdefault(r["query"], [[], 0])
+            known[0] += [(x["distance"], x["id"]) for x in r["near"]]
+            known[1] += r["n"]
+    want = brute(rows, {i for i, _ in rows}, 4)
+    assert {q: ([i for _, i in sorted(near)[:4]], n) for q, (near, n) in found.items()} == {q: w[:2] for q, w in want.items()}
+    assert len(made) > 18  # given out and begun anew
