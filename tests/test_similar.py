@@ -64,3 +64,12 @@ def test_different_texts_of_equal_words_keep_all_their_pairs(spark):
     db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     want = {(a, b): s for a, b, s in db.execute(values.SQL["jaccard_pairs"]).fetchall()}
     assert got == want and {(0, 1), (0, 2), (1, 2), (1, 3), (0, 4), (1, 4), (2, 4), (5, 6), (7, 8)} == set(got)
+
+
+def test_only_sketches_are_written_before_pairs_are_found(spark, tmp_path):
+    """Sets of five thousand values each: sketches and blocks take a small part of the values' bytes."""
+    df = spark.range(40).selectExpr("id", "transform(sequence(1, 5000), x -> x * 1000 + id) AS set")
+    work = Workspace(spark, "test")
+    assert similar.candidates(df, 0.85, work).count() == 0
+    written = spark.read.parquet(f"{work.at}/sketches").selectExpr("sum(length(data)) AS n").first().n
+    assert written < 40 * 5000 * 8 / 20
