@@ -296,30 +296,36 @@ def fused_text_scene(text: Column, anchors: dict[str, Column], words: dict = fix
 
 def image_scene(text: Column, words: dict = fixed.IMAGE_WORDS) -> Column:
     """Scene and confidence of an image by its description (V-03)."""
-    t = F.lower(text)
-    best = _best({k: T.hits(t, ws) for k, ws in words.items()})
-    return F.struct(F.when(best["score"] == 0, "photo").otherwise(best["scene"]).alias("scene"), F.when(best["score"] == 0, 0.4).otherwise(F.least(F.lit(1.0), best["score"] / 4)).alias("confidence"))
+    best = T.let(F.lower(text), lambda t: _best({k: T.hits(t, ws) for k, ws in words.items()}))
+    return T.let(best, lambda b: F.struct(F.when(b["score"] == 0, "photo").otherwise(b["scene"]).alias("scene"), F.when(b["score"] == 0, 0.4).otherwise(F.least(F.lit(1.0), b["score"] / 4)).alias("confidence")))
 
 
 def audio_scene(text: Column, words: dict = fixed.AUDIO_WORDS) -> Column:
     """Scene and confidence of audio by its description (V-04)."""
-    t = F.lower(text)
-    best = _best({k: T.hits(t, ws) for k, ws in words.items()} | {"ambient_sfx": F.lit(0.5), "noise": F.lit(0.0)})
-    s = best["score"]
-    return F.struct(best["scene"].alias("scene"), F.when(s >= 3, F.least(F.lit(0.9), 0.6 + s * 0.05)).when(s >= 2, 0.6).when(s >= 1, 0.45).otherwise(0.3).alias("confidence"))
+    best = T.let(F.lower(text), lambda t: _best({k: T.hits(t, ws) for k, ws in words.items()} | {"ambient_sfx": F.lit(0.5), "noise": F.lit(0.0)}))
+
+    def decided(b: Column) -> Column:
+        s = b["score"]
+        return F.struct(b["scene"].alias("scene"), F.when(s >= 3, F.least(F.lit(0.9), 0.6 + s * 0.05)).when(s >= 2, 0.6).when(s >= 1, 0.45).otherwise(0.3).alias("confidence"))
+
+    return T.let(best, decided)
 
 
 def video_scene(text: Column, visual: Column | None = None, words: dict = fixed.VIDEO_WORDS, noise: list = fixed.VIDEO_NOISE) -> Column:
     """Scene, confidence and method of a video by its description and what its frames suggest (V-07)."""
-    t, seen = F.lower(text), visual if visual is not None else F.lit(None).cast("string")
-    best = _best({k: T.hits(t, ws) for k, ws in words.items()})
-    two, one, by_eye = best["score"] >= 2, (best["score"] == 1) & seen.isNotNull(), seen.isNotNull()
-    void = T.hits(t, noise) >= 2
-    return F.struct(
-        F.when(void, "noise").when(two | one, best["scene"]).when(by_eye, seen).otherwise("vlog").alias("scene"),
-        F.when(void, 0.0).when(two, F.least(F.lit(1.0), best["score"] / 5)).when(one, 0.6).when(by_eye, 0.55).otherwise(0.35).alias("confidence"),
-        F.when(void, "noise").when(two, "rule").when(one | by_eye, "fusion").otherwise("text_proxy").alias("method"),
-    )
+    seen = visual if visual is not None else F.lit(None).cast("string")
+    counted = T.let(F.lower(text), lambda t: F.struct(_best({k: T.hits(t, ws) for k, ws in words.items()}).alias("best"), (T.hits(t, noise) >= 2).alias("void")))
+
+    def decided(c: Column) -> Column:
+        best, void = c["best"], c["void"]
+        two, one, by_eye = best["score"] >= 2, (best["score"] == 1) & seen.isNotNull(), seen.isNotNull()
+        return F.struct(
+            F.when(void, "noise").when(two | one, best["scene"]).when(by_eye, seen).otherwise("vlog").alias("scene"),
+            F.when(void, 0.0).when(two, F.least(F.lit(1.0), best["score"] / 5)).when(one, 0.6).when(by_eye, 0.55).otherwise(0.35).alias("confidence"),
+            F.when(void, "noise").when(two, "rule").when(one | by_eye, "fusion").otherwise("text_proxy").alias("method"),
+        )
+
+    return T.let(counted, decided)
 
 
 def visual_scene(cuts: Column, aesthetic: Column) -> Column:

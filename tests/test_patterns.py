@@ -33,3 +33,9 @@ def test_fused_scene_knows_words_beside_letters_beyond_ascii(spark):
     said = X.fused_text_scene(F.lit("tzölichö ungsch keitüim zenerverung"), none)
     row = spark.range(1).select(said.alias("s")).select("s.*").first()
     assert (row.scene, row.confidence, row.method) == ("medical_sft", 0.166667, "rule")
+
+
+@pytest.mark.parametrize("scene", [X.image_scene, X.audio_scene, X.video_scene])
+def test_scenes_lower_a_text_once(spark, scene):
+    df = spark.range(1).selectExpr("cast(id AS string) AS text").select(scene(F.col("text")).alias("s"))
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") == 1
