@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamworks.operators.valuation import acoustic_print
-from loamworks.sources.containers import RATE
+from loamworks.sources.containers import RATE, wave_of
 
 # Frames and steps of the spectrum, bands and coefficients, the speech band.
 FFT, HOP, BANDS, COEFFICIENTS = 2048, 512, 128, 40
@@ -21,6 +21,8 @@ SPEECH = (300.0, 3400.0)
 WAVE = ("seconds", "entropy", "snr", "structure")
 PIXEL = ("entropy", "edges", "colours", "resolution")
 SIDE, LOW = 32, 8
+#: Frames that are measured at a time.
+STRIP = 128
 
 
 @lru_cache
@@ -34,18 +36,42 @@ def mel_bank(rate: int = RATE) -> np.ndarray:
     return np.maximum(0, np.minimum((bins - low) / (mid - low), (high - bins) / (high - mid))) * (2 / (high - low))
 
 
-def _framed(x: np.ndarray) -> np.ndarray:
-    """Overlapping frames around every HOP-th sample."""
-    padded = np.pad(x, FFT // 2)
-    return np.lib.stride_tricks.sliding_window_view(padded, FFT)[:: HOP]
+def _framed(padded: np.ndarray) -> np.ndarray:
+    """Overlapping frames of a padded wave, around every HOP-th sample; a view."""
+    step = padded.strides[0]
+    return np.lib.stride_tricks.as_strided(padded, ((len(padded) - FFT) // HOP + 1, FFT), (HOP * step, step), writeable=False)
 
 
-def spectrum(x: np.ndarray) -> np.ndarray:
-    """Power by frame and frequency, under a Hann window."""
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FFT) / FFT)
-    return np.abs(np.fft.rfft(_framed(x) * window, axis=1)) ** 2
+def _strips(views: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The frames of some waves one after another, STRIP of them in memory at most."""
+    held, n = [], 0
+    for view in views:
+        for at in range(0, len(view), STRIP):
+            part = view[at : at + STRIP]
+            if n + len(part) > STRIP:
+                yield np.concatenate(held)
+                held, n = [], 0
+            held.append(part)
+            n += len(part)
+    if held:
+        yield np.concatenate(held)
 
 
+@lru_cache
+def hann() -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FFT) / FFT)
+
+
+def spectrum(frames: np.ndarray) -> np.ndarray:
+    """Power by frame and frequency, under a Hann window, which is laid over the frames in place."""
+    frames *= hann()
+    x = np.fft.rfft(frames, axis=1)
+    power = x.real * x.real
+    power += x.imag * x.imag
+    return power
+
+
+@lru_cache
 def cosine_transform(n: int) -> np.ndarray:
     """Rows of the orthonormal cosine transform of length n."""
     k, i = np.arange(n)[:, None], np.arange(n)[None, :]
@@ -54,36 +80,79 @@ def cosine_transform(n: int) -> np.ndarray:
     return rows
 
 
-def cepstrum(power: np.ndarray) -> np.ndarray:
-    """Cosine coefficients of the bands' decibels, at most 80 below the loudest."""
-    db = 10 * np.log10(np.maximum(power @ mel_bank().T, 1e-10))
-    return np.maximum(db, db.max() - 80) @ cosine_transform(BANDS)[:COEFFICIENTS].T
+def _percentile(x: np.ndarray, share: float) -> float:
+    """numpy's percentile by linear interpolation, without its cost for a few values."""
+    x, at = np.sort(x), share * (len(x) - 1)
+    low = int(at)
+    a, b = float(x[low]), float(x[min(low + 1, len(x) - 1)])
+    return a + (b - a) * (at - low)
+
 
+def deltas(c: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+    """Mean variance of each wave's first or second derivatives over frames, by a least-squares line or parabola through nine of them.
 
-def delta(x: np.ndarray, order: int) -> np.ndarray:
-    """First or second derivative over frames by a least-squares line or parabola through nine of them, the outer ones as their neighbours."""
+    The outer frames have the derivatives of their neighbours; waves of under nine frames have no change.
+    """
+    out, long = np.zeros(len(counts)), np.flatnonzero(counts >= 9)
+    if not len(long):
+        return out
     n = np.arange(-4.0, 5.0)
     weights = n / (n @ n) if order == 1 else 2 * (n * n - (n * n).mean()) / (((n * n - (n * n).mean()) ** 2).sum())
-    inner = np.tensordot(np.lib.stride_tricks.sliding_window_view(x, 9, axis=0), weights, axes=([2], [0]))
-    return np.pad(inner, ((4, 4), (0, 0)), mode="edge")
+    inner = sum(w * c[i : len(c) - 8 + i] for i, w in enumerate(weights))
+    size = counts[long]
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    place = np.clip(place, 4, np.repeat(size - 5, size)) - 4 + np.repeat((np.cumsum(counts) - counts)[long], size)
+    x = inner[place]
+    away = x - np.repeat(np.add.reduceat(x, first, axis=0) / size[:, None], size, axis=0)
+    out[long] = (np.add.reduceat(away * away, first, axis=0) / size[:, None]).mean(axis=1)
+    return out
 
 
-def wave_measures_of(x: np.ndarray) -> tuple[float, float, float, float]:
-    """Seconds, spectral entropy, signal-to-noise and structure, the last three from 0 to 100; waves of under nine frames have no change."""
-    power = spectrum(x)
-    share = power / (power.sum(axis=1, keepdims=True) + 1e-10)
-    entropy = min(100.0, float((-(share * np.log2(share + 1e-10)).sum(axis=1)).mean()) / math.log2(FFT // 2 + 1) * 100)
+def measured(waves: list[np.ndarray]) -> list[tuple[float, float, float, float]]:
+    """Seconds, spectral entropy, signal-to-noise and structure of each wave that isn't empty, the last three from 0 to 100.
+
+    The frames of all waves go through each step together, as a wave alone is too short to pay for the calls.
+    """
+    padded = [np.concatenate([np.zeros(FFT // 2), x, np.zeros(FFT // 2)]) for x in waves]
+    views = [_framed(x) for x in padded]
+    counts = np.array([len(v) for v in views])
+    starts = np.cumsum(counts) - counts
     bins = np.fft.rfftfreq(FFT, 1 / RATE)
-    speech = power[:, (bins >= SPEECH[0]) & (bins <= SPEECH[1])].mean()
-    floor = float(np.percentile(np.sqrt(power.mean(axis=1)), 15)) ** 2 + 1e-12
-    snr = min(100.0, max(0.0, 10 * math.log10(max(float(speech) / floor, 1e-6)) / 40 * 100))
-    c = cepstrum(power)
-    change = [float(delta(c, order).var(axis=0).mean()) if len(c) >= 9 else 0.0 for order in (1, 2)]
-    loud = np.sqrt((_framed(x) ** 2).mean(axis=1))
-    peaks = int((np.diff(np.sign(np.diff(loud))) == -2).sum())
-    rate = peaks / max(len(x) / RATE, 0.1)
-    structure = 0.45 * min(100.0, change[0] / 30 * 100) + 0.30 * min(100.0, change[1] / 20 * 100) + 0.25 * min(100.0, rate / 8 * 100)
-    return len(x) / RATE, entropy, snr, structure
+    low, high = np.searchsorted(bins, SPEECH[0]), np.searchsorted(bins, SPEECH[1], "right")
+    parts = []
+    for frames in _strips(views):
+        power = spectrum(frames)
+        share = power / (power.sum(axis=1, keepdims=True) + 1e-10)
+        bits = share + 1e-10
+        np.log2(bits, out=bits)
+        bits *= share
+        bits = -bits.sum(axis=1)
+        db = 10 * np.log10(np.maximum(power @ mel_bank().T, 1e-10))
+        parts.append((bits, power[:, low:high].mean(axis=1), power.mean(axis=1), db))
+    bits, speech, mean, db = (np.concatenate(p) for p in zip(*parts, strict=True))
+    bits, speech = np.add.reduceat(bits, starts) / counts, np.add.reduceat(speech, starts) / counts
+    loudest = np.maximum.reduceat(db.max(axis=1), starts)
+    c = np.maximum(db, np.repeat(loudest - 80, counts)[:, None]) @ cosine_transform(BANDS)[:COEFFICIENTS].T  # at most 80 below the loudest
+    change = [deltas(c, counts, order) for order in (1, 2)]
+    loud = np.sqrt(np.concatenate([_framed(x * x).mean(axis=1) for x in padded]))
+    of = np.repeat(np.arange(len(waves)), counts)
+    peak = np.flatnonzero(np.diff(np.sign(np.diff(loud))) == -2)
+    peaks = np.bincount(of[peak[of[peak] == of[peak + 2]]], minlength=len(waves))
+    out = []
+    for i, x in enumerate(waves):
+        entropy = min(100.0, float(bits[i]) / math.log2(FFT // 2 + 1) * 100)
+        floor = _percentile(np.sqrt(mean[starts[i] : starts[i] + counts[i]]), 0.15) ** 2 + 1e-12
+        snr = min(100.0, max(0.0, 10 * math.log10(max(float(speech[i]) / floor, 1e-6)) / 40 * 100))
+        rate = int(peaks[i]) / max(len(x) / RATE, 0.1)
+        structure = 0.45 * min(100.0, float(change[0][i]) / 30 * 100) + 0.30 * min(100.0, float(change[1][i]) / 20 * 100) + 0.25 * min(100.0, rate / 8 * 100)
+        out.append((len(x) / RATE, entropy, snr, structure))
+    return out
+
+
+def wave_measures_of(x: np.ndarray) -> tuple[float, float, float, float]:
+    """The measures of one wave."""
+    return measured([x])[0]
 
 
 def half_seconds(x: np.ndarray) -> list[float]:
@@ -93,7 +162,7 @@ def half_seconds(x: np.ndarray) -> list[float]:
 
 
 def _mapped(df: DataFrame, column: str, fields: dict[str, str], of: Callable) -> DataFrame:
-    """df without column, with fields: what of gives for each value, nulls for null."""
+    """df without column, with fields: what of gives for each of some values, nulls for null."""
     kept = [c for c in df.columns if c != column and c not in fields]
     kinds = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "boolean": pa.bool_()}
 
@@ -101,7 +170,7 @@ def _mapped(df: DataFrame, column: str, fields: dict[str, str], of: Callable) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                out = [None if v is None else of(v) for v in some.column(0)]
+                out = of(some.column(0))
                 made = [pa.array([None if o is None else o[i] for o in out], kinds[k]) for i, k in enumerate(fields.values())]
                 yield pa.RecordBatch.from_arrays([*some.columns[1:], *made], [*kept, *fields])
 
@@ -109,21 +178,53 @@ def _mapped(df: DataFrame, column: str, fields: dict[str, str], of: Callable) ->
     return df.select(column, *kept).mapInArrow(run, schema)
 
 
+def _waves_measured(values: Iterator[np.ndarray | None]) -> list[tuple | None]:
+    """What wave_measures gives for each wave; waves of STRIP frames together are in memory, or a longer one."""
+    out: list[tuple | None] = []
+    held: list[tuple[int, np.ndarray]] = []
+
+    def settle() -> None:
+        for (i, x), found in zip(held, measured([x for _, x in held]), strict=True):
+            short = "0xAUD_" + hashlib.sha256(x.astype("<f4").tobytes()[:1024]).hexdigest()[:12].upper() if len(x) < RATE else None
+            out[i] = (*found, half_seconds(x), short)
+        held.clear()
+
+    frames = 0
+    for x in values:
+        out.append(None)
+        if x is None or not len(x):
+            continue
+        if held and frames + len(x) // HOP + 1 > STRIP:
+            settle()
+            frames = 0
+        held.append((len(out) - 1, x))
+        frames += len(x) // HOP + 1
+    if held:
+        settle()
+    return out
+
+
+def _with_prints(df: DataFrame, column: str, wave: Callable) -> DataFrame:
+    out = _mapped(df, column, {**dict.fromkeys(WAVE, "double"), "__lw_rms": "array<double>", "__lw_short": "string"}, lambda values: _waves_measured(map(wave, values)))
+    return out.withColumn("print", F.coalesce("__lw_short", acoustic_print(F.col("__lw_rms")))).drop("__lw_rms", "__lw_short")
+
+
 def wave_measures(df: DataFrame, wave: str) -> DataFrame:
     """df with seconds, entropy, snr, structure and print of a column of samples at 16 kHz in place of it (V-10, V-23).
 
     A null or empty wave has nulls. The print is that of the energy of half seconds; waves under a second have one of their samples.
     """
+    return _with_prints(df, wave, lambda v: v.values.to_numpy(zero_copy_only=False).astype(float) if v.is_valid else None)
 
-    def of(value: pa.Scalar) -> tuple | None:
-        x = value.values.to_numpy(zero_copy_only=False).astype(float) if value.is_valid else np.zeros(0)
-        if not len(x):
-            return None
-        short = "0xAUD_" + hashlib.sha256(x.astype("<f4").tobytes()[:1024]).hexdigest()[:12].upper() if len(x) < RATE else None
-        return (*wave_measures_of(x), half_seconds(x), short)
 
-    out = _mapped(df, wave, {**dict.fromkeys(WAVE, "double"), "__lw_rms": "array<double>", "__lw_short": "string"}, of)
-    return out.withColumn("print", F.coalesce("__lw_short", acoustic_print(F.col("__lw_rms")))).drop("__lw_rms", "__lw_short")
+def payload_measures(df: DataFrame, payload: str) -> DataFrame:
+    """wave_measures of the waves of a column of WAV payloads or audio tracks (containers.waves); samples stay in the task that decodes them."""
+
+    def wave(value: pa.Scalar) -> np.ndarray | None:
+        x = wave_of(value.as_py()) if value.is_valid else None
+        return None if x is None else x.astype(np.float32).astype(float)
+
+    return _with_prints(df, payload, wave)
 
 
 def pixels(image: dict) -> np.ndarray | None:
@@ -187,11 +288,11 @@ def pixel_measures(df: DataFrame, image: str) -> DataFrame:
     Null images and those that can't be read have nulls. The print has 64 bits, of which a similar image shares most.
     """
 
-    def of(value: pa.Scalar) -> tuple | None:
+    def each(value: pa.Scalar) -> tuple | None:
         p = pixels(value.as_py()) if value.is_valid else None
         return None if p is None else (*pixel_measures_of(p), 0.5 < p.shape[1] / p.shape[0] < 2.0, phash(p))
 
-    return _mapped(df, image, {**dict.fromkeys(PIXEL, "double"), "aspect_ok": "boolean", "print": "long"}, of)
+    return _mapped(df, image, {**dict.fromkeys(PIXEL, "double"), "aspect_ok": "boolean", "print": "long"}, lambda values: [each(v) for v in values])
 
 
 def film_prints(frames: DataFrame, key: str, place: str = "place", print_: str = "print") -> DataFrame:

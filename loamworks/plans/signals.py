@@ -34,7 +34,7 @@ def _rounded(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
 @query()
 def wave_measures(documents: DataFrame) -> DataFrame:
     files = documents.select("doc_id", containers.wav_payload(_bytes(), 8000).alias("payload"))
-    return _rounded(signals.wave_measures(containers.waves(files, "doc_id", "payload"), "wave"), signals.WAVE)
+    return _rounded(signals.payload_measures(files, "payload"), signals.WAVE)
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,30 +81,37 @@ def _form(body: memoryview, at: int, end: int) -> tuple[int, tuple]:
     return rate, (code, channels, bits)
 
 
+@lru_cache
+def _taps(widest: int, up: int, zeros: int) -> np.ndarray:
+    """A windowed sinc, of gain up."""
+    n = np.arange(-zeros * widest, zeros * widest + 1)
+    taps = np.sinc(n / widest) * np.kaiser(len(n), 5.0)
+    return taps * (up / taps.sum())
+
+
 def resampled(x: np.ndarray, rate: int, to: int = RATE, zeros: int = 10) -> np.ndarray:
     """x at another rate by a polyphase filter: a windowed sinc, of which each output sample needs one phase."""
     g = math.gcd(rate, to)
     up, down = to // g, rate // g
     if up == down or not len(x):
         return x
-    widest = max(up, down)
-    half = zeros * widest
-    n = np.arange(-half, half + 1)
-    taps = np.sinc(n / widest) * np.kaiser(2 * half + 1, 5.0)
-    taps *= up / taps.sum()
-    k = np.arange(-(-len(x) * up // down))
+    half, taps = zeros * max(up, down), _taps(max(up, down), up, zeros)
+    total = -(-len(x) * up // down)
     reach = -(-half // up)
-    padded = np.pad(x, (reach, reach + 1))
-    out = np.zeros(len(k))
-    for phase in range(min(up, len(k))):
-        at = k[phase::up] * down  # samples of one phase
-        base, shift = at // up, (at[0] % up)
-        j = np.arange(-reach, reach + 1)
+    padded = np.concatenate([np.zeros(reach), x, np.zeros(reach + 1)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
+    j = np.arange(-reach, reach + 1)
+    out = np.zeros(total)
+    for phase in range(min(up, total)):
+        first, shift = phase * down // up, phase * down % up  # the first sample of one phase; the others follow down apart
+        n = len(range(phase, total, up))
         place = shift - j * up + half  # the tap that meets each neighbour
         good = (place >= 0) & (place < len(taps))
         weights = np.where(good, taps[np.clip(place, 0, len(taps) - 1)], 0.0)
-        windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
-        out[phase::up] = windows[base] @ weights
+        if down == 1:  # neighbouring windows: no copy of each is made
+            out[phase::up] = np.correlate(padded[first : first + n + 2 * reach], weights, "valid")
+        else:
+            out[phase::up] = windows[first :: down][:n] @ weights
     return out
 
 

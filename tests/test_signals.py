@@ -11,6 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loamworks.operators import joins, signals
+from loamworks.plans import signals as plans
 from loamworks.sources import containers
 
 dice = np.random.default_rng(1)
@@ -220,3 +221,24 @@ def test_payloads_tell_their_kind(spark):
     made = spark.range(1).select(containers.wav_payload(F.lit(b"abcd"), 8000).alias("w"), containers.film_payload(F.lit(bytes(range(200)) * 10), 8).alias("f")).first()
     assert np.allclose(containers.wave_of(bytes(made.w))[::2], (np.frombuffer(b"abcd", np.uint8) - 128.0) / 128, atol=0.3)
     assert len(containers._film(memoryview(bytes(made.f)))[1]) == 11
+
+
+def test_waves_measured_together_equal_each_alone():
+    waves = [dice.normal(size=n) * 0.2 for n in (1, 511, 512, 3000, 4095, 4096, 12000, 512 * 300, 5000)] + [np.zeros(6000), np.tile(dice.normal(size=1000), 9)]
+    waves[4][7] = np.nan  # spoils no other wave's measures
+    for x, got in zip(waves, signals.measured(waves), strict=True):
+        assert np.allclose(got, signals.wave_measures_of(x), rtol=1e-9, equal_nan=True)
+    for n in (9, 40, 41):
+        x = dice.random(n)
+        assert np.isclose(signals._percentile(x, 0.15), np.percentile(x, 15), rtol=1e-12)
+    some = signals._waves_measured(iter([waves[3], None, np.zeros(0), waves[7], waves[8]]))
+    assert some[1] is some[2] is None and [r[0] for r in some if r] == [3000 / 16000, 512 * 300 / 16000, 5000 / 16000]
+
+
+def test_payloads_are_decoded_and_measured_in_one_python_step(spark):
+    files = [Row(i=i, payload=p) for i, p in enumerate([wav(bytes(dice.integers(0, 256, n).astype(np.uint8)), 8000, bits=8) for n in (100, 3000, 9000)] + [None, b"none", wav(b"", 8000, bits=8)])]
+    df = spark.createDataFrame(files, "i int, payload binary")
+    one, two = signals.payload_measures(df, "payload"), signals.wave_measures(containers.waves(df, "i", "payload"), "wave")
+    assert one.sort("i").collect() == two.sort("i").collect()
+    query = plans.wave_measures(spark.createDataFrame([(1, "text")], "doc_id long, text string"))
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
