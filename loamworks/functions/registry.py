@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 FUNCTIONS = {
     "lw_tier(score DOUBLE) RETURNS STRING": "CASE WHEN score >= 9 THEN 'platinum' WHEN score >= 7 THEN 'gold' WHEN score >= 5 THEN 'silver' ELSE 'rejected' END",
     "lw_preview(content STRING, n INT) RETURNS STRING": "CASE WHEN length(content) > n THEN concat(substring(content, 1, n), '…') ELSE content END",
+    # For LATERAL over columns of a table use lw_paragraph_list and inline: a table function over a column is joined to the rows again by their whole texts.
     "lw_paragraphs(content STRING, least INT) RETURNS TABLE (paragraph INT, body STRING)": "SELECT pos, col FROM posexplode(split(content, chr(10))) WHERE length(trim(col)) >= least",
+    "lw_paragraph_list(content STRING, least INT) RETURNS ARRAY<STRUCT<paragraph: INT, body: STRING>>": "filter(transform(split(content, chr(10)), (p, i) -> struct(i AS paragraph, p AS body)), x -> length(trim(x.body)) >= least)",
 }
 
 

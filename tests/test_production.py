@@ -102,3 +102,15 @@ def test_package_parts(spark, tmp_path):
     lines = [json.loads(x) for r in archives for x in zipfile.ZipFile(io.BytesIO(bytes(r.archive))).read("sft.jsonl").decode().splitlines()]
     assert sorted(x["quality_score"] for x in lines) == [5.0, 5.0, 9.0]
     assert sinks.zipped(sft.limit(0), "sft").count() == 0
+
+
+def test_paragraphs_are_listed_where_their_text_is(spark):
+    text = "short\n" + "long enough " * 6 + "\n\n  padded out  \n         \n0123456789"
+    docs = spark.createDataFrame([(1, text, 950), (2, text, 400), (3, None, 0), (4, "", 0)], "doc_id long, text string, n_chars long")
+    got = production.sql_functions(docs)
+    rows = sorted(tuple(r) for r in got.collect())
+    each = lambda i, tier: [(i, 1, ("long enough " * 6)[:40] + "…", tier), (i, 3, "  padded out  ", tier), (i, 5, "0123456789", tier)]
+    assert rows == each(1, "platinum") + each(2, "rejected")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert [tuple(r) for r in spark.sql("SELECT * FROM lw_paragraphs('0123456789\\nno', 10)").collect()] == [(0, "0123456789")]
