@@ -106,10 +106,11 @@ def centroid(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def shapley_scores(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, alpha: float | None = None, beta: float = 1.0) -> DataFrame:
+def shapley_scores(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, alpha: float | None = None, beta: float = 1.0, keep: tuple[Column, ...] = ()) -> DataFrame:
     """Nearest-neighbour contribution score and confidence of each query (V-13); with alpha and beta the weighted variant (V-14).
 
-    The centroid is the corpus's with the query's own vector taken out where it is in it.
+    The centroid is the corpus's with the query's own vector taken out where it is in it. keep: further columns, made of near,
+    the query's k nearest, which are searched once for all.
     """
     from loamworks.functions.vectors import cosine
 
@@ -132,7 +133,7 @@ def shapley_scores(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", v
     phi = clamp(F.coalesce(F.try_divide(sums["a"], sums["b"]), F.lit(0.0)), 0.0, 1.0)
     spread = F.least(F.lit(1.0), 5 * F.col("spread"))
     score = F.round(clamp(10 + 90 * (0.55 * phi + 0.30 * gap + 0.15 * spread), 10.0, 100.0), 2)
-    return rows.select("query", score.alias("score"), F.round(0.4 + 0.6 * gap, 3).alias("confidence"))
+    return rows.select("query", score.alias("score"), F.round(0.4 + 0.6 * gap, 3).alias("confidence"), *keep)
 
 
 def members(key: Column, rounds: int, share: float, seed: int) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from loamworks.functions import fixed
 from loamworks.functions.vectors import cosine
-from loamworks.operators import joins
 from loamworks.operators import media as M
 from loamworks.operators import texts as X
 from loamworks.operators import valuation as V
@@ -49,8 +48,8 @@ SCORES = f"""SELECT query, away, score FROM (SELECT query, round(greatest(0.05::
 
 def _scored(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
     """documents with away and shapley, from the neighbours of their vectors among all."""
-    away = joins.neighbours(embeddings, embeddings, 5).select("query", V.scarcity(F.col("near")).alias("away"))
-    both = away.join(V.shapley_scores(embeddings, embeddings).select("query", F.col("score").alias("shapley")), "query").withColumnRenamed("query", "doc_id")
+    scores = V.shapley_scores(embeddings, embeddings, keep=(V.scarcity(F.col("near")).alias("away"),))
+    both = scores.select(F.col("query").alias("doc_id"), "away", F.col("score").alias("shapley"))
     out = documents.join(both, "doc_id", "left")
     return out.withColumns({"away": F.coalesce("away", F.lit(AWAY)), "shapley": F.coalesce("shapley", F.lit(SHAPLEY))})
 

@@ -9,8 +9,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loamworks.functions import fixed
+from loamworks.operators import blocks, joins
 from loamworks.operators import texts as X
 from loamworks.operators import valuation as V
+from loamworks.plans import assets
 from loamworks.sources import ingest, sinks
 from loamworks.streaming import state
 
@@ -125,3 +127,15 @@ def test_the_corpus_grows_with_every_batch(spark, tmp_path):
         state.score_and_grow(source, f"{tmp_path}/corpus", score, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert {r.id: r.seen for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1: 1, 2: 2, 3: 2}
     assert spark.read.parquet(f"{tmp_path}/corpus").count() == 4
+
+
+def test_distance_and_contribution_come_from_one_search(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float((i * 7) % 11 - 5), 1.0, float(i % 3)]) for i in range(40)] + [(40, None)], "vec_id long, embedding array<double>")
+    docs = spark.range(42).withColumnRenamed("id", "doc_id")
+    away = {r.query: r.x for r in joins.neighbours(df, df, 5).select("query", V.scarcity(F.col("near")).alias("x")).collect()}
+    score = {r.query: r.score for r in V.shapley_scores(df, df).collect()}
+    packed, made = blocks.packed, []
+    monkeypatch.setattr(blocks, "packed", lambda *args, **more: made.append(args[5]) or packed(*args, **more))
+    got = {r.doc_id: (r.away, r.shapley) for r in assets._scored(docs, df).collect()}
+    assert sorted(made) == ["corpus", "queries"]
+    assert got == {i: (away.get(i, assets.AWAY), score.get(i, assets.SHAPLEY)) for i in range(42)} and got[41] == (0.88, 75.0)
