@@ -238,3 +238,17 @@ def test_plans_stay_native_and_blocked(spark):
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan, name
     assert set(fixed.WEIGHTS) | {"general"} == set(fixed.CURVE)
     assert all(abs(sum(w) - 1) < 1e-9 for w in fixed.WEIGHTS.values())
+
+
+def test_a_sample_is_scored_once_and_majorities_are_exact(spark):
+    texts = [c * k + "".join(o * ((n - k) // 3) for o in "bé\n") for c in "e x甲\n" for n in (0, 1, 2, 51, 52, 60) for k in (0, n // 2, n // 2 + 1, n) if k <= n] + ["\x00" * k + "a" * (30 - k) for k in (11, 12, 13, 30)]
+    df = spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "id long, text string, lang string")
+    for r in df.select("text", T.may_have_majority(F.col("text")).alias("may"), X.safety(F.col("text")).alias("v")).collect():
+        n, most = len(r.text), max((r.text.count(c) for c in set(r.text)), default=0)
+        assert r.may or most * 2 <= n
+        if n > 50 and max((r.text.count(c) for c in set(r.text) - {" ", "\n"}), default=0) * 2 > n:
+            assert r.v.reason == "one character"
+        if n == 30:
+            assert (r.v is not None) == (r.text.count("\x00") / n > 0.4)
+    plan = X.approved(X.produced(df, "text", "lang")).select("id", "tier", "q")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
