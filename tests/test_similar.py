@@ -73,3 +73,65 @@ def test_only_sketches_are_written_before_pairs_are_found(spark, tmp_path):
     assert similar.candidates(df, 0.85, work).count() == 0
     written = spark.read.parquet(f"{work.at}/sketches").selectExpr("sum(length(data)) AS n").first().n
     assert written < 40 * 5000 * 8 / 20
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = gateway.jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_a_set_is_not_moved_for_each_of_its_pairs(spark):
+    """150 near copies of a set of 2,000 hardly compressible values make 11,175 pairs."""
+    words = F.concat(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.substring(F.sha2(i.cast("string"), 256), 1, 12)), F.array(F.sha2(F.col("id").cast("string"), 256)))
+    df = Workspace(spark, "test").table(spark.range(150).select("id", words.alias("set")), "near")
+    before = shuffled(spark)
+    assert joins.jaccard_join(df, "id", "set", 0.85).count() == 150 * 149 // 2
+    moved = sum(v for k, v in shuffled(spark).items() if k not in before)
+    assert moved < 5 * 150 * 2000 * 12
+
+
+def test_random_sets_are_told_by_their_sketches(spark):
+    """Sets of 150 of 3,000 values: 64 bits leave a part in thirty of all pairs, of which none is similar."""
+    dice = random.Random(8)
+    df = spark.createDataFrame([(i, dice.sample(range(3000), 150)) for i in range(1000)], "id long, set array<int>")
+    assert similar.candidates(df, 0.85, Workspace(spark, "test")).count() < 100
+
+
+def test_pairs_within_and_between_small_homes(spark, monkeypatch):
+    """Families of near copies over many homes, blocks sent in turns, values counted in parts; sets of strings with a null."""
+    monkeypatch.setattr(similar, "SENT", 20_000)
+    monkeypatch.setattr(similar, "VALUES", 300)
+    monkeypatch.setattr(similar, "COUNTED", 100)
+    monkeypatch.setattr(similar, "ENDS", 10)
+    dice, rows = random.Random(9), []
+    for size in (30, 64, 150):
+        start = dice.sample(range(3000), size)
+        rows += [(n, set(start[dice.randint(0, size // 9) :]) | set(dice.sample(range(3000), dice.randint(0, size // 9)))) for n in range(len(rows), len(rows) + 40)]
+    rows = [(n, {None if v == 7 else f"w{v}" for v in x} | ({None} if n % 2 else set())) for n, x in rows]
+    df = spark.createDataFrame([(n, list(x)) for n, x in rows], "id long, v array<string>").repartition(5)
+    got = {(r.a, r.b): r.similarity for r in joins.jaccard_join(df, "id", "v", 0.85).collect()}
+    sets = dict(rows)
+    assert set(got) == brute(rows, 0.85) and len(got) > 300
+    assert all(s == len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for (a, b), s in got.items())
+    work = Workspace(spark, "test")
+    homes = similar.candidates(df.select("id", F.col("v").alias("set")), 0.85, work)
+    assert homes.where("a_home = home").count() > 0 < homes.where("a_home <> home").count()
+    assert joins.jaccard_join(df.where("id < 0"), "id", "v", 0.85).count() == 0
+
+
+def test_sets_without_candidates_are_not_moved(spark):
+    """No two of 60 sets of 2,000 digests are similar, and no ids are few enough to be sent."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.substring(F.sha2(F.concat_ws("-", "id", i), 256), 1, 12))
+    df = Workspace(spark, "test").table(spark.range(60).select("id", words.alias("set")), "far")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = shuffled(spark)
+    try:
+        assert joins.jaccard_classes(df, "id", "set", 0.85).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum(v for k, v in shuffled(spark).items() if k not in before) < 60 * 2000 * 12 / 4
