@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from loamworks.functions import text as T
 from loamworks.operators import dedup, joins
 
 
@@ -59,3 +60,17 @@ def test_equal_sets_have_one_pair_each(spark):
 def test_fuzzy_drops_rows_of_equal_grams(spark):
     rows = [Row(id=0, t="abcabcabcabc"), Row(id=1, t="abc abcabcabcabc"), Row(id=2, t="something else here"), Row(id=3, t="ab"), Row(id=4, t="xy"), Row(id=5, t="bcabcabcabca")]
     assert sorted(r.id for r in dedup.fuzzy(spark.createDataFrame(rows), "id", "t").collect()) == [0, 2, 3, 4]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_grams_are_those_of_the_texts(spark, n):
+    """Each text's grams are told apart as strings are, and so many as the column function gives; no substring is taken for each of them."""
+    texts = ["", "ab", "abcabcab", "患者 abc患者abc", "😀😀a😀😀a", "a b\nc\td", "é" * 9, "é" * 9]
+    sets = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", T.char_grams(F.col("t"), n).alias("want"), F.replace("t", F.lit(" "), F.lit("")).cast("binary").alias("body"))
+    rows = {r.k: r.want for r in sets.collect()}
+    got = {r.key: r for r in sets.select("k", "body").mapInArrow(dedup._grams(n), "key long, grams array<long>, print binary").collect()}
+    for i in rows:
+        assert len(set(got[i].grams)) == len(got[i].grams) == len(rows[i]) and (got[i].print is None) == (not rows[i])
+        for j in rows:
+            assert len(set(got[i].grams) & set(got[j].grams)) == len(set(rows[i]) & set(rows[j]))
+            assert not rows[i] or (got[i].print == got[j].print) == (set(rows[i]) == set(rows[j]))

@@ -1,8 +1,11 @@
 """Similarity joins against all pairs: one group of tasks or cells, small and large sets, ends of size classes; many common values."""
 
+import math
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +138,30 @@ def test_sets_without_candidates_are_not_moved(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert sum(v for k, v in shuffled(spark).items() if k not in before) < 60 * 2000 * 12 / 4
+
+
+def test_cells_leave_few_sketches_to_compare(monkeypatch):
+    """Families of near copies among random sets: by cells the same pairs are found, and few others are looked at."""
+    dice = np.random.default_rng(10)
+    least, ratio = 0.85, (1 / 0.85) ** (1 + 1e-9)
+    rows = [dice.choice(1 << 40, 500, replace=False) for _ in range(600)]
+    for i in range(0, 600, 3):
+        part = dice.integers(20, 60)  # on both sides of the bound
+        rows[i + 1] = np.concatenate((rows[i][part:], dice.choice(1 << 40, part // 2, replace=False)))
+    rows.sort(key=len)
+    cls = {math.floor(math.log(len(r)) / math.log(ratio)) for r in rows}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([max(cls)] * 600, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], ["id", "cls", "h"])
+    made = next(similar._sketched(ratio, least)(iter([batch])))
+    block = tuple(pa.array([b"".join(made[c].to_pylist())])[0] for c in ("data", "keys"))
+    sizes = pa.array([[len(r) for r in rows]], pa.list_(pa.int32()))[0]
+    looked, alike = [], similar._Both._alike
+    monkeypatch.setattr(similar._Both, "_alike", lambda self, a, b: (looked.append(len(a)), alike(self, a, b))[1])
+    met = [{(int(a), int(b)) for i, j in similar._Both(*[(sizes, *block)] * 2, 4, least, many).pairs() for a, b in zip(i, j, strict=True)} for many in (1, 1 << 40)]
+    few = sum(looked[: -(-600 // similar.STRIP) * similar.CELLS])
+    want = {(i, j) for i, a in enumerate(map(set, rows)) for j, b in enumerate(map(set, rows)) if len(a & b) >= least * len(a | b)}
+    assert met[0] == met[1] and want <= met[0] and len(want) > 700 and few < 600 * 600 / 10
+
+
+def test_sketches_hold_nulls_and_repeat_themselves(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3, 4, 5, 6, 7, None]), (1, [1, 2, 3, 4, 5, 6, 7, None]), (2, [1, 2, 3, 4, 5, 6, 7])], "id long, v array<long>")
+    assert {(r.a, r.b) for r in joins.jaccard_join(df, "id", "v", 0.85).collect()} == {(0, 1), (0, 2), (1, 2)}
