@@ -82,13 +82,21 @@ def audio_value(entropy: Column, snr: Column, structure: Column, scene: Column,
     return F.struct(F.round(scarcity, 1).alias("scarcity"), F.round(F.least(F.lit(100.0), llm), 1).alias("llm_value"))
 
 
+VIDEO_WORDS = {"high": VIDEO_HIGH, "low": VIDEO_LOW, "seen": VIDEO_SCENE}
+
+
 def video_metrics(text: Column, away: Column, shapley: Column) -> Column:
-    """Measures of a video by its description (V-11)."""
-    t, w = F.lower(text), T.words(text)
-    unique = F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))
-    e = 0.55 * F.least(F.lit(100.0), unique * 130 + F.length(text) * 0.04)
-    snr = 0.55 * clamp(55.0 + 6.0 * T.hits(t, VIDEO_HIGH) - 8.0 * T.hits(t, VIDEO_LOW), 20.0, 100.0)
-    structure = 0.55 * F.least(F.lit(100.0), 45.0 + 5.0 * T.hits(t, VIDEO_SCENE) + 30 * unique)
+    """Measures of a video by its description (V-11); its words are split and counted once."""
+    unique = T.let(T.words(text), lambda w: F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)))
+    hits = T.let(F.lower(text), lambda t: F.struct(*[T.hits(t, ws).alias(n) for n, ws in VIDEO_WORDS.items()]))
+    return T.let(F.struct(unique.alias("unique"), hits.alias("hits")), lambda s: video_measured(s["unique"], F.length(text), s["hits"], away, shapley))
+
+
+def video_measured(unique: Column, length: Column, hits: Column, away: Column, shapley: Column) -> Column:
+    """Measures of a video by the share of different words of its description, its characters and how many of VIDEO_WORDS it has (V-11)."""
+    e = 0.55 * F.least(F.lit(100.0), unique * 130 + length * 0.04)
+    snr = 0.55 * clamp(55.0 + 6.0 * hits["high"] - 8.0 * hits["low"], 20.0, 100.0)
+    structure = 0.55 * F.least(F.lit(100.0), 45.0 + 5.0 * hits["seen"] + 30 * unique)
     scarcity = clamp(away * 90, 15.0, 100.0)
     llm = 0.15 * (e + snr + structure + scarcity + shapley)
     return F.struct(*[F.round(F.round(v, 6), 1).alias(n) for n, v in (("entropy", e), ("snr", snr), ("structure", structure), ("scarcity", scarcity), ("llm_value", llm), ("shapley", shapley))])

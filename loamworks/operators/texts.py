@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -304,9 +307,40 @@ def image_scene(text: Column, words: dict = fixed.IMAGE_WORDS) -> Column:
     return T.let(best, lambda b: F.struct(F.when(b["score"] == 0, "photo").otherwise(b["scene"]).alias("scene"), F.when(b["score"] == 0, 0.4).otherwise(F.least(F.lit(1.0), b["score"] / 4)).alias("confidence")))
 
 
+def said(df: DataFrame, text: str, words: dict[str, list[str]]) -> DataFrame:
+    """Rows, without the text, with n_words, n_kinds (distinct words), n_low (distinct words in lower case) and hits, a struct of how many of each list's words occur in lower case.
+
+    A text is read once, as bytes: UTF-8 holds the bytes of a word nowhere else than where the word is. Null texts count as empty.
+    """
+    wanted, keep = {k: [w.encode() for w in ws] for k, ws in words.items()}, [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, hits = [], {k: [] for k in wanted}
+            for raw, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                every = raw.split()  # by ASCII white space
+                counts.append((len(every), len(set(every)), len(set(low.split()))))
+                plain = low.isascii()
+                for k, ws in wanted.items():
+                    hits[k].append(sum(w in low for w in ws if not plain or w.isascii()))
+            ints = lambda x: pa.array(x, pa.int32())
+            found = pa.StructArray.from_arrays([ints(x) for x in hits.values()], list(hits))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(ints([c[i] for c in counts]) for i in range(3)), found], [*keep, "n_words", "n_kinds", "n_low", "hits"])
+
+    body = F.coalesce(text, F.lit(""))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    rows = df.select(body.cast("binary").alias("__lw_text"), F.lower(body).cast("binary").alias("__lw_low"), *keep)
+    return rows.mapInArrow(run, f"{kinds}, n_words int, n_kinds int, n_low int, hits struct<{', '.join(f'{k}: int' for k in wanted)}>")
+
+
+def audio_best(hits: dict[str, Column]) -> Column:
+    """(score, scene) of audio by how many of each scene's words its description has (V-04)."""
+    return _best(hits | {"ambient_sfx": F.lit(0.5), "noise": F.lit(0.0)})
+
+
 def audio_scene(text: Column, words: dict = fixed.AUDIO_WORDS) -> Column:
     """Scene and confidence of audio by its description (V-04)."""
-    best = T.let(F.lower(text), lambda t: _best({k: T.hits(t, ws) for k, ws in words.items()} | {"ambient_sfx": F.lit(0.5), "noise": F.lit(0.0)}))
+    best = T.let(F.lower(text), lambda t: audio_best({k: T.hits(t, ws) for k, ws in words.items()}))
 
     def decided(b: Column) -> Column:
         s = b["score"]
@@ -339,9 +373,15 @@ def visual_scene(cuts: Column, aesthetic: Column) -> Column:
 
 def acoustic_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Audio measures from a description alone: entropy, snr, structure (V-10)."""
-    w, low = T.words(F.col(text)), F.array_distinct(T.words(F.lower(text)))
-    ratio = F.size(low) / F.greatest(F.size(w), F.lit(1))
-    return df.withColumns({"entropy": F.round(0.55 * F.least(F.lit(100.0), 90 * ratio + F.length(text) / 20), 4), "snr": F.lit(27.5), "structure": F.round(0.55 * F.least(F.lit(100.0), 1.5 * F.size(w)), 4)})
+    counted = F.struct(F.size(T.words(F.col(text))).alias("n"), F.size(F.array_distinct(T.words(F.lower(text)))).alias("kinds"))
+    made = T.let(counted, lambda c: F.struct(*[v.alias(k) for k, v in acoustic(c["n"], c["kinds"], F.length(text)).items()]))
+    return df.withColumn("__lw_said", made).withColumns({k: F.col(f"__lw_said.{k}") for k in ("entropy", "snr", "structure")}).drop("__lw_said")
+
+
+def acoustic(n: Column, kinds: Column, length: Column) -> dict[str, Column]:
+    """Audio measures by a description's words, its distinct ones in lower case and its characters (V-10)."""
+    ratio = kinds / F.greatest(n, F.lit(1))
+    return {"entropy": F.round(0.55 * F.least(F.lit(100.0), 90 * ratio + length / 20), 4), "snr": F.lit(27.5), "structure": F.round(0.55 * F.least(F.lit(100.0), 1.5 * n), 4)}
 
 
 def token_entropy(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:

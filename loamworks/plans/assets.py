@@ -104,10 +104,12 @@ SELECT film.doc_id, {', '.join(f"coalesce(floor(round(least(100::DOUBLE, film.{d
 )
 def stream_fusion(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Documents as descriptions of films, every second one with a sound track: measures of both, fused."""
-    rows = _scored(documents, embeddings).withColumn("text", F.coalesce("text", F.lit("")))
-    film = M.video_metrics(F.col("text"), F.col("away"), F.col("shapley"))
-    heard = X.acoustic_features(rows.select("doc_id", "text", "away", "shapley", film.alias("film")))
-    value = M.audio_value(F.col("entropy"), F.col("snr"), F.col("structure"), X.audio_scene(F.col("text"))["scene"], F.col("away"), F.col("shapley"))
+    counted = X.said(documents.select("doc_id", "text").withColumn("length", F.coalesce(F.length("text"), F.lit(0))), "text", M.VIDEO_WORDS | fixed.AUDIO_WORDS)
+    rows = _scored(counted, embeddings)
+    film = M.video_measured(F.col("n_kinds") / F.greatest("n_words", F.lit(1)), F.col("length"), F.col("hits"), F.col("away"), F.col("shapley"))
+    scene = X.audio_best({k: F.col(f"hits.{k}") for k in fixed.AUDIO_WORDS})["scene"]
+    heard = rows.select("doc_id", "away", "shapley", film.alias("film"), scene.alias("scene"), *[c.alias(k) for k, c in X.acoustic(F.col("n_words"), F.col("n_low"), F.col("length")).items()])
+    value = M.audio_value(F.col("entropy"), F.col("snr"), F.col("structure"), F.col("scene"), F.col("away"), F.col("shapley"))
     heard = heard.withColumn("value", value)
     sound = F.col("doc_id") % 2 == 0
     own = {"scarcity": F.col("value.scarcity"), "llm_value": F.col("value.llm_value")}

@@ -4,18 +4,23 @@ import io
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loamworks.functions import fixed
+from loamworks.functions import text as T
 from loamworks.operators import blocks, joins
+from loamworks.operators import media as M
 from loamworks.operators import texts as X
 from loamworks.operators import valuation as V
 from loamworks.plans import assets
 from loamworks.sources import ingest, sinks
 from loamworks.streaming import state
 
+from .conftest import SF
+
 
 def test_a_batch_survives_its_bad_assets(spark):
     rows = [Row(b="x", i=i, v=v) for i, v in enumerate([5.0, None, float("nan"), 50.0, float("inf"), -1.0, 9.0])] + [Row(b=None, i=1, v=3.0)]
@@ -139,3 +144,41 @@ def test_distance_and_contribution_come_from_one_search(spark, monkeypatch):
     got = {r.doc_id: (r.away, r.shapley) for r in assets._scored(docs, df).collect()}
     assert sorted(made) == ["corpus", "queries"]
     assert got == {i: (away.get(i, assets.AWAY), score.get(i, assets.SHAPLEY)) for i in range(42)} and got[41] == (0.88, 75.0)
+
+
+def test_said_counts_each_text_once_as_columns_do(spark):
+    texts = ["", None, "  a b\tB a ", "Patient COURT 4K\n4k melody 手术 庭审", "ÉTÉ été İ x\u00a0y a\x0bb", "实验室实验室 lab", "no words of these"]
+    lists = M.VIDEO_WORDS | fixed.AUDIO_WORDS
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: r for r in X.said(df, "t", lists).collect()}
+    t = F.coalesce("t", F.lit(""))
+    columns = [F.size(T.words(t)).alias("n_words"), F.size(F.array_distinct(T.words(t))).alias("n_kinds"), F.size(F.array_distinct(T.words(F.lower(t)))).alias("n_low")]
+    for r in df.select("k", *columns, F.struct(*[T.hits(F.lower(t), ws).alias(k) for k, ws in lists.items()]).alias("hits")).collect():
+        assert got[r.k] == r, texts[r.k]
+
+
+def test_fused_streams_scan_a_text_once(spark):
+    """No scan for words stands in the plan as often as its result is used; the scene alone was looked up thirty times."""
+    plan = assets.QUERIES["stream_fusion"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") == 0 and plan.count("split(") == 0 and plan.count("lower(") <= 2
+
+
+def test_nearest_are_exact_whatever_single_precision_says():
+    """Near ties below single precision, equal vectors, the query itself twice in a block, and blocks of fewer rows than are kept."""
+    dice = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    q = unit(dice.normal(size=(30, 16)))
+    close = unit(np.repeat(q, 8, axis=0) + dice.normal(size=(240, 16)) * 1e-9)
+    parts = [q[:3], np.concatenate((q, q[:5], close)), unit(dice.normal(size=(300, 16))), close[::3], q[4:9]]
+    ids = [np.arange(1000, 1003), np.r_[np.arange(30), np.arange(5), np.arange(100, 340)], np.arange(2000, 2300), np.arange(3000, 3080), np.arange(4000, 4005)]
+    near = joins._Near(np.arange(30))
+    for c, i in zip(parts, ids, strict=True):
+        near.see(q, c, i, 4)
+    c, i = np.concatenate(parts), np.concatenate(ids)
+    sims = np.einsum("ik,jk->ij", q, c)
+    for row in range(30):
+        use = i != row
+        want = sorted(zip(np.round(1 - sims[row, use], 12), i[use], strict=True))[:4]
+        got = list(zip(near.rows[1][near.rows[0] == row], near.rows[2][near.rows[0] == row], strict=True))
+        assert [(round(d, 11), x) for d, x in got] == [(round(d, 11), x) for d, x in want] or np.allclose([d for d, _ in got], [d for d, _ in want], atol=2e-12, rtol=0)
+        assert near.n[row] == use.sum() and abs(near.s1[row] - sims[row, use].sum()) < 1e-9 and abs(near.s2[row] - (sims[row, use] ** 2).sum()) < 1e-9
