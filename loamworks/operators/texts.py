@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -262,7 +265,12 @@ def _best(scores: dict[str, Column]) -> Column:
 
 def text_scene(text: Column, words: dict = fixed.TEXT_WORDS, patterns: dict = fixed.TEXT_PATTERNS) -> Column:
     """Scene, confidence and score of a text by rule (V-01, V-02)."""
-    scores = {k: F.round(fixed.TEXT_MIX[k][0] * T.density(text, words[k]) + fixed.TEXT_MIX[k][1] * T.pattern_share(text, patterns[k]), 9) for k in fixed.TEXT_MIX}
+    return scene_by({k: T.density(text, words[k]) for k in fixed.TEXT_MIX}, text, patterns)
+
+
+def scene_by(densities: dict[str, Column], text: Column, patterns: dict = fixed.TEXT_PATTERNS) -> Column:
+    """Scene, confidence and score of a text by the densities of the scenes' words and its patterns."""
+    scores = {k: F.round(a * densities[k] + b * T.pattern_share(text, patterns[k]), 9) for k, (a, b) in fixed.TEXT_MIX.items()}
 
     def decided(best: Column) -> Column:
         sure = F.least(F.lit(1.0), best["score"] / 80)
@@ -272,6 +280,36 @@ def text_scene(text: Column, words: dict = fixed.TEXT_WORDS, patterns: dict = fi
     return T.let(_best(scores), decided)
 
 
+def counted(df: DataFrame, text: str, words: dict[str, list[str]]) -> DataFrame:
+    """Rows with n_tokens, n_types, entropy and ttr as token_entropy has them, and found, a struct of how often each list's words occur, without overlaps.
+
+    A text is read once: its tokens are counted where they are found, and words are counted in its bytes.
+    """
+    wanted, names, at = {k: [w.encode() for w in ws] for k, ws in words.items()}, df.columns, df.columns.index(text)
+    token = T.TOKEN.replace(r"\s", " \t\n\x0b\f\r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), token))
+        for batch in batches:
+            counts, found = [], {k: [] for k in wanted}
+            for raw in batch.column(at).cast(pa.binary()).to_pylist():
+                raw = raw or b""
+                seen = Counter(tokens.findall(raw.decode("utf-8", "replace")))
+                n = seen.total()
+                bits = math.log2(n) - sum(seen[t] * math.log2(seen[t]) for t in sorted(seen) if seen[t] > 1) / n if n else 0.0
+                counts.append((n, len(seen), bits))
+                plain = raw.isascii()
+                for k, ws in wanted.items():
+                    found[k].append(sum(raw.count(w) for w in ws if not plain or w.isascii()))
+            columns = [pa.array([c[i] for c in counts], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            hits = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found.values()], list(found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, hits], [*names, "n_tokens", "n_types", "bits", "found"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    made = df.mapInArrow(run, f"{kinds}, n_tokens int, n_types int, bits double, found struct<{', '.join(f'{k}: bigint' for k in wanted)}>")
+    return made.withColumns({"entropy": F.round("bits", 6), "ttr": F.round(F.col("n_types") / F.greatest("n_tokens", F.lit(1)), 6)}).drop("bits")
+
+
 def fused_text_scene(text: Column, anchors: dict[str, Column], words: dict = fixed.TEXT_WORDS, patterns: dict = fixed.TEXT_PATTERNS) -> Column:
     """Scene, confidence and method of a text by rule, and by anchors where the rule isn't sure (V-02).
 
@@ -407,12 +445,13 @@ def text_metrics(df: DataFrame, key: str, text: str, distance: Column, shapley:
     which makes up half of snr where there are prototypes.
     """
     aligned = F.lit(fixed.UNALIGNED) if align is None else align
-    seen = df.select(key, text, distance.alias("__lw_away"), shapley.alias("__lw_shapley"), aligned.alias("__lw_align"), text_scene(F.col(text)).alias("s"))
-    base = token_entropy(seen, key, text, text, "__lw_away", "__lw_shapley", "__lw_align", "s")
-    t, total = F.col(text), F.greatest("n_tokens", F.lit(1))
-    scene = F.col("s.scene")
+    lean = df.select(key, text, distance.alias("__lw_away"), shapley.alias("__lw_shapley"), aligned.alias("__lw_align"))
+    words, t = counted(lean, text, fixed.TEXT_WORDS), F.col(text)
+    density = {k: T.dense(F.col(f"found.{k}"), F.length(t)) for k in fixed.TEXT_MIX}
+    base = words.withColumn("s", scene_by(density, t))
+    total, scene = F.greatest("n_tokens", F.lit(1)), F.col("s.scene")
     lines = F.size(F.split(t, "\n"))
-    n = lambda k: T.density(t, fixed.TEXT_WORDS[k]) * F.length(t) / 2000
+    n = lambda k: density[k] * F.length(t) / 2000
     snr = (
         F.when(scene == "medical_sft", 800 * n("medical_sft") / total).when(scene == "legal_doc", 600 * n("legal_doc") / total)
         .when(scene == "code_tech", 500 * F.regexp_count(t, F.lit(T.re2(r"(?m)^\s*(?:#|//|/\*)"))) / lines).when(scene == "creative", 120 * F.col("ttr"))

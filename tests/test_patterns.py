@@ -39,3 +39,25 @@ def test_fused_scene_knows_words_beside_letters_beyond_ascii(spark):
 def test_scenes_lower_a_text_once(spark, scene):
     df = spark.range(1).selectExpr("cast(id AS string) AS text").select(scene(F.col("text")).alias("s"))
     assert df._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+
+
+def test_cheap_tests_before_patterns_change_no_match(spark):
+    """First letters before the edge of a word, and texts of ASCII alone; both as RE2 in DuckDB has it."""
+    texts = ["a HTTP b", "xHTTP", "HTTP_", "HTTPS", "(SQL)", "éSQL", "SQLé", "CREATE TABLE", "await", "await1", "po", "ipo", "po.", "第1条", "第 条", "甲方", "a方", "用法：", "用法", "注意事项:", "plain", "", "“abcde”", "“abc”", "一二三四……", "一二三，四五六", "Q: abcdef", "问：abcdef"]
+    for patterns in fixed.TEXT_PATTERNS.values():
+        for p in patterns:
+            got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(T.pattern_share(F.col("t"), [p]).alias("s")).collect()]
+            want = [100.0 * x for (x,) in duckdb.execute("SELECT regexp_matches(t, ?)::INT FROM (SELECT unnest(?) AS t)", [p, texts]).fetchall()]
+            assert got == want, p
+    assert [T.beyond_ascii(p) for p in ("第[一1]条", "[甲乙丙]方", "(?:用|量)x", r"[\x{4e00}-\x{9fa5}]{3,}a", "[问Q]x", "第?a", "[甲]{0,2}a", "第a|b", r"\d年", "(?:用|x)y")] == [True] * 4 + [False] * 6
+
+
+def test_tokens_and_words_are_counted_once_as_columns_do(spark):
+    texts = ["", None, "患者诊断 CT CT，剂量 50mg", "a b a\u00a0c\x0bé É!!", "bugbug debug class\n# x", "诊诊断断", "😀 😀"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = {r.k: r for r in X.token_entropy(df, "k", "t").collect()}
+    dense = {r.k: r for r in df.select("k", *[T.density(F.col("t"), ws).alias(k) for k, ws in fixed.TEXT_WORDS.items()]).collect()}
+    made = X.counted(df, "t", fixed.TEXT_WORDS)
+    for r in made.select("k", "n_tokens", "n_types", "entropy", "ttr", *[T.dense(F.col(f"found.{k}"), F.length("t")).alias(k) for k in fixed.TEXT_WORDS]).collect():
+        assert [r.n_tokens, r.n_types, r.entropy, r.ttr] == [want[r.k][c] for c in ("n_tokens", "n_types", "entropy", "ttr")], texts[r.k]
+        assert all(r[k] == dense[r.k][k] for k in fixed.TEXT_WORDS), texts[r.k]
